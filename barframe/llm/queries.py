@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality
+from . import mpegts, neardup, pii, quality, secrets, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_bootstrapped_context": pii.op1_pii_bootstrapped_context,
+        "op2_secret_blob_ledger": secrets.op2_secret_blob_ledger,
         "op3_minmax_near_dedup": neardup.op3_minmax_near_dedup,
+        "op4_token_sstable": sstable.op4_token_sstable,
+        "op5_media_transport_stream": mpegts.op5_media_transport_stream,
         "op8_quality_isolation_forest": quality.op8_quality_isolation_forest,
     }
 
