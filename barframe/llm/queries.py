@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpegts, neardup, pii, quality, secrets, sstable
+from . import compaction, langid, mixing, mpegts, neardup, packing, pii, quality, secrets, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minmax_near_dedup": neardup.op3_minmax_near_dedup,
         "op4_token_sstable": sstable.op4_token_sstable,
         "op5_media_transport_stream": mpegts.op5_media_transport_stream,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_size_tiered_shards": compaction.op7_size_tiered_shards,
         "op8_quality_isolation_forest": quality.op8_quality_isolation_forest,
+        "op9_language_kneser_ney": langid.op9_language_kneser_ney,
+        "op10_pfair_mixture": mixing.op10_pfair_mixture,
     }
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import neardup, quality
+from barframe.llm import mixing, neardup, packing, pii, quality
 from barframe.llm.storage import materialize, read_table
 
 STAGES = [
     ("quality_rules", quality.quality_stage),
     ("near_dedup", neardup.near_dedup_stage),
+    ("pii", pii.pii_stage),
+    ("source_mix", mixing.mixing_stage),
+    ("best_fit_packing", packing.packing_stage),
 ]
 
 #: The stages hash, hold float models and search bins: SQL can't express them; tests/llm compares them with brute force.
