@@ -6,15 +6,19 @@ slots find candidates: at the limit of 0.75 a pair shares no band with
 probability (1 - 0.75**4)**32 = 5e-6. Every link counts only after its exact
 Jaccard index on full sets of 64-bit shingle hashes.
 
-The work, none of which grows with the square of a group:
+The work:
 
 1. documents with equal sets form classes; their least doc_id stands for them;
-2. in each band bucket the members are compared with one leader (a star), a few
-   rounds with other leaders while large buckets stay split;
-3. members of a bucket that are still in different components are compared by
-   signature in blocks of ``BLOCK`` rows, spread over tasks; pairs whose
-   signatures agree in at least ``MIN_AGREE`` slots are confirmed;
-4. components of the confirmed links, by label propagation.
+2. in each band bucket the members are compared, by signature, with one leader (a
+   star), in buckets of ``BLOCK`` rows or more with ``WIDE_LEADERS`` others too; the
+   components of pairs that agree in ``MIN_AGREE`` slots are *clusters*;
+3. members of a bucket that are still in different clusters are compared by signature
+   in blocks of ``BLOCK`` rows, of which each emits a spanning forest at most;
+4. each text goes to its cluster's block once, where pairs not yet connected are
+   confirmed on full sets, likeliest first. A cluster of several blocks sends some
+   leaders to all of them; members outside its largest component then go to all of
+   its blocks too. What is emitted grows with rows, not with pairs;
+5. components of the confirmed links, by label propagation.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 rows with a null doc_id keep component_id null and are kept; equal rows give equal
@@ -38,10 +42,10 @@ from .storage import materialize, read_table
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 SLOTS = 2 * PERMUTATIONS
 BANDS = SLOTS // ROWS
-#: Of 128 slots 96 agree at a Jaccard index of 0.75, with a deviation of 5; 60 is seven deviations below.
-MIN_AGREE = 60
+#: Of 128 slots 96 agree at a Jaccard index of 0.75, with a deviation of 4.9; 74 is 4.5 deviations below.
+MIN_AGREE = 74
 BLOCK = 256
-STAR_ROUNDS = 3
+WIDE_LEADERS = 3
 LIMIT = 75
 
 _U = np.uint64
@@ -117,68 +121,82 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], names=["a", "b"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, comp, rep, n, signature) sorted by (key, i, j): likely pairs of different components in blocks i and j of one bucket."""
+class _Forest:
+    """Union-find over few rows, as an array of roots."""
+
+    def __init__(self, groups):
+        self.root = np.unique(np.asarray(groups), return_inverse=True)[1]
+
+    def join(self, x: int, y: int) -> None:
+        self.root[self.root == self.root[y]] = self.root[x]
+
+
+def _candidates(forest: _Forest, slots: np.ndarray, n: np.ndarray, x: int, also: np.ndarray | None = None) -> np.ndarray:
+    """Rows before x, not connected with it, that agree with it in MIN_AGREE slots; most slots first."""
+    near = (forest.root[:x] != forest.root[x]) & (100 * np.minimum(n[:x], n[x]) >= LIMIT * np.maximum(n[:x], n[x]))
+    at = np.flatnonzero(near if also is None else near & also[:x])
+    agree = (slots[at] == slots[x]).sum(1)
+    good = agree >= MIN_AGREE
+    return at[good][np.argsort(-agree[good], kind="stable")]
+
+
+def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _bucket_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, cluster, rep, n, signature) sorted by (key, i, j): a forest of likely pairs between clusters in two blocks of a bucket."""
     a, b = [], []
-    for (_, i, j), rows in groupby(_rows(batches), key=lambda r: r[:3]):
-        rows = list(rows)  # two blocks of a bucket
-        if len(rows) < 2:
-            continue
-        _, _, _, block, comp, rep, n, sig = zip(*rows, strict=True)
-        block, comp, n, rep = map(np.asarray, (block, comp, n, rep))
+    for _, rows in groupby(_rows(batches), key=lambda r: r[:3]):
+        _, _, _, cluster, rep, n, sig = zip(*rows, strict=True)
+        forest, n = _Forest(cluster), np.asarray(n)
         slots = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, SLOTS)
-        for x in range(len(rows)):
-            near = (comp != comp[x]) & (rep > rep[x]) & (100 * np.minimum(n, n[x]) >= LIMIT * np.maximum(n, n[x]))
-            if i != j:
-                near &= block != block[x]
-            at = np.flatnonzero(near)
-            at = at[(slots[at] == slots[x]).sum(1) >= MIN_AGREE]
-            a += [int(rep[x])] * len(at)
-            b += rep[at].tolist()
+        for x in range(1, len(rep)):
+            for y in _candidates(forest, slots, n, x):
+                if forest.root[x] != forest.root[y]:
+                    forest.join(x, y)
+                    a.append(rep[y])
+                    b.append(rep[x])
         if len(a) > 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _pairs_batch(a, b)
             a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    yield _pairs_batch(a, b)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, side, text) sorted by pair, the pairs whose full sets are within the limit."""
+def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, block, rep, comp, odd, n, signature, text) sorted by (cluster, block): a forest of confirmed links between components; with ``odd`` rows, of pairs that have one."""
     a, b = [], []
-    last, known = None, {}
-    for batch in batches:
-        ids, others, sides, texts = (batch.column(c) for c in range(4))
-        data, off = tk.utf8(texts)
-        names = list(zip(ids.to_pylist(), others.to_pylist(), sides.to_pylist(), strict=True))
-        for r, (x, y, side) in enumerate(names):
-            own = y if side else x
-            if own not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[own] = tk.shingle_sets(data, off[r : r + 2], SHINGLE)[0]
-            if last is not None and last[:2] == (x, y):
-                s, t = last[2], known[own]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= LIMIT * (len(s) + len(t) - both):
-                    a.append(x)
-                    b.append(y)
-                last = None
-            else:
-                last = (x, y, known[own])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = [], []
+    for _, rows in groupby(_rows(batches), key=lambda r: r[:2]):
+        rows = list(rows)  # about two blocks
+        sets = tk.shingle_sets(*tk.utf8(pa.array([r[7] for r in rows], pa.large_string())), SHINGLE)
+        # a leader may come twice, and other texts under a doc_id may come along: those have no say
+        own = {r[2]: i for i, r in enumerate(rows) if len(sets[i]) == r[5]}
+        if len(own) < 2:
+            continue
+        sets = [sets[i] for i in own.values()]
+        _, _, rep, comp, odd, n, sig, _ = zip(*(rows[i] for i in own.values()), strict=True)
+        forest, n = _Forest(comp), np.asarray(n)
+        slots = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, SLOTS)
+        odd = np.asarray(odd, bool)
+        for x in range(1, len(rep)):
+            for y in _candidates(forest, slots, n, x, odd if odd.any() and not odd[x] else None):
+                if forest.root[x] == forest.root[y]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= LIMIT * (len(sets[x]) + len(sets[y]) - both):
+                    forest.join(x, y)
+                    a.append(rep[y])
+                    b.append(rep[x])
+        if len(a) > 4096:
+            yield _pairs_batch(a, b)
+            a, b = [], []
+    yield _pairs_batch(a, b)
 
 
 def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct ``pairs`` (a < b), those whose texts' sets overlap enough. ``texts``: rep, text; a text travels once for each of its pairs."""
-    sides = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("rep", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    rows = sides.join(texts, "rep").select("a", "b", "side", "text")
-    return rows.repartition(_tasks(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_confirmed, "a long, b long")
-
-
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of distinct ``pairs``, those whose signatures agree enough."""
     x = reps.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
@@ -186,14 +204,66 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links)
-    return buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label) after ``links`` (a, b) join some of ``labels``'s; only the labels at the links' ends are searched again."""
+    end = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(ends).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    old = labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    new = roots.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("root").alias("label"))
+    return materialize(links.sparkSession, old.union(new), "merged")
+
 
+def _linked(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) among ``rows`` (cluster, block, rep, comp, odd)."""
+    full = rows.join(reps.select("rep", "n", "signature"), "rep").join(texts, "rep").select("cluster", "block", "rep", "comp", "odd", "n", "signature", "text")
+    dealt = full.repartition(_tasks(rows.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block", "rep")
+    return materialize(rows.sparkSession, dealt.mapInArrow(_cluster_blocks, "a long, b long").distinct(), "links")
 
-def _split_buckets(buckets: DataFrame, least: int) -> DataFrame:
-    """Buckets of ``least`` rows or more whose rows are in different components: key, size."""
-    return buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.expr(f"size >= {least} AND low <> high")).select("key", "size")
+
+def _clusters(spark: SparkSession, reps: DataFrame) -> DataFrame:
+    """(node, label): the clusters that may hold links."""
+    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
+    luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
+    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.array(F.min("rep"), *luck).alias("leads")).where("size > 1")
+    buckets = materialize(spark, rows.join(busy, "key"), "buckets")
+    near = F.expr(f"100 * least(n, m) >= {LIMIT} * greatest(n, m)")
+    sizes = reps.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
+    led = buckets.select("rep", "n", F.explode(F.expr(f"IF(size < {BLOCK}, slice(leads, 1, 1), leads)")).alias("lead")).where("rep <> lead").distinct()
+    star = led.join(sizes, "lead").where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    clusters = components(likely(star, reps))
+    labelled = buckets.select("key", "rep", "n").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("cluster"))
+    labelled = materialize(spark, labelled, "labelled")
+    # of three rows or more: a star settles two
+    split = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("size > 2 AND low <> high").select("key", "size")
+    rest = labelled.join(split, "key").join(reps.select("rep", "signature"), "rep")
+    rest = rest.withColumn("blocks", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "rep", "n", "signature")
+    pairs = rest.repartition(_tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_bucket_blocks, "a long, b long")
+    more = materialize(spark, pairs.distinct(), "pairs")
+    return clusters if more.isEmpty() else _merged(clusters, more)
+
+
+def _components(spark: SparkSession, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of every representative that has a link."""
+    placed = _clusters(spark, reps).withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster")
+    luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
+    sizes = materialize(spark, placed.groupBy("cluster").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"), F.array_distinct(F.array(*luck)).alias("leads")), "cluster-sizes")
+    placed = materialize(spark, placed.join(sizes.drop("leads"), "cluster").withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))")), "placed")
+    every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
+    leads = sizes.where("blocks > 1").select("cluster", F.explode("leads").alias("rep"), "blocks").select("cluster", "rep", every)
+    rows = placed.select("cluster", "rep", "block").union(leads.select("cluster", "rep", "block"))
+    labels = components(_linked(rows.withColumn("comp", F.col("rep")).withColumn("odd", F.lit(False)), reps, texts))
+    wide = placed.where("blocks > 1")
+    if wide.isEmpty():
+        return labels
+    wide = materialize(spark, wide.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label"), "wide")
+    parts = wide.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = wide.join(parts, "cluster").withColumn("odd", F.col("comp") != F.col("main"))
+    sent = open_.where("odd").select("cluster", "rep", "comp", "odd", "blocks").select("cluster", "rep", "comp", "odd", every)
+    more = _linked(open_.select("cluster", "rep", "comp", "odd", "block").union(sent).select("cluster", "block", "rep", "comp", "odd"), reps, texts)
+    return labels if more.isEmpty() else _merged(labels, more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,38 +275,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = known.join(classes.withColumnRenamed("n_shingles", "n").withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), F.expr("doc_id = rep AND f1 = g1 AND f2 = g2 AND n_shingles = n"), "left_semi")
     # one row for each class: repeated rows of its least doc_id, or other texts under that doc_id, must not come along
     reps = materialize(spark, first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands"), "classes")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
-    buckets = materialize(spark, rows.join(busy, "key"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).where("rep IS NOT NULL")
-    near = F.expr(f"100 * least(n, m) >= {LIMIT} * greatest(n, m)")
-    sizes = reps.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
-    star = buckets.where("rep <> lead").select("lead", "rep", "n").distinct().join(sizes, "lead").where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-    tried = materialize(spark, likely(star, reps), "star")
-    links = materialize(spark, confirm(tried, texts), "links")
-    labelled = materialize(spark, _labelled(buckets.drop("lead", "size"), links), "labelled")
-    for turn in range(1, STAR_ROUNDS):
-        wide = _split_buckets(labelled, BLOCK)
-        if wide.isEmpty():
-            break
-        # another leader for each component of a wide bucket, and one for the bucket: the least by a hash of this turn
-        inside = labelled.join(wide, "key").withColumn("luck", F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "comp"))
-        lead = inside.groupBy("key").agg(F.min("luck").alias("luck")).select("key", F.col("luck.rep").alias("lead"), F.col("luck.n").alias("m"), F.col("luck.comp").alias("own"))
-        star = inside.join(lead, "key").where("comp <> own").where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        star = materialize(spark, likely(star.join(tried, ["a", "b"], "left_anti"), reps), "star")
-        tried = materialize(spark, tried.union(star), "tried")
-        links = materialize(spark, links.union(confirm(star, texts)), "links")
-        labelled = materialize(spark, _labelled(labelled.drop("comp"), links), "labelled")
-    rest = labelled.join(_split_buckets(labelled, 3), "key").join(reps.select("rep", "signature"), "rep")
-    rest = rest.withColumn("blocks", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep", "n", "signature")
-    pairs = rest.repartition(_tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_block_pairs, "a long, b long").distinct()
-    pairs = materialize(spark, pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = materialize(spark, links.union(confirm(pairs, texts)), "links")
-    labels = components(links).withColumnRenamed("node", "rep")
-    classed = materialize(spark, classes.join(labels, "rep", "left").select("f1", "f2", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id")), "class-labels")
+    comp = _components(spark, reps, texts).withColumnRenamed("node", "rep")
+    classed = classes.join(comp, "rep", "left").select("f1", "f2", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(classed, ["f1", "f2", "n_shingles"], "left")
     alone = F.expr("n_shingles = 0 OR doc_id IS NULL")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
