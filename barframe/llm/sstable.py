@@ -203,6 +203,20 @@ class TableReader:
 _AMBIGUOUS = re.compile(r"\s(?= (?:\s|\Z))")
 
 
+def atoms(piece: str) -> list[str]:
+    """Parts of a piece that the pre-tokeniser keeps apart in any case: before and after a lone line feed, and a letter from a stop or comma after it."""
+    lines = piece.split("\n") if "\n" in piece else [piece]
+    if len(lines) > 1 and not (lines[0].rstrip() == lines[0] != "" and all(x and x.strip() == x for x in lines[1:])):
+        return [piece]
+    out = []
+    for i, x in enumerate(lines):
+        if i:
+            out.append("\n")
+        stem = x.rstrip(".,;:!?")
+        out += [stem, x[len(stem) :]] if len(stem) < len(x) and stem[-1:].isalpha() else [x]
+    return out
+
+
 class CachedEncoder:
     """Byte-level BPE ids of texts, each distinct piece encoded once while it stays in the cache.
 
@@ -219,7 +233,8 @@ class CachedEncoder:
 
         self.tokenizer, self.max_pieces = Tokenizer.from_file(path), max_pieces
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by exact text
+        self.spaced: dict[str, bytes] = {}  # by the text after one space
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -227,22 +242,29 @@ class CachedEncoder:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in got]
 
+    def _learn(self, pieces: list[str]) -> None:
+        new = list({x for x in pieces if x not in self.known})
+        for i in range(0, len(new), 8192):
+            self.known.update(zip(new[i : i + 8192], self._fresh(new[i : i + 8192]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
+        for cache in (self.known, self.spaced):
+            if len(cache) > self.max_pieces:
+                cache.clear()
         split, whole = {}, []
         for i, t in enumerate(texts):
             if _AMBIGUOUS.search(t) or self.added and self.added.search(t):
                 whole.append(i)
             else:
-                parts = t.split(" ")
-                split[i] = [*parts[:1], *(" " + p for p in parts[1:])] if parts[0] else [" " + p for p in parts[1:]]
-        new = list({p for parts in split.values() for p in parts if p not in self.known})
-        for i in range(0, len(new), 8192):
-            self.known.update(zip(new[i : i + 8192], self._fresh(new[i : i + 8192]), strict=True))
+                head, *tail = t.split(" ")
+                split[i] = head, tail
+        fresh = {p: atoms(" " + p) for p in set().union(*(tail for _, tail in split.values())).difference(self.spaced)}
+        self._learn([x for parts in fresh.values() for x in parts] + [head for head, _ in split.values() if head])
+        for p, parts in fresh.items():
+            self.spaced[p] = b"".join(map(self.known.__getitem__, parts))
         out: list[bytes] = [b""] * len(texts)
-        for i, parts in split.items():
-            out[i] = b"".join(map(self.known.__getitem__, parts))
+        for i, (head, tail) in split.items():
+            out[i] = (self.known[head] if head else b"") + b"".join(map(self.spaced.__getitem__, tail))
         for i in whole:
             out[i] = self._fresh([texts[i]])[0]
         return out
