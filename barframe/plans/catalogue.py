@@ -1,4 +1,225 @@
-"""Registered queries over the reference tables, each with the SQL that must give the same rows."""
+"""Registered queries over the reference tables, each with the SQL that must give the same rows.
 
-QUERIES = {}
-ORACLES = {}
+All run on bars by symbol. ``close`` has gaps in the column ``x``: every seventh bar is
+missing, so that each operator's rule for missing values shows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import align, recursive, ta
+from ..operators.frame import BarFrame, fixnan, nz, switch
+from ..sources.bars import from_ticks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Hourly bars of events by type, with gaps in x.
+BARS_SQL = """
+raw AS (SELECT event_type AS sym, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS time,
+        first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+        last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
+        FROM events WHERE value IS NOT NULL GROUP BY ALL),
+bars AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time) - 1 AS i,
+        CASE WHEN (row_number() OVER (PARTITION BY sym ORDER BY time) - 1) % 7 <> 3 THEN close END AS x FROM raw)
+"""
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> BarFrame:
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    bf = BarFrame(from_ticks(ticks, "event_type", "ts", "value", "hour", "event_id"))
+    bf = bf.with_columns(i=bf.index())
+    return bf.with_columns(x=F.when(F.col("i") % 7 != 3, F.col("close")))
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    """sym, time and the named columns; doubles rounded, since sums in another order differ in the last bits."""
+    kinds = dict(df.dtypes)
+    value = lambda n: (F.round(n, places) + 0.0).alias(n) if kinds[n] == "double" else F.col(n)
+    return df.select("sym", "time", *(value(n) for n in names))
+
+
+def _rounded_sql(columns: dict[str, str], source: str, places: int = 6) -> str:
+    cols = ", ".join(f"round({e}, {places}) + 0.0 AS {n}" if not n.startswith("b_") else f"{e} AS {n}" for n, e in columns.items())
+    return f"SELECT sym, time, {cols} FROM {source}"
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _bars(name: str, build: Callable[[BarFrame], BarFrame], columns: dict[str, str], extra: str = "", source: str = "bars") -> None:
+    """A query on the hourly bars: its columns, and the SQL of each. ``extra``: further CTEs. Names with ``b_`` aren't rounded."""
+    sql = f"WITH {BARS_SQL}{', ' + extra if extra else ''} " + _rounded_sql(columns, source)
+    register(name, sql)(lambda spark, sf_dir: rounded(build(hourly(spark, sf_dir)).df, *columns))
+
+
+def _w(n: int | None = None, part: str = "sym", end: str = "CURRENT ROW") -> str:
+    frame = "UNBOUNDED PRECEDING" if n is None else f"{n - 1} PRECEDING"
+    return f"OVER (PARTITION BY {part} ORDER BY time ROWS BETWEEN {frame} AND {end})"
+
+
+def _obs(x: str, n: int, agg: str, name: str = "v", source: str = "bars") -> str:
+    """CTEs ``<name>_o`` and ``<name>``: ``source`` with ``name``, the aggregate of x's last n observations."""
+    return f"""{name}_o AS (SELECT *, {x} AS {name}_x FROM {source}),
+{name}_p AS (SELECT *, CASE WHEN {name}_x IS NOT NULL AND count({name}_x) {_w(n, f'sym, ({name}_x IS NOT NULL)')} = {n} THEN {agg.format(x=name + '_x', w=_w(n, f'sym, ({name}_x IS NOT NULL)'))} END AS {name}_r FROM {name}_o),
+{name}_t AS (SELECT *, last_value({name}_r IGNORE NULLS) {_w()} AS {name} FROM {name}_p)"""
+
+
+SUM, AVG, STD = "sum({x}) {w}", "avg({x}) {w}", "stddev_pop({x}) {w}"
+
+# ---- bars -----------------------------------------------------------------------------------
+
+
+@register("bars_hourly", f"WITH {BARS_SQL} SELECT sym, time, open, high, low, close, volume FROM bars")
+def bars_hourly(spark, sf_dir):
+    return hourly(spark, sf_dir).df.select("sym", "time", "open", "high", "low", "close", "volume")
+
+
+def _ticks(table: str, sym: str, ts: str, value: str, tie: list[str], every: str, volume: str | None = None):
+    return lambda spark, sf_dir: from_ticks(spark.read.parquet(f"{sf_dir}/{table}.parquet"), sym, ts, value, every, tie, volume).select("sym", "time", "open", "high", "low", "close", (F.round("volume", 4) + 0.0).alias("volume"))
+
+
+for _every in ("day", "week", "month"):
+    register(f"bars_orders_{_every}", f"""SELECT o_orderpriority AS sym, CAST(epoch(date_trunc('{_every}', o_orderdate)) AS BIGINT) AS time,
+        first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
+        last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume
+        FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL""")(_ticks("orders", "o_orderpriority", "o_orderdate", "o_totalprice", ["o_orderkey"], _every))
+register("bars_lineitem_day", """SELECT l_returnflag AS sym, CAST(epoch(date_trunc('day', l_shipdate)) AS BIGINT) AS time,
+        first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+        last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber) AS close, round(CAST(sum(l_quantity) AS DOUBLE), 4) + 0.0 AS volume
+        FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY ALL""")(_ticks("lineitem", "l_returnflag", "l_shipdate", "l_extendedprice", ["l_orderkey", "l_linenumber"], "day", "l_quantity"))
+
+
+@register("sma_cross_signals", f"""WITH {BARS_SQL}, {_obs('close', 5, AVG, 'm')},
+    p AS (SELECT *, lag(close) OVER (PARTITION BY sym, (close IS NOT NULL AND m IS NOT NULL) ORDER BY time) AS c0, lag(m) OVER (PARTITION BY sym, (close IS NOT NULL AND m IS NOT NULL) ORDER BY time) AS m0 FROM m_t)
+    SELECT sym, time, close, CASE WHEN close > m THEN 'buy' ELSE 'sell' END AS signal FROM p WHERE (c0 <= m0 AND close > m) OR (c0 >= m0 AND close < m)""")
+def sma_cross_signals(spark, sf_dir):
+    bf = ta.sma(hourly(spark, sf_dir), "close", 5, "m")
+    bf = ta.crossunder(ta.crossover(bf, "close", "m", "up"), "close", "m", "down")
+    return bf.df.where("up OR down").select("sym", "time", "close", F.when(F.col("up"), "buy").otherwise("sell").alias("signal"))
+
+
+_bars("sources", lambda b: b.sources(), {"hl2": "(high + low) / 2", "hlc3": "(high + low + close) / 3", "ohlc4": "(open + high + low + close) / 4", "hlcc4": "(high + low + close + close) / 4"})
+_bars("bar_state", lambda b: (lambda s: s.with_columns(b_index=F.col("bar_index"), b_last=F.col("last_bar_index"), b_first=F.col("isfirst"), b_end=F.col("islast")))(b.bar_state()),
+      {"b_index": "i", "b_last": "count(*) OVER (PARTITION BY sym) - 1", "b_first": "i = 0", "b_end": "i = count(*) OVER (PARTITION BY sym) - 1"})
+_bars("time_close", lambda b: b.time_closes().with_columns(b_close=F.col("time_close")), {"b_close": "coalesce(nxt, time + least_step)"},
+      f"s AS (SELECT *, lead(time) OVER (PARTITION BY sym ORDER BY time) AS nxt FROM bars), s2 AS (SELECT *, min(nxt - time) OVER (PARTITION BY sym) AS least_step FROM s)", "s2")
+_bars("history_ref", lambda b: b.history("x", 3, "x3").history("close", 1, "c1"), {"x3": "lag(x, 3) OVER (PARTITION BY sym ORDER BY time)", "c1": "lag(close) OVER (PARTITION BY sym ORDER BY time)"})
+_bars("nz_fixnan", lambda b: fixnan(b, "x", "filled").with_columns(zero=nz(F.col("x")), minus=nz(F.col("x"), -1.0)), {"filled": f"last_value(x IGNORE NULLS) {_w()}", "zero": "coalesce(x, 0)", "minus": "coalesce(x, -1)"})
+_bars("when_switch", lambda b: b.with_columns(pick=switch((F.col("x") > F.col("open"), F.lit(1.0)), (F.col("x") < F.col("open"), F.lit(-1.0)), default=0.0)), {"pick": "CASE WHEN x > open THEN 1.0 WHEN x < open THEN -1.0 ELSE 0.0 END"})
+
+# ---- observation windows -------------------------------------------------------------------
+
+for _name, _f, _agg in (("sma", ta.sma, AVG), ("math_sum", ta.rolling_sum, SUM), ("stdev", ta.stdev, STD), ("variance", ta.variance, "var_pop({x}) {w}")):
+    _bars(_name, lambda b, f=_f: f(f(b, "x", 5, "gap"), "close", 9, "full"), {"gap": "a", "full": "c"}, _obs("x", 5, _agg, "a") + ", " + _obs("close", 9, _agg, "c", "a_t"), "c_t")
+_bars("variance_sample", lambda b: ta.variance(b, "x", 6, "v", biased=False), {"v": "v"}, _obs("x", 6, "var_samp({x}) {w}"), "v_t")
+_bars("volume_sma", lambda b: ta.volume_sma(b, 20), {"volume_sma": "v"}, _obs("volume", 20, AVG), "v_t")
+_bars("bb", lambda b: ta.bb(b, "x", 10, 2.0), {"bb_mid": "m", "bb_up": "m + 2 * s", "bb_low": "m - 2 * s"}, _obs("x", 10, AVG, "m") + ", " + _obs("x", 10, STD, "s", "m_t"), "s_t")
+_bars("vwma", lambda b: ta.vwma(b, "x", 6, "v"), {"v": "CASE WHEN q > 0 THEN p / q END"}, _obs("x * volume", 6, SUM, "p") + ", " + _obs("volume", 6, SUM, "q", "p_t"), "q_t")
+_LAG = "lag({}, {}) OVER (PARTITION BY sym ORDER BY time)"
+_DELTA = "d AS (SELECT *, x - lag(x) OVER (PARTITION BY sym ORDER BY time) AS dx FROM bars)"
+_bars("cmo", lambda b: ta.cmo(b, "x", 8), {"cmo": "CASE WHEN i >= 8 AND u + w <> 0 THEN 100 * (u - w) / (u + w) END"},
+      _DELTA + ", " + _obs("CASE WHEN dx >= 0 THEN dx ELSE 0 END", 8, SUM, "u", "d") + ", " + _obs("CASE WHEN dx >= 0 THEN 0 ELSE -dx END", 8, SUM, "w", "u_t"), "w_t")
+_bars("mfi", lambda b: ta.mfi(b, "x", 8), {"mfi": "CASE WHEN w IS NULL OR w = 0 THEN 100 ELSE 100 - 100 / (1 + u / w) END"},
+      _DELTA + ", " + _obs("CASE WHEN dx > 0 THEN x * volume ELSE 0 END", 8, SUM, "u", "d") + ", " + _obs("CASE WHEN dx < 0 THEN x * volume ELSE 0 END", 8, SUM, "w", "u_t"), "w_t")
+
+# ---- extremes --------------------------------------------------------------------------------
+
+_SEG = f"g AS (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) {_w()} AS seg FROM bars)"
+_bars("highest_lowest", lambda b: ta.lowest(ta.highest(b, "x", 5, "hi"), "x", 5, "lo"),
+      {"hi": f"CASE WHEN x IS NOT NULL AND i >= 4 THEN max(x) {_w(5, 'sym, seg')} END", "lo": f"CASE WHEN x IS NOT NULL AND i >= 4 THEN min(x) {_w(5, 'sym, seg')} END"}, _SEG, "g")
+_bars("highest_lowest_bars", lambda b: ta.lowestbars(ta.highestbars(b, "x", 5, "hi"), "x", 5, "lo"),
+      {"hi": f"CASE WHEN i >= 4 THEN CASE WHEN x IS NULL THEN 0.0 ELSE CAST(k - i AS DOUBLE) END END", "lo": "CASE WHEN i >= 4 THEN CASE WHEN x IS NULL THEN 0.0 ELSE CAST(k2 - i AS DOUBLE) END END"},
+      _SEG + f""", g2 AS (SELECT *, max(x) {_w(5, 'sym, seg')} AS mx, min(x) {_w(5, 'sym, seg')} AS mn FROM g),
+      g3 AS (SELECT a.*, (SELECT min(b.i) FROM g b WHERE b.sym = a.sym AND b.seg = a.seg AND b.i BETWEEN a.i - 4 AND a.i AND b.x = a.mx) AS k,
+             (SELECT min(b.i) FROM g b WHERE b.sym = a.sym AND b.seg = a.seg AND b.i BETWEEN a.i - 4 AND a.i AND b.x = a.mn) AS k2 FROM g2 a)""", "g3")
+_HL = f"h AS (SELECT *, CASE WHEN i >= 9 THEN max(high) {_w(10)} END AS hh, CASE WHEN i >= 9 THEN min(low) {_w(10)} END AS ll FROM bars)"
+_bars("donchian", lambda b: ta.donchian(b, 10), {"don_up": "hh", "don_mid": "(hh + ll) / 2", "don_low": "ll"}, _HL, "h")
+_bars("wpr", lambda b: ta.wpr(b, 10), {"wpr": "CASE WHEN hh = ll THEN 0 ELSE -100 * (hh - close) / (hh - ll) END"}, _HL, "h")
+_bars("stoch", lambda b: ta.stoch(b, "x", 10), {"stoch": f"last_value(r IGNORE NULLS) {_w()}"}, _HL + ", r AS (SELECT *, CASE WHEN hh <> ll THEN 100 * (x - ll) / (hh - ll) END AS r FROM h)", "r")
+
+# ---- weighted and full windows ---------------------------------------------------------------
+
+
+def _dot(x: str, weights: list[float], w: str = "OVER (PARTITION BY sym ORDER BY time)") -> str:
+    return " + ".join(f"{c!r} * {f'lag({x}, {k}) {w}' if k else x}" for k, c in enumerate(weights))
+
+
+_bars("swma", lambda b: ta.swma(ta.swma(b, "x", "gap"), "close", "full"), {"gap": f"({_dot('x', [1, 2, 2, 1])}) / 6.0", "full": f"({_dot('close', [1, 2, 2, 1])}) / 6.0"})
+_bars("wma", lambda b: ta.wma(b, "x", 5, "v"), {"v": f"CASE WHEN x IS NOT NULL AND seen >= 5 THEN ({_dot('f', [5, 4, 3, 2, 1])}) / 15.0 END"},
+      f"f AS (SELECT *, last_value(x IGNORE NULLS) {_w()} AS f, count(x) {_w()} AS seen FROM bars)", "f")
+
+
+def _alma_weights(n: int) -> list[float]:
+    import math
+
+    raw = [math.exp(-((i - 0.85 * (n - 1)) ** 2) / (2 * (n / 6.0) ** 2)) for i in range(n)]
+    return [w / sum(raw) for w in reversed(raw)]
+
+
+_bars("alma", lambda b: ta.alma(b, "close", 9, "v"), {"v": _dot("close", _alma_weights(9))})
+_bars("hma", lambda b: ta.hma(b, "close", 9, "v"), {"v": f"CASE WHEN i >= 10 THEN ({_dot('q', [3, 2, 1])}) / 6.0 END"},
+      f"q AS (SELECT *, 2 * ({_dot('close', [4, 3, 2, 1])}) / 10.0 - ({_dot('close', [9, 8, 7, 6, 5, 4, 3, 2, 1])}) / 45.0 AS q FROM bars)", "q")
+_bars("linreg", lambda b: ta.linreg(ta.linreg(b, "x", 5, "gap"), "close", 8, "back", 2),
+      {"gap": f"CASE WHEN count(x) {_w(5)} = 5 THEN regr_intercept(x, i) {_w(5)} + regr_slope(x, i) {_w(5)} * i END", "back": f"CASE WHEN i >= 7 THEN regr_intercept(close, i) {_w(8)} + regr_slope(close, i) {_w(8)} * (i - 2) END"})
+_bars("correlation", lambda b: ta.correlation(b, "close", "volume", 8, "v"),
+      {"v": f"CASE WHEN i >= 7 THEN CASE WHEN var_pop(close) {_w(8)} = 0 OR max(volume) {_w(8)} = min(volume) {_w(8)} THEN 0 ELSE corr(close, volume) {_w(8)} END END"})
+_LIST = "l AS (SELECT *, list({x}) {w} AS ls, avg({x}) {w} AS mean, count({x}) {w} AS n FROM bars)"
+_bars("dev", lambda b: ta.dev(b, "x", 5, "v"), {"v": "CASE WHEN n = 5 THEN list_sum(list_transform(ls, lambda e: abs(e - mean))) / 5 END"}, _LIST.format(x="x", w=_w(5)), "l")
+_bars("cci", lambda b: ta.cci(b, "close", 7), {"cci": "CASE WHEN n = 7 THEN CASE WHEN max(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) = min(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) THEN 0 ELSE (close - mean) / (0.015 * list_sum(list_transform(ls, lambda e: abs(e - mean))) / 7) END END"}, _LIST.format(x="close", w=_w(7)), "l")
+_bars("percentile_nearest", lambda b: ta.percentile_nearest_rank(b, "x", 6, 40, "v"), {"v": "CASE WHEN n = 6 THEN list_sort(ls)[3] END"}, _LIST.format(x="x", w=_w(6)), "l")
+_bars("percentile_hazen", lambda b: ta.percentile_linear_interpolation(b, "x", 6, 40, "v"), {"v": "CASE WHEN n = 6 THEN list_sort(ls)[2] + 0.9 * (list_sort(ls)[3] - list_sort(ls)[2]) END"}, _LIST.format(x="x", w=_w(6)), "l")
+
+# ---- lags, transitions, anchors ----------------------------------------------------------------
+
+_bars("change_mom_roc", lambda b: ta.roc(ta.mom(ta.change(b, "x", 1), "close", 4, "mom"), "x", 2), {"change": "x - " + _LAG.format("x", 1), "mom": "close - " + _LAG.format("close", 4), "roc": f"100 * (x - {_LAG.format('x', 2)}) / nullif({_LAG.format('x', 2)}, 0)"})
+_PAIR = "p AS (SELECT *, lag(x) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS x0, lag(open) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS o0 FROM bars)"
+_bars("crosses", lambda b: ta.cross(ta.crossunder(ta.crossover(b, "x", "open", "b_over"), "x", "open", "b_under"), "x", "open", "b_cross"),
+      {"b_over": "coalesce(x IS NOT NULL AND x0 <= o0 AND x > open, false)", "b_under": "coalesce(x IS NOT NULL AND x0 >= o0 AND x < open, false)", "b_cross": "coalesce(x IS NOT NULL AND ((x0 < o0 AND x > open) OR (x0 > o0 AND x < open)), false)"}, _PAIR, "p")
+_bars("rising_falling", lambda b: ta.falling(ta.rising(b, "x", 2, "b_up"), "x", 2, "b_down"),
+      {"b_up": f"coalesce(last_value(u IGNORE NULLS) {_w()}, false)", "b_down": f"coalesce(last_value(d IGNORE NULLS) {_w()}, false)"},
+      _PAIR + ", q AS (SELECT *, lag(x0) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS x1 FROM p), q2 AS (SELECT *, CASE WHEN x IS NOT NULL THEN coalesce(x > x0 AND x0 > x1, false) END AS u, CASE WHEN x IS NOT NULL THEN coalesce(x < x0 AND x0 < x1, false) END AS d FROM q)", "q2")
+_bars("barssince", lambda b: ta.barssince(b, F.col("x") > F.col("open"), "b_since"), {"b_since": f"i - last_value(CASE WHEN x > open THEN i END IGNORE NULLS) {_w()}"})
+_bars("valuewhen", lambda b: ta.valuewhen(b, F.col("close") > F.col("open"), "high", 1, "v"), {"v": f"last_value(hv IGNORE NULLS) {_w()}"},
+      "c AS (SELECT *, close > open AS hit FROM bars), c2 AS (SELECT *, CASE WHEN hit THEN lag(high) OVER (PARTITION BY sym, hit ORDER BY time) END AS hv FROM c)", "c2")
+_PIV = _SEG + """, pv AS (SELECT *, max(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS lh, max(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS rh,
+    min(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS ll, min(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS rl FROM g)"""
+_bars("pivots", lambda b: ta.pivotlow(ta.pivothigh(b, "x", 2, 1, "ph"), "x", 2, 1, "pl"),
+      {"ph": "lag(CASE WHEN i >= 2 AND coalesce(x >= lh, true) AND coalesce(x > rh, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)", "pl": "lag(CASE WHEN i >= 2 AND coalesce(x <= ll, true) AND coalesce(x < rl, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)"}, _PIV, "pv")
+_bars("cum_obv", lambda b: ta.obv(ta.cum(b, "x", "cum")), {"cum": f"CASE WHEN x IS NOT NULL THEN sum(x) {_w()} END", "obv": f"CASE WHEN i > 0 THEN sum(f) {_w()} END"},
+      "o AS (SELECT *, sign(close - lag(close) OVER (PARTITION BY sym ORDER BY time)) * volume AS f FROM bars)", "o")
+_bars("tr", lambda b: ta.tr(b), {"tr": "CASE WHEN c0 IS NULL THEN high - low ELSE greatest(high - low, abs(high - c0), abs(low - c0)) END"}, "t AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS c0 FROM bars)", "t")
+_DAY = f"""a AS (SELECT *, (time // 86400) IS DISTINCT FROM lag(time // 86400) OVER (PARTITION BY sym ORDER BY time) AS nd FROM bars),
+    a2 AS (SELECT *, sum(CASE WHEN nd THEN 1 ELSE 0 END) {_w()} AS grp FROM a)"""
+_VW = {"p": "x * volume", "q": "CASE WHEN x IS NOT NULL THEN volume END", "r": "x * x * volume"}
+_bars("vwap_bands", lambda b: ta.vwap(b, "x", mult=2.0, out=("vwap", "vwap_up", "vwap_low")),
+      {"vwap": "m", "vwap_up": "m + 2 * sqrt(greatest(s2 - m * m, 0))", "vwap_low": "m - 2 * sqrt(greatest(s2 - m * m, 0))"},
+      _DAY + f", a3 AS (SELECT *, CASE WHEN x IS NOT NULL THEN sum(x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} END AS m, sum(x * x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} AS s2 FROM a2)", "a3")
+_bars("highest_lowest_since", lambda b: ta.lowest_since(ta.highest_since(b, ta_day(b), "hi"), ta_day(b), "lo"), {"hi": f"max(high) {_w(None, 'sym, grp')}", "lo": f"min(low) {_w(None, 'sym, grp')}"}, _DAY, "a2")
+_bars("timeframe_change", lambda b: b.with_columns(b_day=ta_day(b)), {"b_day": "nd"}, _DAY, "a2")
+
+
+def ta_day(b: BarFrame) -> Column:
+    return ta.new_day(b)
+
+
+_PERIOD = _DAY + f""", pp AS (SELECT sym, grp, first(open ORDER BY time) AS o, max(high) AS h, min(low) AS l, last(close ORDER BY time) AS c FROM a2 GROUP BY sym, grp),
+    pq AS (SELECT a2.sym, a2.time, pp.o AS o, pp.h AS h, pp.l AS l, pp.c AS c, pp.h - pp.l AS r, pp.h / nullif(pp.l, 0) AS q, first_value(a2.open) OVER (PARTITION BY a2.sym, a2.grp ORDER BY a2.time) AS n,
+           CASE WHEN pp.c = pp.o THEN pp.h + pp.l + 2 * pp.c WHEN pp.c > pp.o THEN 2 * pp.h + pp.l + pp.c ELSE 2 * pp.l + pp.h + pp.c END AS x
+           FROM a2 LEFT JOIN pp ON a2.sym = pp.sym AND a2.grp = pp.grp + 1)"""
+for _kind, _levels in ta.LEVELS.items():
+    _names = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
+    _sql = {f"lv_{n}": (f"({e})" if k else e) for k, (n, e) in enumerate(zip(_names, _levels, strict=True)) if e}
+    _bars(f"pivot_levels_{_kind}", lambda b, kind=_kind, names=tuple(_sql): (lambda f: f.with_columns(**{n: F.get("lv", F.lit(_ORDER.index(n[3:]))) for n in names}))(ta.pivot_point_levels(b, kind, ta_day(b), "lv")), _sql, _PERIOD + f", pr AS (SELECT *, {_levels[0]} AS p FROM pq)", "pr")
+_ORDER = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
