@@ -62,7 +62,7 @@ def security_lower_tf(chart: BarFrame, lower: BarFrame, values: Sequence[str], c
     out = chart.df.join(groups, [*keys, order], "left")
     for v in values:
         kind = dict(lower.df.dtypes)[v]
-        out = out.withColumn(prefix + v, F.coalesce(F.transform("_rows", lambda r, v=v: r[v]), F.array().cast(f"array<{kind}>")))
+        out = out.withColumn(prefix + v, F.coalesce(F.col("_rows")[v], F.array().cast(f"array<{kind}>")))
     if max_size is not None:
         out = out.where(F.assert_true(F.size(prefix + values[0]) <= max_size, F.lit("a lower timeframe group is too large")).isNull())
     return BarFrame(out.drop("_rows"), chart.keys, order)

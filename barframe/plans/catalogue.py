@@ -223,3 +223,126 @@ for _kind, _levels in ta.LEVELS.items():
     _sql = {f"lv_{n}": (f"({e})" if k else e) for k, (n, e) in enumerate(zip(_names, _levels, strict=True)) if e}
     _bars(f"pivot_levels_{_kind}", lambda b, kind=_kind, names=tuple(_sql): (lambda f: f.with_columns(**{n: F.get("lv", F.lit(_ORDER.index(n[3:]))) for n in names}))(ta.pivot_point_levels(b, kind, ta_day(b), "lv")), _sql, _PERIOD + f", pr AS (SELECT *, {_levels[0]} AS p FROM pq)", "pr")
 _ORDER = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
+
+# ---- averages with memory ---------------------------------------------------------------------
+
+
+def _avg(name: str, x: str, n: int, alpha: float, source: str = "bars", repeat: bool = False) -> str:
+    """CTE ``<name>_t``: ``source`` with ``name``, the average of x begun with the mean of its first n values."""
+    return f"""{name}_s AS MATERIALIZED (SELECT *, {x} AS {name}_x FROM {source}),
+{name}_r AS (SELECT sym, i, CASE WHEN {name}_x IS NULL THEN 0 ELSE 1 END AS cnt, coalesce({name}_x, 0.0) AS tot, CASE WHEN {n} = 1 THEN {name}_x END AS v FROM {name}_s WHERE i = 0
+  UNION ALL SELECT s.sym, s.i, r.cnt + CASE WHEN s.{name}_x IS NOT NULL AND r.cnt < {n} THEN 1 ELSE 0 END, r.tot + CASE WHEN s.{name}_x IS NOT NULL AND r.cnt < {n} THEN s.{name}_x ELSE 0 END,
+  CASE WHEN s.{name}_x IS NULL THEN r.v WHEN r.cnt < {n - 1} THEN NULL WHEN r.cnt = {n - 1} THEN (r.tot + s.{name}_x) / {n} ELSE {alpha!r} * s.{name}_x + {1 - alpha!r} * r.v END
+  FROM {name}_r r JOIN {name}_s s ON s.sym = r.sym AND s.i = r.i + 1),
+{name}_t AS (SELECT s.*, {'r.v' if repeat else f'CASE WHEN s.{name}_x IS NOT NULL THEN r.v END'} AS {name} FROM {name}_s s JOIN {name}_r r ON s.sym = r.sym AND s.i = r.i)"""
+
+
+def _chain(name: str, build: Callable[[BarFrame], BarFrame], columns: dict[str, str], extra: str, source: str) -> None:
+    _bars(name, build, columns, extra, source)
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_chain("ema", lambda b: recursive.ema(recursive.ema(b, "x", 5, "gap"), "close", 9, "full"), {"gap": "a", "full": "c"}, _avg("a", "x", 5, 2 / 6) + ", " + _avg("c", "close", 9, 2 / 10, "a_t"), "c_t")
+_chain("rma", lambda b: recursive.rma(b, "x", 6, "v"), {"v": "a"}, _avg("a", "x", 6, 1 / 6), "a_t")
+_chain("rsi", lambda b: recursive.rsi(b, "x", 7), {"rsi": "CASE WHEN dx IS NOT NULL AND i >= 7 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END"},
+       _DELTA + ", " + _avg("g", "CASE WHEN dx > 0 THEN dx WHEN dx <= 0 THEN 0 END", 7, 1 / 7, "d") + ", " + _avg("l", "CASE WHEN dx < 0 THEN -dx WHEN dx >= 0 THEN 0 END", 7, 1 / 7, "g_t"), "l_t")
+_chain("macd", lambda b: recursive.macd(b, "close", 5, 10, 4), {"macd": "f - s", "macd_signal": "m", "macd_hist": "f - s - m"},
+       ", ".join((_avg("f", "close", 5, 2 / 6), _avg("s", "close", 10, 2 / 11, "f_t"), _avg("m", "f - s", 4, 2 / 5, "s_t"))), "m_t")
+_chain("tsi", lambda b: recursive.tsi(b, "close", 4, 7), {"tsi": "CASE WHEN q <> 0 THEN p / q END"},
+       "d AS (SELECT *, close - lag(close) OVER (PARTITION BY sym ORDER BY time) AS dc FROM bars), " + ", ".join((_avg("a", "dc", 7, 2 / 8, "d"), _avg("p", "a", 4, 2 / 5, "a_t"), _avg("c", "abs(dc)", 7, 2 / 8, "p_t"), _avg("q", "c", 4, 2 / 5, "c_t"))), "q_t")
+_TR = "t AS (SELECT *, CASE WHEN lag(close) OVER (PARTITION BY sym ORDER BY time) IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER (PARTITION BY sym ORDER BY time)), abs(low - lag(close) OVER (PARTITION BY sym ORDER BY time))) END AS tr FROM bars)"
+_chain("atr", lambda b: recursive.atr(b, 7), {"atr": "a"}, _TR + ", " + _avg("a", "tr", 7, 1 / 7, "t", True), "a_t")
+_MOVES = """m AS (SELECT *, CASE WHEN i > 0 THEN tr END AS str, high - lag(high) OVER (PARTITION BY sym ORDER BY time) AS up, lag(low) OVER (PARTITION BY sym ORDER BY time) - low AS dn FROM t)"""
+_chain("dmi_adx", lambda b: recursive.dmi(b, 7, 5), {"plus_di": "pd", "minus_di": "md", "adx": "100 * z"},
+       ", ".join((_TR, _MOVES, _avg("r", "str", 7, 1 / 7, "m", True), _avg("p", "CASE WHEN up IS NOT NULL THEN CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END END", 7, 1 / 7, "r_t", True),
+                  _avg("n", "CASE WHEN dn IS NOT NULL THEN CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END END", 7, 1 / 7, "p_t", True),
+                  f"di AS (SELECT *, last_value(100 * p / nullif(r, 0) IGNORE NULLS) {_w()} AS pd, last_value(100 * n / nullif(r, 0) IGNORE NULLS) {_w()} AS md FROM n_t)",
+                  _avg("z", "abs(pd - md) / CASE WHEN pd + md = 0 THEN 1 ELSE pd + md END", 5, 1 / 5, "di", True))), "z_t")
+_chain("keltner", lambda b: recursive.keltner(b, 6, 1.5), {"kc_up": "m + 1.5 * w", "kc_mid": "m", "kc_low": "m - 1.5 * w"},
+       ", ".join((_TR, _avg("m", "close", 6, 2 / 7, "t"), _avg("w", "CASE WHEN i > 0 THEN tr END", 6, 2 / 7, "m_t"))), "w_t")
+_chain("keltner_atr", lambda b: recursive.keltner(b, 6, 2.0, width="atr"), {"kc_up": "m + 2 * w", "kc_mid": "m", "kc_low": "m - 2 * w"},
+       ", ".join((_TR, _avg("m", "close", 6, 2 / 7, "t"), _avg("w", "tr", 6, 1 / 6, "m_t", True))), "w_t")
+
+
+def _dynamic(name: str, x: str, alpha: str, source: str) -> str:
+    """The average whose length ``len`` is a column."""
+    return f"""{name}_s AS MATERIALIZED (SELECT *, {x} AS {name}_x, CAST(3 + i % 4 AS DOUBLE) AS len FROM {source}),
+{name}_r AS (SELECT sym, i, {name}_x AS v FROM {name}_s WHERE i = 0
+  UNION ALL SELECT s.sym, s.i, CASE WHEN s.{name}_x IS NULL THEN r.v WHEN r.v IS NULL THEN s.{name}_x ELSE {alpha} * s.{name}_x + (1 - {alpha}) * r.v END FROM {name}_r r JOIN {name}_s s ON s.sym = r.sym AND s.i = r.i + 1),
+{name}_t AS (SELECT s.* EXCLUDE (len), r.v AS {name} FROM {name}_s s JOIN {name}_r r ON s.sym = r.sym AND s.i = r.i)"""
+
+
+def _length() -> Column:
+    return F.col("i") % 4 + 3
+
+
+_chain("ema2_rma2_atr2", lambda b: recursive.atr2(recursive.rma2(recursive.ema2(b, "x", _length(), "e2"), "x", _length(), "r2"), _length(), "a2"), {"e2": "e", "r2": "r", "a2": "a"},
+       ", ".join((_TR, _dynamic("e", "x", "2 / (s.len + 1)", "t"), _dynamic("r", "x", "(1 / s.len)", "e_t"), _dynamic("a", "tr", "(1 / s.len)", "r_t"))), "a_t")
+# state machines: tests compare them with plain loops
+QUERIES["sar"] = lambda spark, sf_dir: rounded(recursive.sar(hourly(spark, sf_dir)).df, "sar")
+QUERIES["supertrend"] = lambda spark, sf_dir: rounded(recursive.supertrend(hourly(spark, sf_dir), 2.0, 7).df, "supertrend", "trend")
+
+# ---- alignment ------------------------------------------------------------------------------------
+
+_DAYS_SQL = """
+days AS (SELECT o_orderpriority AS sym, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS time, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
+         last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL),
+weeks AS (SELECT o_orderpriority AS sym, CAST(epoch(date_trunc('week', o_orderdate)) AS BIGINT) AS time, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high,
+          last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL)"""
+DAY, WEEK = 86_400, 7 * 86_400
+
+
+def _orders(spark: SparkSession, sf_dir: str, every: str) -> BarFrame:
+    return BarFrame(from_ticks(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority", "o_orderdate", "o_totalprice", every, "o_orderkey"))
+
+
+def _security(gaps: bool, lookahead: bool):
+    delay = 0 if lookahead else WEEK - DAY
+    match = f"LEFT JOIN weeks w ON w.sym = d.sym AND w.time + {delay} = d.time" if gaps else f"ASOF LEFT JOIN (SELECT *, time + {delay} AS seen FROM weeks) w ON w.sym = d.sym AND d.time >= w.seen"
+    name = f"security_{'gaps' if gaps else 'fill'}_{'lookahead' if lookahead else 'confirmed'}"
+
+    @register(name, f"WITH {_DAYS_SQL} SELECT d.sym, d.time, round(w.close, 6) + 0.0 AS req_close, round(w.high, 6) + 0.0 AS req_high FROM days d {match}")
+    def query(spark, sf_dir):
+        return rounded(align.security(_orders(spark, sf_dir, "day"), _orders(spark, sf_dir, "week"), ["close", "high"], DAY, WEEK, gaps, lookahead).df, "req_close", "req_high")
+
+
+for _gaps in (False, True):
+    for _look in (False, True):
+        _security(_gaps, _look)
+
+
+@register("security_history_sma", f"""WITH {_DAYS_SQL}, h AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS p, CASE WHEN row_number() OVER (PARTITION BY sym ORDER BY time) >= 3 THEN avg(close) OVER (PARTITION BY sym ORDER BY time ROWS 2 PRECEDING) END AS m, time + {WEEK - DAY} AS seen FROM weeks)
+    SELECT d.sym, d.time, round(w.p, 6) + 0.0 AS req_p, round(w.m, 6) + 0.0 AS req_m FROM days d ASOF LEFT JOIN h w ON w.sym = d.sym AND d.time >= w.seen""")
+def security_history_sma(spark, sf_dir):
+    weeks = ta.sma(_orders(spark, sf_dir, "week").history("close", 1, "p"), "close", 3, "m")
+    return rounded(align.security(_orders(spark, sf_dir, "day"), weeks, ["p", "m"], DAY, WEEK).df, "req_p", "req_m")
+
+
+_OWN = """, wl AS (SELECT *, coalesce(lead(time) OVER (PARTITION BY sym ORDER BY time), time + 604800) AS e FROM weeks),
+    own AS (SELECT w.sym, w.time, d.time AS t, d.open AS o, d.close AS c, d.volume AS v FROM wl w JOIN days d ON d.sym = w.sym AND d.time >= w.time AND d.time < w.e)"""
+
+
+@register("lower_tf_groups", f"WITH {_DAYS_SQL} {_OWN} SELECT w.sym, w.time, count(o.c) AS n, round(first(o.c ORDER BY o.t), 6) + 0.0 AS first_c, round(last(o.c ORDER BY o.t), 6) + 0.0 AS last_c, round(sum(o.c), 4) + 0.0 AS sum_c, round(min(o.c), 6) + 0.0 AS min_c, round(max(o.c), 6) + 0.0 AS max_c, round(avg(o.c), 4) + 0.0 AS avg_c FROM weeks w LEFT JOIN own o ON o.sym = w.sym AND o.time = w.time GROUP BY w.sym, w.time")
+def lower_tf_groups(spark, sf_dir):
+    g = F.col("ltf_close")
+    df = align.security_lower_tf(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), ["close"], WEEK).df
+    six, four = (lambda c: F.round(c, 6) + 0.0), (lambda c: F.round(c, 4) + 0.0)
+    return df.select("sym", "time", align.group_size(g).cast("long").alias("n"), six(align.group_first(g)).alias("first_c"), six(align.group_last(g)).alias("last_c"), four(align.group_sum(g)).alias("sum_c"), six(align.group_min(g)).alias("min_c"), six(align.group_max(g)).alias("max_c"), four(align.group_avg(g)).alias("avg_c"))
+
+
+_SIGN = """, ds AS (SELECT *, v * CASE WHEN c <> o THEN sign(c - o) ELSE coalesce(sign(c - pc), 0) END AS sv FROM (SELECT own.*, pv.pc FROM own JOIN (SELECT sym, time AS t, lag(close) OVER (PARTITION BY sym ORDER BY time) AS pc FROM days) pv ON pv.sym = own.sym AND pv.t = own.t))"""
+
+
+@register("up_down_volume", f"WITH {_DAYS_SQL} {_OWN} {_SIGN} SELECT w.sym, w.time, coalesce(sum(CASE WHEN sv > 0 THEN sv END), 0.0) + 0.0 AS up_volume, coalesce(sum(CASE WHEN sv < 0 THEN sv END), 0.0) + 0.0 AS down_volume, coalesce(sum(sv), 0.0) + 0.0 AS volume_delta FROM weeks w LEFT JOIN ds ON ds.sym = w.sym AND ds.time = w.time GROUP BY w.sym, w.time")
+def up_down_volume(spark, sf_dir):
+    return rounded(align.up_down_volume(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), WEEK).df, "up_volume", "down_volume", "volume_delta")
+
+
+@register("cumulative_volume_delta", f"""WITH {_DAYS_SQL} {_OWN} {_SIGN}, run AS (SELECT *, sum(sv) OVER (PARTITION BY sym, time ORDER BY t) AS s FROM ds),
+    wk AS (SELECT w.sym, w.time, greatest(coalesce(max(s), 0.0), 0.0) AS h, least(coalesce(min(s), 0.0), 0.0) AS l, coalesce(last(s ORDER BY t), 0.0) AS s FROM weeks w LEFT JOIN run ON run.sym = w.sym AND run.time = w.time GROUP BY w.sym, w.time),
+    g AS (SELECT *, sum(CASE WHEN time % 2419200 < 604800 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY time) AS grp FROM wk),
+    b AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY sym, grp ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS b FROM g)
+    SELECT sym, time, b + 0.0 AS cvd_open, b + h AS cvd_high, b + l AS cvd_low, b + s AS cvd_close FROM b""")
+def cumulative_volume_delta(spark, sf_dir):
+    got = align.volume_delta(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), WEEK, F.col("time") % (4 * WEEK) < WEEK)
+    return rounded(got.df, "cvd_open", "cvd_high", "cvd_low", "cvd_close")
