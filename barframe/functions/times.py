@@ -90,7 +90,7 @@ def bucket(t: Column, timeframe: str, zone: str = "UTC") -> Column:
     at = local(t, zone)
     if tf.unit == "M":
         return F.floor((F.year(at) * 12 + F.month(at) - 1) / tf.count)
-    days = F.datediff(F.to_date(at), F.to_date(F.lit("0001-01-01")))
+    days = F.datediff(F.to_date(at), F.to_date(F.lit("0001-01-01"))).cast("long")
     if tf.unit == "W":
         return F.floor(F.floor(days / 7) / tf.count)
     if tf.unit == "D":

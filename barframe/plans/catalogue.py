@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, recursive, ta
+from ..functions import collections as coll
+from ..functions import scalar as sc
+from ..functions import times
+from ..operators import align, output, recursive, strategy, ta
 from ..operators.frame import BarFrame, fixnan, nz, switch
 from ..sources.bars import from_ticks
 
@@ -346,3 +349,149 @@ def up_down_volume(spark, sf_dir):
 def cumulative_volume_delta(spark, sf_dir):
     got = align.volume_delta(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), WEEK, F.col("time") % (4 * WEEK) < WEEK)
     return rounded(got.df, "cvd_open", "cvd_high", "cvd_low", "cvd_close")
+
+
+# ---- scalar functions ------------------------------------------------------------------------------
+
+_bars("math_functions", lambda b: b.with_columns(
+          lg=sc.m_log(F.col("close") - 5), sq=sc.m_sqrt(F.col("close") - 5), ce=sc.m_ceil(F.col("x")), fl=sc.m_floor(F.col("x")), tr=sc.m_trunc(F.col("x") - F.col("open")), mx=sc.m_max(F.col("x"), F.col("open")),
+          mn=sc.m_min(F.col("x"), F.col("open")), av=sc.m_avg(F.col("high"), F.col("low"), F.col("close")), sg=sc.m_sign(F.col("close") - F.col("open")), tick=sc.round_to_mintick(F.col("close"), 0.25), ex=sc.m_exp(-F.col("volume")), pw=sc.m_pow(F.col("volume"), 2.0)),
+      {"lg": "CASE WHEN close > 5 THEN ln(close - 5) END", "sq": "CASE WHEN close >= 5 THEN sqrt(close - 5) END", "ce": "ceil(x)", "fl": "floor(x)", "tr": "trunc(x - open)", "mx": "CASE WHEN x IS NOT NULL THEN greatest(x, open) END",
+       "mn": "CASE WHEN x IS NOT NULL THEN least(x, open) END", "av": "(high + low + close) / 3", "sg": "sign(close - open)", "tick": "floor(close / 0.25 + 0.5) * 0.25", "ex": "exp(-volume)", "pw": "pow(volume, 2)"})
+
+
+@register("string_functions", """SELECT o_orderkey, length(p) AS n, substring(p, 3, 4) AS part, instr(p, '-') - 1 AS pos, contains(p, 'URG') AS has, starts_with(p, '1') AS pre, suffix(p, 'H') AS suf,
+    upper(p) AS up, lower(p) AS low, replace(p, '-', '+') AS repl, regexp_replace(p, '-', '/') AS once, trim(p) AS tr, repeat(o_orderstatus, 2) AS twice, len(string_split(p, '-')) AS parts,
+    CASE WHEN regexp_matches(p, '[A-Z]+') THEN regexp_extract(p, '[A-Z]+') END AS hit, concat(o_orderstatus, ':', p) AS form, TRY_CAST(substring(p, 1, 1) AS DOUBLE) AS num FROM (SELECT *, o_orderpriority AS p FROM orders)""")
+def string_functions(spark, sf_dir):
+    p = F.col("o_orderpriority")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", sc.s_length(p).cast("long").alias("n"), sc.s_substring(p, 2, 6).alias("part"), sc.s_pos(p, "-").cast("long").alias("pos"), sc.s_contains(p, "URG").alias("has"), sc.s_startswith(p, "1").alias("pre"), sc.s_endswith(p, "H").alias("suf"),
+        sc.s_upper(p).alias("up"), sc.s_lower(p).alias("low"), sc.s_replace_all(p, "-", "+").alias("repl"), sc.s_replace(p, "-", "/").alias("once"), sc.s_trim(p).alias("tr"), sc.s_repeat(F.col("o_orderstatus"), 2).alias("twice"),
+        F.size(sc.s_split(p, "-")).cast("long").alias("parts"), sc.s_match(p, "[A-Z]+").alias("hit"), sc.s_format("{}:{}", F.col("o_orderstatus"), p).alias("form"), sc.tonumber(sc.s_substring(p, 0, 1)).alias("num"),
+    )
+
+
+_L = "(to_timestamp(time) AT TIME ZONE 'UTC')"
+_bars("time_parts", lambda b: b.with_columns(**{f"b_{n}": f(F.col("time")).cast("long") for n, f in (("y", times.year), ("mo", times.month), ("d", times.dayofmonth), ("w", times.dayofweek), ("h", times.hour), ("mi", times.minute), ("s", times.second))},
+                                             b_day=times.bar_open(F.col("time"), "1D"), b_week=times.bar_open(F.col("time"), "1W"), b_month=times.bar_open(F.col("time"), "1M"), b_4h=times.bar_open(F.col("time"), "240")),
+      {"b_y": f"year({_L})", "b_mo": f"month({_L})", "b_d": f"day({_L})", "b_w": f"dayofweek({_L}) + 1", "b_h": f"hour({_L})", "b_mi": f"minute({_L})", "b_s": f"CAST(second({_L}) AS BIGINT)", "b_day": "time // 86400 * 86400",
+       "b_week": "CAST(epoch(date_trunc('week', " + _L + ")) AS BIGINT)", "b_month": "CAST(epoch(date_trunc('month', " + _L + ")) AS BIGINT)", "b_4h": "time // 14400 * 14400"})
+_bars("session_filter", lambda b: b.with_columns(b_day=times.in_session(F.col("time"), "0930-1600:23456"), b_night=times.in_session(F.col("time"), "2200-0500:2345")),
+      {"b_day": f"(hour({_L}) * 60 BETWEEN 570 AND 959) AND dayofweek({_L}) BETWEEN 1 AND 5", "b_night": f"(hour({_L}) >= 22 AND dayofweek({_L}) + 1 IN (1, 2, 3, 4)) OR (hour({_L}) < 5 AND dayofweek({_L}) + 1 IN (2, 3, 4, 5))"})
+_bars("timeframe_change_week", lambda b: times.timeframe_change(b, "1W", "b_week"), {"b_week": f"coalesce(date_trunc('week', {_L}) <> lag(date_trunc('week', {_L})) OVER (PARTITION BY sym ORDER BY time), true)"})
+_bars("color_functions", lambda b: b.with_columns(b_mix=sc.from_gradient(F.col("close"), F.col("low"), F.col("high"), "#000000", "#ff8040"), b_up=sc.color_when(F.col("close") > F.col("open"), "#00ff00", "#ff0000"), b_red=sc.red(sc.rgb(F.lit(17), F.lit(34), F.lit(51)))),
+      {"b_mix": "'#' || printf('%02x%02x%02x', CAST(floor(255 * s) AS INT), CAST(floor(128 * s) AS INT), CAST(floor(64 * s) AS INT))", "b_up": "CASE WHEN close > open THEN '#00ff00' ELSE '#ff0000' END", "b_red": "17.0::DOUBLE"},
+      "c AS (SELECT *, greatest(0, least(1, (close - low) / (high - low + 1e-10))) AS s FROM bars)", "c")
+_ARR = "l AS (SELECT *, list(close) OVER (PARTITION BY sym ORDER BY time ROWS 3 PRECEDING) AS a FROM bars)"
+
+
+def _with_array(b: BarFrame) -> BarFrame:
+    return b.with_columns(a=F.collect_list("close").over(b.last_rows(4)))
+
+
+_bars("array_functions", lambda b: (lambda g, a: g.with_columns(b_n=coll.size(a).cast("long"), f=coll.first(a), la=coll.last(a), su=coll.total(a), av=coll.avg(a), mi=coll.least(a), ma=coll.greatest(a), top=coll.first(coll.sort(a, descending=True)), b_at=coll.indexof(a, F.col("close")).cast("long"),
+                                                                   pushed=coll.last(coll.push(a, F.lit(1.0))), b_rest=coll.size(coll.shift(a)).cast("long"), b_has=coll.includes(a, F.col("open")), cut=coll.total(coll.cut(a, 0, 2)), b_order=F.array_join(coll.sort_indices(a), ",")))(_with_array(b), F.col("a")),
+      {"b_n": "len(a)", "f": "a[1]", "la": "a[-1]", "su": "list_sum(a)", "av": "list_avg(a)", "mi": "list_min(a)", "ma": "list_max(a)", "top": "list_reverse_sort(a)[1]", "b_at": "list_position(a, close) - 1", "pushed": "1.0", "b_rest": "len(a) - 1", "b_has": "list_contains(a, open)",
+       "cut": "list_sum(a[1:2])", "b_order": "array_to_string(list_transform(list_grade_up(a), lambda e: e - 1), ',')"}, _ARR, "l")
+
+
+def _maps(b: BarFrame) -> BarFrame:
+    m = F.create_map(F.lit("o"), F.col("open"), F.lit("c"), F.col("close"))
+    put = coll.map_put(m, F.lit("h"), F.col("high"))
+    both = coll.map_put_all(m, F.create_map(F.lit("c"), F.col("low"), F.lit("v"), F.col("volume")))
+    return b.with_columns(got=coll.map_get(put, F.lit("h")), none=coll.map_get(m, F.lit("z"), F.lit(-1.0)), b_n=coll.map_size(both).cast("long"), c=coll.map_get(both, F.lit("c")), b_has=coll.map_contains(coll.map_remove(m, F.lit("o")), F.lit("o")), b_keys=F.array_join(coll.map_keys(put), ","))
+
+
+_bars("map_functions", _maps, {"got": "high", "none": "-1.0", "b_n": "3::BIGINT", "c": "low", "b_has": "false", "b_keys": "'o,c,h'"})
+
+
+def _matrices(b: BarFrame) -> BarFrame:
+    m = coll.matrix_from_rows(F.array("open", "high"), F.array("low", "close"))
+    product = coll.matrix_mult(m, coll.transpose(m))
+    return b.with_columns(p00=coll.matrix_get(product, 0, 0), p01=coll.matrix_get(product, 0, 1), p11=coll.matrix_get(product, -1, -1), total=coll.matrix_sum(m), avg=coll.matrix_avg(coll.matrix_add(m, 1.0)), big=coll.matrix_max(m), col=coll.total(coll.matrix_col(m, 1)), row=coll.total(coll.matrix_row(m, 1)))
+
+
+_bars("matrix_functions", _matrices, {"p00": "open * open + high * high", "p01": "open * low + high * close", "p11": "low * low + close * close", "total": "open + high + low + close", "avg": "(open + high + low + close) / 4 + 1", "big": "greatest(open, high, low, close)", "col": "high + close", "row": "low + close"})
+
+# ---- strategy ------------------------------------------------------------------------------------------
+
+
+def _cross_events(spark: SparkSession, sf_dir: str, settings: strategy.Settings = strategy.Settings(initial_capital=10_000.0)) -> DataFrame:
+    bf = ta.sma(hourly(spark, sf_dir), "close", 5, "m")
+    bf = ta.crossunder(ta.crossover(bf, "close", "m", "up"), "close", "m", "down")
+    rules = ({"type": "entry", "id": "L", "side": "long", "qty": 1.0, "when": F.col("up")}, {"type": "close", "id": "L", "when": F.col("down")})
+    return strategy.simulate(bf, strategy.commands(bf, *rules), settings)
+
+
+_CROSS = f"""{BARS_SQL}, {_obs('close', 5, AVG, 'm')},
+    p AS (SELECT *, lag(close) OVER (PARTITION BY sym, (m IS NOT NULL) ORDER BY time) AS c0, lag(m) OVER (PARTITION BY sym, (m IS NOT NULL) ORDER BY time) AS m0 FROM m_t),
+    s AS (SELECT *, CASE WHEN c0 <= m0 AND close > m THEN 1 WHEN c0 >= m0 AND close < m THEN 0 END AS sg FROM p),
+    h AS (SELECT *, coalesce(last_value(sg IGNORE NULLS) OVER (PARTITION BY sym ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held FROM s),
+    f AS (SELECT *, held - coalesce(lag(held) OVER (PARTITION BY sym ORDER BY time), 0) AS turn FROM h)"""
+
+
+@register("strategy_orders", f"WITH {_CROSS} SELECT sym, time, CASE WHEN turn = 1 THEN 'entry' ELSE 'close' END AS type, round(close, 6) + 0.0 AS price, CAST(held AS DOUBLE) AS position_after FROM f WHERE turn <> 0")
+def strategy_orders(spark, sf_dir):
+    return strategy.orders(_cross_events(spark, sf_dir)).select("sym", "time", "type", (F.round("price", 6) + 0.0).alias("price"), "position_after")
+
+
+@register("strategy_trades", f"WITH {_CROSS}, t AS (SELECT *, lag(time) OVER (PARTITION BY sym ORDER BY time) AS entry_time, lag(close) OVER (PARTITION BY sym ORDER BY time) AS e FROM f WHERE turn <> 0) SELECT sym, entry_time, time AS exit_time, round(e, 6) + 0.0 AS entry_price, round(close, 6) + 0.0 AS exit_price, round(close - e, 5) + 0.0 AS profit FROM t WHERE turn = -1")
+def strategy_trades(spark, sf_dir):
+    t = strategy.trades(_cross_events(spark, sf_dir))
+    return t.select("sym", "entry_time", "exit_time", (F.round("entry_price", 6) + 0.0).alias("entry_price"), (F.round("exit_price", 6) + 0.0).alias("exit_price"), (F.round("profit", 5) + 0.0).alias("profit"))
+
+
+@register("strategy_equity", f"WITH {_CROSS}, g AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY sym ORDER BY time), 0) * (close - lag(close) OVER (PARTITION BY sym ORDER BY time)) AS gain FROM f) SELECT sym, time, round(10000 + coalesce(sum(gain) OVER (PARTITION BY sym ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 4) + 0.0 AS equity, CAST(held AS DOUBLE) AS position_size FROM g")
+def strategy_equity(spark, sf_dir):
+    return strategy.equity(_cross_events(spark, sf_dir)).select("sym", "time", (F.round("equity", 4) + 0.0).alias("equity"), "position_size")
+
+
+def strategy_brackets(spark, sf_dir):
+    """Entries at a limit, reversed by stops, with costs, brackets, a position cap and risk rules: the lifecycle."""
+    bf = ta.sma(hourly(spark, sf_dir), "close", 8, "m")
+    rules = (
+        {"type": "entry", "id": "L", "side": "long", "qty": 3.0, "limit": F.col("m") * 0.9, "when": F.col("i") % 6 == 0}, {"type": "entry", "id": "S", "side": "short", "qty": 1.0, "stop": F.col("m") * 0.7, "when": F.col("i") % 9 == 0},
+        {"type": "exit", "id": "X", "from_entry": "L", "qty_percent": 50.0, "stop": F.col("m") * 0.6, "limit": F.col("m") * 1.4}, {"type": "cancel", "id": "S", "when": F.col("i") % 5 == 0},
+    )
+    settings = strategy.Settings(initial_capital=10_000.0, pyramiding=1, slippage=1, commission_type="percent", commission_value=0.1, max_position_size=5.0, max_intraday_loss=5.0, verify_limits=1)
+    return strategy.lifecycle(strategy.simulate(bf, strategy.commands(bf, *rules), settings))
+
+
+QUERIES["strategy_brackets"] = strategy_brackets
+QUERIES["strategy_summary"] = lambda spark, sf_dir: strategy.summary(_cross_events(spark, sf_dir))
+
+# ---- outputs ----------------------------------------------------------------------------------------------
+
+
+@register("plot_series", f"WITH {BARS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time DESC) AS k FROM bars) SELECT sym, time, 'gap' AS name, 'line' AS kind, round(x, 6) + 0.0 AS value, CASE WHEN close > open THEN 'green' ELSE 'red' END AS color FROM r WHERE k <= 100")
+def plot_series(spark, sf_dir):
+    bf = hourly(spark, sf_dir)
+    df = output.plot(bf, "x", "gap", sc.color_when(F.col("close") > F.col("open"), "green", "red"), show_last=100)
+    return df.withColumn("value", F.round("value", 6) + 0.0)
+
+
+@register("markers", f"WITH {BARS_SQL} SELECT sym, time, 'up' AS name, 'triangleup' AS shape, 'belowbar' AS location, 'U' AS text, CAST(NULL AS VARCHAR) AS color FROM bars WHERE x > open")
+def markers(spark, sf_dir):
+    return output.markers(hourly(spark, sf_dir), F.col("x") > F.col("open"), "up", "triangleup", "belowbar", "U")
+
+
+@register("signals", f"WITH {BARS_SQL} SELECT sym, time, 'gap' AS name, '' AS message FROM bars WHERE x IS NULL UNION ALL SELECT sym, time, 'wide' AS name, '' AS message FROM bars WHERE high > 2 * low")
+def signals(spark, sf_dir):
+    return output.alert_conditions(hourly(spark, sf_dir), gap=F.col("x").isNull(), wide=F.col("high") > 2 * F.col("low"))
+
+
+@register("report_frame", f"WITH {BARS_SQL} SELECT sym, time, close AS a, high AS b FROM bars")
+def report_frame(spark, sf_dir):
+    bf = hourly(spark, sf_dir)
+    return output.Report().add(lines=output.plot(bf, "close", "a")).add(lines=output.plot(bf, "high", "b")).to_frame(["a", "b"])
+
+
+@register("drawing_objects", f"""WITH {BARS_SQL}, e AS (SELECT sym, 'box' || CAST(i // 24 AS VARCHAR) AS id, i, time, high FROM bars WHERE i % 24 IN (0, 5, 9)),
+    l AS (SELECT sym, id, min(time) AS time, last(high ORDER BY i) AS top FROM e WHERE i % 24 IN (0, 5) GROUP BY sym, id), d AS (SELECT DISTINCT sym, id FROM e WHERE i % 24 = 9 AND (i // 24) % 2 = 1)
+    SELECT l.sym, l.id, l.time, round(l.top, 6) + 0.0 AS top FROM l ANTI JOIN d ON l.sym = d.sym AND l.id = d.id""")
+def drawing_objects(spark, sf_dir):
+    bf = hourly(spark, sf_dir)
+    name, i = F.concat(F.lit("box"), F.floor(F.col("i") / 24).cast("string")), F.col("i")
+    log = output.object_events(bf, {"op": "new", "kind": "box", "id": name, "when": i % 24 == 0, "props": {"top": F.col("high")}}, {"op": "set", "id": name, "when": i % 24 == 5, "props": {"top": F.col("high")}}, {"op": "delete", "id": name, "when": (i % 24 == 9) & (F.floor(i / 24) % 2 == 1)})
+    return output.objects(log).select("sym", "id", "time", (F.round(F.col("props")["top"].cast("double"), 6) + 0.0).alias("top"))
