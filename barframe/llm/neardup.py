@@ -9,9 +9,8 @@ Jaccard index on full sets of 64-bit shingle hashes.
 The work:
 
 1. documents with equal sets form classes; their least doc_id stands for them;
-2. in each band bucket the members are compared, by signature, with one leader (a
-   star), in buckets of ``BLOCK`` rows or more with ``WIDE_LEADERS`` others too; the
-   components of pairs that agree in ``MIN_AGREE`` slots are *clusters*;
+2. in each band bucket the members are compared, by signature, with the least of them
+   (a star); the components of pairs that agree in ``MIN_AGREE`` slots are *clusters*;
 3. members of a bucket that are still in different clusters are compared by signature
    in blocks of ``BLOCK`` rows, of which each emits a spanning forest at most;
 4. each text goes to its cluster's block once, where pairs not yet connected are
@@ -21,7 +20,8 @@ The work:
 5. components of the confirmed links, by label propagation.
 
 Defined results: null or wordless text has an empty set and links with nothing;
-rows with a null doc_id keep component_id null and are kept; equal rows give equal
+rows with a null doc_id keep component_id null and are kept; rows that share a
+doc_id are one document, whose links are those of all its texts; equal rows give equal
 result rows; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -53,7 +53,7 @@ _MUL = tk._mixed(PERMUTATIONS, 101) | _U(1)
 _ADD = tk._mixed(PERMUTATIONS, 202)
 _BAND = tk._mixed(SLOTS, 303) | _U(1)
 _FOLD = _U(0x9E3779B97F4A7C15)
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>"
+SKETCH = "row long, doc_id long, n_shingles long, f1 long, f2 long, signature binary, bands array<long>"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -86,6 +86,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         data, off = tk.utf8(batch.column(1))
         for i, j in tk.slices(off):
@@ -98,13 +101,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = n > 0
             ends = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))],
+                [pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))],
                 names=[x.split()[0] for x in SKETCH.split(", ")],
             )
+            row += j - i
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Set size, 128-bit set fingerprint, min-max signature and band keys of each row of ``docs``."""
+    """A number, set size, 128-bit set fingerprint, min-max signature and band keys of each row of ``docs``. Numbers hold once the result is written."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch, SKETCH)
 
 
@@ -169,8 +173,8 @@ def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for _, rows in groupby(_rows(batches), key=lambda r: r[:2]):
         rows = list(rows)  # about two blocks
         sets = tk.shingle_sets(*tk.utf8(pa.array([r[7] for r in rows], pa.large_string())), SHINGLE)
-        # a leader may come twice, and other texts under a doc_id may come along: those have no say
-        own = {r[2]: i for i, r in enumerate(rows) if len(sets[i]) == r[5]}
+        # a leader may come twice; where a doc_id has several texts, signatures stay with their own
+        own = {(r[2], r[6]): i for i, r in enumerate(rows) if len(sets[i]) == r[5]}
         if len(own) < 2:
             continue
         sets = [sets[i] for i in own.values()]
@@ -214,23 +218,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(links.sparkSession, old.union(new), "merged")
 
 
-def _linked(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Confirmed links (a, b) among ``rows`` (cluster, block, rep, comp, odd)."""
-    full = rows.join(reps.select("rep", "n", "signature"), "rep").join(texts, "rep").select("cluster", "block", "rep", "comp", "odd", "n", "signature", "text")
+    full = rows.join(members, "rep").select("cluster", "block", "rep", "comp", "odd", "n", "signature", "text")
     dealt = full.repartition(_tasks(rows.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block", "rep")
     return materialize(rows.sparkSession, dealt.mapInArrow(_cluster_blocks, "a long, b long").distinct(), "links")
 
 
-def _clusters(spark: SparkSession, reps: DataFrame) -> DataFrame:
-    """(node, label): the clusters that may hold links."""
+def _clusters(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, label): the clusters that may hold links; the (rep, n, signature) that they are made of)."""
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
-    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.array(F.min("rep"), *luck).alias("leads")).where("size > 1")
-    buckets = materialize(spark, rows.join(busy, "key"), "buckets")
+    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
+    buckets = materialize(spark, rows.join(busy.drop("size"), "key"), "buckets")
+    # signatures travel only for those that share a bucket
+    reps = materialize(spark, reps.select("rep", "n", "signature").join(buckets.select("rep").distinct(), "rep", "left_semi"), "signatures")
     near = F.expr(f"100 * least(n, m) >= {LIMIT} * greatest(n, m)")
     sizes = reps.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
-    led = buckets.select("rep", "n", F.explode(F.expr(f"IF(size < {BLOCK}, slice(leads, 1, 1), leads)")).alias("lead")).where("rep <> lead").distinct()
-    star = led.join(sizes, "lead").where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    led = buckets.select("rep", "n", "lead").where("rep <> lead").distinct()
+    star = led.join(sizes, "lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     clusters = components(likely(star, reps))
     labelled = buckets.select("key", "rep", "n").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("cluster"))
     labelled = materialize(spark, labelled, "labelled")
@@ -242,19 +247,21 @@ def _clusters(spark: SparkSession, reps: DataFrame) -> DataFrame:
     rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "rep", "n", "signature")
     pairs = rest.repartition(_tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_bucket_blocks, "a long, b long")
     more = materialize(spark, pairs.distinct(), "pairs")
-    return clusters if more.isEmpty() else _merged(clusters, more)
+    return (clusters if more.isEmpty() else _merged(clusters, more)), reps
 
 
 def _components(spark: SparkSession, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, label) of every representative that has a link."""
-    placed = _clusters(spark, reps).withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster")
+    clusters, signed = _clusters(spark, reps)
+    placed = clusters.withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster")
     luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
     sizes = materialize(spark, placed.groupBy("cluster").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"), F.array_distinct(F.array(*luck)).alias("leads")), "cluster-sizes")
     placed = materialize(spark, placed.join(sizes.drop("leads"), "cluster").withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))")), "placed")
+    members = materialize(spark, placed.select("rep").join(signed, "rep").join(texts, "rep"), "members")
     every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
     leads = sizes.where("blocks > 1").select("cluster", F.explode("leads").alias("rep"), "blocks").select("cluster", "rep", every)
     rows = placed.select("cluster", "rep", "block").union(leads.select("cluster", "rep", "block"))
-    labels = components(_linked(rows.withColumn("comp", F.col("rep")).withColumn("odd", F.lit(False)), reps, texts))
+    labels = components(_linked(rows.withColumn("comp", F.col("rep")).withColumn("odd", F.lit(False)), members))
     wide = placed.where("blocks > 1")
     if wide.isEmpty():
         return labels
@@ -262,7 +269,7 @@ def _components(spark: SparkSession, reps: DataFrame, texts: DataFrame) -> DataF
     parts = wide.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = wide.join(parts, "cluster").withColumn("odd", F.col("comp") != F.col("main"))
     sent = open_.where("odd").select("cluster", "rep", "comp", "odd", "blocks").select("cluster", "rep", "comp", "odd", every)
-    more = _linked(open_.select("cluster", "rep", "comp", "odd", "block").union(sent).select("cluster", "block", "rep", "comp", "odd"), reps, texts)
+    more = _linked(open_.select("cluster", "rep", "comp", "odd", "block").union(sent).select("cluster", "block", "rep", "comp", "odd"), members)
     return labels if more.isEmpty() else _merged(labels, more)
 
 
@@ -271,10 +278,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sketches = materialize(spark, sketch(docs), "sketches")
     known = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    first = known.join(classes.withColumnRenamed("n_shingles", "n").withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), F.expr("doc_id = rep AND f1 = g1 AND f2 = g2 AND n_shingles = n"), "left_semi")
-    # one row for each class: repeated rows of its least doc_id, or other texts under that doc_id, must not come along
-    reps = materialize(spark, first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands"), "classes")
+    best = known.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = materialize(spark, best.select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
+    # a row number, not doc_id: rows may share one
+    reps = sketches.join(classes.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands")
+    reps = materialize(spark, reps, "representatives")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).where("rep IS NOT NULL")
     comp = _components(spark, reps, texts).withColumnRenamed("node", "rep")
     classed = classes.join(comp, "rep", "left").select("f1", "f2", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
