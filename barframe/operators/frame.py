@@ -42,6 +42,10 @@ class BarFrame:
     def last_rows(self, n: int, *more: Column) -> WindowSpec:
         return self.window(*more).rowsBetween(-(n - 1), 0)
 
+    def together(self) -> BarFrame:
+        """Bars dealt by symbol once: windows by symbol and finer ones then need no other exchange."""
+        return replace(self, df=self.df.repartition(*self.keys))
+
     # ---- columns ----------------------------------------------------------------
 
     def with_columns(self, **columns: Column) -> BarFrame:

@@ -34,7 +34,7 @@ bars AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time) - 1 AS i,
 
 def hourly(spark: SparkSession, sf_dir: str) -> BarFrame:
     ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
-    bf = BarFrame(from_ticks(ticks, "event_type", "ts", "value", "hour", "event_id"))
+    bf = BarFrame(from_ticks(ticks, "event_type", "ts", "value", "hour", "event_id")).together()
     bf = bf.with_columns(i=bf.index())
     return bf.with_columns(x=F.when(F.col("i") % 7 != 3, F.col("close")))
 
