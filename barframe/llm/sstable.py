@@ -20,7 +20,6 @@ identifiers keep all their entries, ordered by text; an empty table writes no sh
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,9 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import storage
+from . import textkernel as tk
 
 MAGIC = b"BFSSTAB1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index offset, size; Bloom offset, size; documents, tokens; width; magic
+#: Bytes of text whose pieces are encoded together.
+PIECE_BYTES = 1 << 24
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 17, 16, 10, 7
 MANIFEST = "shard int, uri string, n_docs long, n_tokens long, n_bytes long"
 
@@ -199,80 +201,119 @@ class TableReader:
         return found
 
 
-#: Where a space stands between white space and white space or the end; elsewhere a space begins a piece.
-_AMBIGUOUS = re.compile(r"\s(?= (?:\s|\Z))")
+def _flags(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
 
 
-def atoms(piece: str) -> list[str]:
-    """Parts of a piece that the pre-tokeniser keeps apart in any case: before and after a lone line feed, and a letter from a stop or comma after it."""
-    lines = piece.split("\n") if "\n" in piece else [piece]
-    if len(lines) > 1 and not (lines[0].rstrip() == lines[0] != "" and all(x and x.strip() == x for x in lines[1:])):
-        return [piece]
-    out = []
-    for i, x in enumerate(lines):
-        if i:
-            out.append("\n")
-        stem = x.rstrip(".,;:!?")
-        out += [stem, x[len(stem) :]] if len(stem) < len(x) and stem[-1:].isalpha() else [x]
-    return out
+_MARKS = _flags(*((ord(c), ord(c)) for c in ".,;:!?"))
+_LETTERS = _flags((65, 90), (97, 122))
+#: Bytes that begin a character other than white space: all white space beyond ASCII begins with C2, E1, E2 or E3.
+_SOLID_LEAD = _flags((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
+_SOLID = _flags((0x21, 0x7E))
+_HASH = tuple(tk._mixed(256, seed) | np.uint64(1) for seed in (505, 606))
 
 
-class CachedEncoder:
-    """Byte-level BPE ids of texts, each distinct piece encoded once while it stays in the cache.
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that their parts have the same ids as the whole.
 
-    The vocabulary's pre-tokeniser never joins a character with the single space
-    after it, so a text falls into a first word and words with a leading space that
-    encode independently. Texts where that could fail go to the tokenizer whole.
+    The byte-level pre-tokeniser ends a run of letters, digits or other signs before
+    white space, gives a single space to what follows it, keeps letters and other signs
+    apart, and takes a lone line feed by itself. So a cut is safe before a single space,
+    around a lone line feed, and between a letter and a stop or comma.
     """
-
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    x = data[lo:hi]
+    n = len(x)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets - lo] = True
+    if n < 3:
+        return np.flatnonzero(cut[:n]) + lo
+    before, here, after = x[:-2], x[1:-1], x[2:]
+    latin = np.zeros(n - 2, bool)  # the byte before ends a letter of C3 xx
+    latin[1:] = (x[:-3] == 0xC3) & (before[1:] >= 0x80) & (before[1:] < 0xC0) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+    left, right = _SOLID[before] | latin, _SOLID_LEAD[after]
+    # a text's own ends are white space to its neighbour
+    inner = ~cut[1 : n - 1]
+    left, right = left & inner, right & ~cut[2:n]
+    space = (here == 0x20) & (left | right) & (before != 0x20) & (after != 0x20) & inner
+    space &= ~(_WHITE[before] & ~right) & ~(_WHITE[after] & ~left)
+    feed = (here == 0x0A) & left & right
+    mark = _MARKS[here] & (_LETTERS[before] | latin) & inner
+    cut[1 : n - 1] |= space | feed | mark
+    cut[2:n] |= feed
+    return np.flatnonzero(cut[:n]) + lo
+
+
+_WHITE = _flags((0x00, 0x20), (0x7F, 0xC2))
+
+
+class PieceEncoder:
+    """Byte-level BPE ids of texts: of each batch the distinct pieces are encoded once, and spread by index."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_pieces = Tokenizer.from_file(path), max_pieces
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}  # by exact text
-        self.spaced: dict[str, bytes] = {}  # by the text after one space
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in got]
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = list({x for x in pieces if x not in self.known})
-        for i in range(0, len(new), 8192):
-            self.known.update(zip(new[i : i + 8192], self._fresh(new[i : i + 8192]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.known, self.spaced):
-            if len(cache) > self.max_pieces:
-                cache.clear()
-        split, whole = {}, []
-        for i, t in enumerate(texts):
-            if _AMBIGUOUS.search(t) or self.added and self.added.search(t):
-                whole.append(i)
-            else:
-                head, *tail = t.split(" ")
-                split[i] = head, tail
-        fresh = {p: atoms(" " + p) for p in set().union(*(tail for _, tail in split.values())).difference(self.spaced)}
-        self._learn([x for parts in fresh.values() for x in parts] + [head for head, _ in split.values() if head])
-        for p, parts in fresh.items():
-            self.spaced[p] = b"".join(map(self.known.__getitem__, parts))
-        out: list[bytes] = [b""] * len(texts)
-        for i, (head, tail) in split.items():
-            out[i] = (self.known[head] if head else b"") + b"".join(map(self.spaced.__getitem__, tail))
-        for i in whole:
-            out[i] = self._fresh([texts[i]])[0]
-        return out
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level token has a character for each of its bytes
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _row(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each)"""
+        ids = self._plain(["".join(pieces)])[0]
+        cuts = np.cumsum([len(p.encode()) for p in pieces]) if pieces else np.zeros(0, np.int64)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), cuts, "left") + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of UTF-8 ``data``."""
+        out: list[np.ndarray] = [np.zeros(0, f"<u{self.width}")] * (len(offsets) - 1)
+        raw = data[offsets[0] : offsets[-1]].tobytes()
+        texts = lambda rows: [raw[offsets[r] - offsets[0] : offsets[r + 1] - offsets[0]].decode() for r in rows]
+        if any(a in raw for a in self.added):  # an added token may span pieces
+            return self._plain(texts(range(len(out))))
+        starts = piece_starts(data, offsets)
+        if not len(starts):
+            return out
+        ends = np.append(starts[1:], offsets[-1])
+        one, two = (tk.word_hashes(data, starts, ends, table=t) for t in _HASH)
+        _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][inverse]).any():  # two pieces share a hash
+            return self._plain(texts(range(len(out))))
+        pieces = [raw[a:b].decode() for a, b in zip((starts[first] - offsets[0]).tolist(), (ends[first] - offsets[0]).tolist(), strict=True)]
+        # words with their space keep apart when they stand in a row, so they are encoded as one text
+        word = np.array([p[0] == " " and p[1:].isalpha() for p in pieces])
+        made = [self._row([pieces[k] for k in group]) for group in np.array_split(np.flatnonzero(word), word.sum() // 4096 + 1)]
+        rest = self._plain([pieces[k] for k in np.flatnonzero(~word)])
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[word] = np.concatenate([n for _, n in made])
+        sizes[~word] = [len(m) for m in rest]
+        pool = np.concatenate([ids for ids, _ in made] + rest)
+        at = np.empty(len(pieces), np.int64)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        lengths = sizes[inverse]
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.arange(edges[-1]) - np.repeat(edges[:-1] - at[inverse], lengths)]
+        rows = edges[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> CachedEncoder:
-    return CachedEncoder(path)
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int) -> DataFrame:
@@ -296,16 +337,11 @@ def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         def fill(sink):
             table = TableWriter(sink, encoder.width)
             for batch in (x for part in ([first], batches) for x in part):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                i = 0
-                while i < len(texts):
-                    j, size = i, 0
-                    while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
-                        size += len(texts[j])
-                        j += 1
-                    for doc_id, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encoder.encode(texts[i:j]), strict=True):
-                        table.add(key_of(doc_id), ids + end)
-                    i = j
+                data, off = tk.utf8(batch.column(1))
+                ids = batch.column(0).to_pylist()
+                for i, j in tk.slices(off, PIECE_BYTES):
+                    for doc_id, got in zip(ids[i:j], encoder.encode(data, off[i : j + 1]), strict=True):
+                        table.add(key_of(doc_id), got.tobytes() + end)
             table.finish()
             made.append(table)
 

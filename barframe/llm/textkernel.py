@@ -93,10 +93,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; ``lower`` reads A-Z as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word; ``lower`` reads A-Z as a-z, ``table`` gives each byte's own value."""
     global _POWERS
-    table, out, i, n = (_LOWER if lower else _BYTE), np.empty(len(starts), U64), 0, len(starts)
+    table = table if table is not None else _LOWER if lower else _BYTE
+    out, i, n = np.empty(len(starts), U64), 0, len(starts)
     if n and int((ends - starts).max()) > len(_POWERS):
         _POWERS = _powers(2 * int((ends - starts).max()))
     while i < n:
