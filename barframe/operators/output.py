@@ -145,3 +145,42 @@ class Report:
 
     def to_json(self, name: str) -> DataFrame:
         return self.tables[name].select(F.to_json(F.struct("*")).alias("json"))
+
+
+# ---- further plots -------------------------------------------------------------------------------
+
+
+def bar_plot(bf: BarFrame, value: str, name: str, up: str = "#22c55e", down: str = "#ef4444") -> DataFrame:
+    """A histogram coloured by its own direction."""
+    bf, v = bf.bind(value)
+    return plot(bf, v, name, F.when(v >= 0, up).otherwise(down), kind="histogram")
+
+
+def plot_char(bf: BarFrame, condition: Column, name: str, char: str = "*", location: str = "abovebar", color: Column | str | None = None) -> DataFrame:
+    return markers(bf, condition, name, "char", location, char, color)
+
+
+def plot_arrows(bf: BarFrame, value: str | Column, name: str, low: float = 5.0, high: float = 100.0) -> DataFrame:
+    """sym, time, name, direction and height: heights are scaled by a symbol's greatest value."""
+    bf, v = bf.bind(value)
+    most = F.max(F.abs(v)).over(Window.partitionBy(*bf.keys))
+    height = F.lit(low) + F.lit(high - low) * F.try_divide(F.abs(v), most)
+    return bf.df.select("sym", F.col(bf.order).alias("time"), F.lit(name).alias("name"), F.when(v > 0, "up").otherwise("down").alias("direction"), height.alias("height"), v.alias("value")).where("value IS NOT NULL AND value <> 0")
+
+
+def emit_signal(bf: BarFrame, condition: Column, name: str, side: str | Column = "", message: str | Column = "", strength: float | Column = 1.0, price: str | Column = "close", payload: Column | None = None) -> DataFrame:
+    """Structured signal rows; the payload is a struct or map, kept as JSON."""
+    p = F.col(price) if isinstance(price, str) else price
+    s = strength if isinstance(strength, Column) else F.lit(float(strength))
+    return bf.df.where(truthy(condition)).select(
+        "sym", F.col(bf.order).alias("time"), F.lit(name).alias("name"), _text(side).cast("string").alias("side"), _text(message).cast("string").alias("message"), s.alias("strength"), p.cast("double").alias("price"),
+        (F.to_json(payload) if payload is not None else F.lit(None).cast("string")).alias("payload"),
+    )
+
+
+def background(bf: BarFrame, condition: Column, color: str) -> DataFrame:
+    return colors(bf, F.when(truthy(condition), color), "bgcolor")
+
+
+def bar_color(bf: BarFrame, color: Column) -> DataFrame:
+    return colors(bf, color, "barcolor")
