@@ -104,7 +104,8 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -
     # an old version's findings may stand beside the new one's; a kind's number is its rule's place in the list
     present = F.filter("findings", lambda f: F.array_contains("rules", F.element_at(keys, f["kind"] + 1)))
     known = ledger.rows().select("blob", F.explode(present).alias("f"))
-    found = known.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
+    # written, so that the join below is one of plain shuffles and a blob of very many paths can be split
+    found = storage.materialize(spark, known.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings")), "findings")
     out = addressed.join(found, "blob", "left")
     return out.select("path", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
