@@ -285,6 +285,8 @@ _chain("ema2_rma2_atr2", lambda b: recursive.atr2(recursive.rma2(recursive.ema2(
 QUERIES["sar"] = lambda spark, sf_dir: rounded(recursive.sar(hourly(spark, sf_dir)).df, "sar")
 QUERIES["supertrend"] = lambda spark, sf_dir: rounded(recursive.supertrend(hourly(spark, sf_dir), 2.0, 7).df, "supertrend", "trend")
 
+QUERIES["percentile_through_gaps"] = lambda spark, sf_dir: rounded(recursive.percentile_through_gaps(recursive.percentile_through_gaps(hourly(spark, sf_dir), "x", 6, 40, "near"), "x", 6, 40, "linear", linear=True).df, "near", "linear")
+
 # ---- alignment ------------------------------------------------------------------------------------
 
 _DAYS_SQL = """

@@ -111,6 +111,17 @@ def test_recursive_operators_on_gaps(spark):
     assert [line.push(*b)[1] for b in ((11.0, 9.0, 10.0), (14.0, 13.0, 14.0), (20.0, 19.0, 20.0))][-1] == -1.0
 
 
+def test_gap_percentiles():
+    rng = random.Random(7)
+    xs = [float(rng.randint(1, 9)) for _ in range(60)]
+    near, linear = recursive.GapPercentile(5, 40, False), recursive.GapPercentile(5, 40, True)
+    for i, x in enumerate(xs):
+        w = sorted(xs[max(i - 4, 0) : i + 1])
+        assert near.push(x) == (w[1] if i >= 4 else None) and linear.push(x) == (pytest.approx(w[1] + (w[2] - w[1]) * 0.5) if i >= 4 else None)
+    gap = recursive.GapPercentile(3, 50, False)
+    assert [gap.push(x) for x in (1.0, None, 3.0, 2.0, 5.0)] == [None, None, None, 2.0, 3.0]
+
+
 def test_vwap_and_pivot_levels(spark):
     rows = [("a", t, 10.0 + t % 7, 15.0 + t % 5, 5.0 - t % 3, 11.0 + t % 2, 2.0) for t in range(0, 3 * 86_400, 28_800)]
     bf = BarFrame(spark.createDataFrame(rows, "sym string, time long, open double, high double, low double, close double, volume double"))
