@@ -179,7 +179,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     strong = confident_patterns(spark, storage.materialize(spark, edges, "pattern-graph"))
     fresh = uses.where("NOT seed").select("text_key", "start", "end", F.explode("patterns").alias("pattern")).distinct().join(strong, "pattern")
     learnt = fresh.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end"))).alias("learnt"))
-    return found.select("doc_id", "text_key", "spans").join(learnt, "text_key", "left").select("doc_id", "text_key", "spans", F.coalesce("learnt", F.expr("array()").cast(learnt.schema["learnt"].dataType)).alias("learnt"))
+    none = F.expr("array()").cast(learnt.schema["learnt"].dataType)
+    cols = found.select("doc_id", "text_key", "spans")
+    # rows without a key have nothing to learn and need no join, where they would all meet in one task
+    keyed = cols.where("text_key IS NOT NULL").join(storage.materialize(spark, learnt, "pii-learnt"), "text_key", "left").select("doc_id", "text_key", "spans", F.coalesce("learnt", none).alias("learnt"))
+    return keyed.union(cols.where("text_key IS NULL").select("doc_id", "text_key", "spans", none.alias("learnt")))
 
 
 def _text_of(spans: str) -> str:
