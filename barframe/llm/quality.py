@@ -1,8 +1,8 @@
 """Quality rules: base rules plus an isolation forest on rule statistics.
 
 ``rule_statistics`` reads each whole text once. ``IsolationForest`` grows random
-splits on a bounded sample (``trees * subsample`` rows at most, chosen by a hash
-of the identifier); anomalous rows have short paths. ``calibrate`` reads all
+splits on a bounded sample (``trees * subsample`` rows in expectation, chosen by a
+hash of the identifier); anomalous rows have short paths. ``calibrate`` reads all
 labelled rows as a histogram of scores and picks the threshold.
 
 Defined results: null text counts as empty (no words, ``base_failed``); repeated
@@ -197,7 +197,11 @@ def assess(docs: DataFrame, labels: DataFrame, trees: int = 128, subsample: int
     stats = materialize(spark, rule_statistics(docs), "rule-statistics")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    sample = stats.where("NOT base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(trees * subsample).select(*FEATURES).toPandas().to_numpy(float)
+    usual = stats.where("NOT base_failed")
+    share = trees * subsample / max(usual.count(), 1)
+    # by a hash, so about trees * subsample rows come to the driver, whatever the number of tasks
+    luck = F.expr("pmod(xxhash64(doc_id, word_chars), 1000003) / 1000003D")
+    sample = usual.where(luck < share).orderBy("doc_id", *FEATURES).select(*FEATURES).toPandas().to_numpy(float)
     forest = IsolationForest.fit(sample.reshape(-1, len(FEATURES)), trees, subsample)
     scored = _score(stats, forest)
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
