@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .frame import BarFrame, Src, positive
@@ -309,7 +310,7 @@ class GapPercentile:
 
 
 def scan(bf: BarFrame, inputs: Sequence[Src], out: Sequence[str], make: Callable[[], object]) -> BarFrame:
-    """Push each symbol's bars in order through a step of its own; one shuffle by symbol and one sort."""
+    """Push each symbol's bars in order through a step of its own. Bars that are dealt by symbol already aren't shuffled again."""
     start = bf
     names = []
     for src in inputs:
@@ -334,7 +335,8 @@ def scan(bf: BarFrame, inputs: Sequence[Src], out: Sequence[str], make: Callable
             made = [pa.array(c, pa.float64()) for c in zip(*got, strict=True)] if got else [pa.array([], pa.float64()) for _ in out]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_base)] + made, names=schema.fieldNames())
 
-    rows = bf.df.select(*(f.name for f in base), *names).repartition(*keys).sortWithinPartitions(*keys, bf.order)
+    # a window asks for just the deal and the order that the steps need, and takes those that are there
+    rows = bf.df.select(*(f.name for f in base), *names, F.row_number().over(bf.window()).alias("_order"))
     return BarFrame(rows.mapInArrow(run, schema), bf.keys, bf.order)
 
 

@@ -17,7 +17,7 @@ from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frame import BarFrame
@@ -358,21 +358,26 @@ def event_batch(sym: str, events: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{k: whole(e.get(k)) for k in EVENT_FIELDS} | {"sym": e.get("sym", sym)} for e in events], schema=_ARROW)
 
 
-def commands(bf: BarFrame, *rules: dict) -> DataFrame:
-    """(sym, time, commands): for each bar the commands whose ``when`` holds, in the order of ``rules``.
+def with_commands(bf: BarFrame, *rules: dict) -> BarFrame:
+    """``bf`` with ``commands``: for each bar those whose ``when`` holds, in the order of ``rules``.
 
     A rule has ``type`` and may have any other COMMAND field, as a literal or a column.
     """
+    kinds = dict(x.split(":") for x in COMMAND[7:-1].split(","))
     made = []
     for k, rule in enumerate(rules):
-        kinds = dict(x.split(":") for x in COMMAND[7:-1].split(","))
-        value = lambda f, r=rule, n=k: F.lit(n) if f == "seq" else (r[f] if hasattr(r.get(f), "alias") else F.lit(r.get(f)))
+        value = lambda f, r=rule, n=k: F.lit(n) if f == "seq" else r[f] if isinstance(r.get(f), Column) else F.lit(r.get(f))
         row = F.struct(*(value(f).cast(kinds[f]).alias(f) for f in _COMMAND_FIELDS))
         made.append(F.when(F.coalesce(rule.get("when", F.lit(True)), F.lit(False)), row))
-    return bf.df.select(*bf.keys, bf.order, F.filter(F.array(*made), lambda c: c.isNotNull()).alias("commands"))
+    return bf.with_columns(commands=F.filter(F.array(*made), lambda c: c.isNotNull()))
+
+
+def commands(bf: BarFrame, *rules: dict) -> DataFrame:
+    """(sym, time, commands), as ``with_commands`` gives them, for bars of another table."""
+    return with_commands(bf, *rules).df.select(*bf.keys, bf.order, "commands")
 
 
-def simulate(bf: BarFrame, given: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
+def simulate(bf: BarFrame, given: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """EVENTS of all symbols: orders, trades, lifecycle and one equity row a bar.
 
     ``given``: (sym, time, commands), or None where ``bf`` has the commands as a column.
@@ -390,10 +395,12 @@ def simulate(bf: BarFrame, given: DataFrame | None, settings: Settings = Setting
                     sym, broker = s, Broker(settings)
                 events = []
                 for r in group:
-                    events += broker.bar(*r[1:])
+                    events += broker.bar(*r[1:7])
                 yield event_batch(s, events)
 
-    return rows.repartition("sym").sortWithinPartitions("sym", "time").mapInArrow(run, EVENTS)
+    # a window asks for just the deal and the order that the broker needs, and takes those that are there
+    ordered = rows.withColumn("_order", F.row_number().over(Window.partitionBy("sym").orderBy("time")))
+    return ordered.mapInArrow(run, EVENTS)
 
 
 # ---- tables of events ---------------------------------------------------------------------------

@@ -423,7 +423,7 @@ def _cross_events(spark: SparkSession, sf_dir: str, settings: strategy.Settings
     bf = ta.sma(hourly(spark, sf_dir), "close", 5, "m")
     bf = ta.crossunder(ta.crossover(bf, "close", "m", "up"), "close", "m", "down")
     rules = ({"type": "entry", "id": "L", "side": "long", "qty": 1.0, "when": F.col("up")}, {"type": "close", "id": "L", "when": F.col("down")})
-    return strategy.simulate(bf, strategy.commands(bf, *rules), settings)
+    return strategy.simulate(strategy.with_commands(bf, *rules), settings=settings)
 
 
 _CROSS = f"""{BARS_SQL}, {_obs('close', 5, AVG, 'm')},
@@ -457,7 +457,7 @@ def strategy_brackets(spark, sf_dir):
         {"type": "exit", "id": "X", "from_entry": "L", "qty_percent": 50.0, "stop": F.col("m") * 0.6, "limit": F.col("m") * 1.4}, {"type": "cancel", "id": "S", "when": F.col("i") % 5 == 0},
     )
     settings = strategy.Settings(initial_capital=10_000.0, pyramiding=1, slippage=1, commission_type="percent", commission_value=0.1, max_position_size=5.0, max_intraday_loss=5.0, verify_limits=1)
-    return strategy.lifecycle(strategy.simulate(bf, strategy.commands(bf, *rules), settings))
+    return strategy.lifecycle(strategy.simulate(strategy.with_commands(bf, *rules), settings=settings))
 
 
 QUERIES["strategy_brackets"] = strategy_brackets

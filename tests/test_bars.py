@@ -290,3 +290,6 @@ def test_windows_share_one_exchange(spark, tmp_path):
     bf = fixnan(ta.crossover(bf, "x", "m", "up"), "x", "f")
     plan = bf.df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    plan = recursive.ema(recursive.rsi(BarFrame(spark.read.parquet(path)).together(), "x", 5), "x", 5, "e").df
+    # one for the first step; what a step returns is dealt again for the next
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
