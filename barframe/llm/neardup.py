@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .bitmap import may_be_in
 from .graph import components
 from .storage import materialize, read_table
 
@@ -257,7 +258,8 @@ def _components(spark: SparkSession, reps: DataFrame, texts: DataFrame) -> DataF
     luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
     sizes = materialize(spark, placed.groupBy("cluster").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"), F.array_distinct(F.array(*luck)).alias("leads")), "cluster-sizes")
     placed = materialize(spark, placed.join(sizes.drop("leads"), "cluster").withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))")), "placed")
-    members = materialize(spark, placed.select("rep").join(signed, "rep").join(texts, "rep"), "members")
+    wanted = may_be_in(texts, "rep", placed.select("rep")).where("_hit").drop("_hit")
+    members = materialize(spark, placed.select("rep").join(signed, "rep").join(wanted, "rep"), "members")
     every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
     leads = sizes.where("blocks > 1").select("cluster", F.explode("leads").alias("rep"), "blocks").select("cluster", "rep", every)
     rows = placed.select("cluster", "rep", "block").union(leads.select("cluster", "rep", "block"))
@@ -299,8 +301,11 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least doc_id; repeated rows of it become one."""
     found = near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs.doc_id == gone._id, "left_anti")
+    gone = materialize(spark, found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    marked = may_be_in(docs, "doc_id", gone)
+    # most rows are surely not among those that go, and stay where they are
+    sure, open_ = marked.where("NOT _hit").drop("_hit"), marked.where("_hit").drop("_hit")
+    kept = sure.unionByName(open_.join(gone, open_.doc_id == gone._id, "left_anti"))
     twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept

@@ -408,3 +408,13 @@ def test_pipeline_equals_its_parts(spark):
     failed = {i for i, r in source.items() if (w := rules_brute(r.text)) and (w[0] < 20 or 100 * w[4] > 30 * w[0])}
     assert kept and not kept & failed
     assert not any(b for r in out for b in base_brute(r.text) if b[1] == 0)
+
+
+def test_bitmap_has_no_false_negative_and_few_false_positives(spark):
+    from barframe.llm.bitmap import may_be_in
+
+    rows = spark.range(-500, 20_000).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got = {r.id: r._hit for r in may_be_in(rows, "id", spark.range(0, 20_000, 7)).collect()}
+    wanted = set(range(0, 20_000, 7))
+    assert all(got[i] for i in wanted) and sum(h for i, h in got.items() if i not in wanted) < 20
+    assert not any(r._hit for r in may_be_in(rows, "id", spark.range(0)).collect())
