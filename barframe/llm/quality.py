@@ -3,7 +3,7 @@
 ``rule_statistics`` reads each whole text once. ``IsolationForest`` grows random
 splits on a bounded sample (``trees * subsample`` rows in expectation, chosen by a
 hash of the identifier); anomalous rows have short paths. ``calibrate`` reads all
-labelled rows as a histogram of scores and picks the threshold.
+labelled rows as a histogram of scores and picks the threshold that costs least.
 
 Defined results: null text counts as empty (no words, ``base_failed``); repeated
 rows give repeated rows; with no labelled rows, or none whose junk stands apart,
@@ -24,7 +24,8 @@ from . import textkernel as tk
 from .storage import materialize, read_table
 
 #: Rates, so that short and long texts compare; the length itself is left to the base rules.
-FEATURES = ("f_word_len", "f_symbols", "f_repeats", "f_upper", "f_shout", "f_marks")
+#: Symbols are seen in several ways, so that a split on them is drawn often; what repeats is one feature, as ordinary prose repeats too.
+FEATURES = ("f_word_len", "f_symbols", "f_symbol_words", "f_symbol_chars", "f_marks", "f_repetition", "f_upper", "f_shout")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -68,6 +69,23 @@ def _repeat_words(hashes: np.ndarray, rows: np.ndarray, size: int = 8) -> np.nda
     return tk.row_sums(covered, rows)
 
 
+def _words_with(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words of each row that hold a byte of the class."""
+    if not len(starts):
+        return np.zeros(len(rows) - 1, np.int64)
+    first = int(starts[0])
+    seen = np.concatenate([[0], np.cumsum(table[data[first : int(ends[-1])]])])
+    return tk.row_sums(seen[ends - first] > seen[starts - first], rows)
+
+
+def _same_words(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words of each row that equal the word before them."""
+    same = np.zeros(len(hashes), bool)
+    same[1:] = hashes[1:] == hashes[:-1]
+    same[rows[:-1][rows[:-1] < len(hashes)]] = False
+    return tk.row_sums(same, rows)
+
+
 def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, rows = tk.words(data, off)
     hashes = tk.word_hashes(data, starts, ends)
@@ -82,8 +100,9 @@ def _measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     per_char, per_word = np.maximum(chars, 1), np.maximum(n_words, 1)
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeats,
-        "f_word_len": np.minimum(chars / per_word, 40), "f_symbols": np.minimum(symbols / per_word, 2), "f_repeats": over(repeats / per_word),
-        "f_upper": over(count(_UPPER) / per_char), "f_shout": np.minimum(count(_SHOUT) / per_word, 2), "f_marks": np.minimum(count(_MARKS) / per_word, 2),
+        "f_word_len": np.minimum(chars / per_word, 40), "f_symbols": np.log1p(10 * symbols / per_word), "f_symbol_words": _words_with(_SYMBOLS, data, starts, ends, rows) / per_word,
+        "f_symbol_chars": symbols / per_char, "f_marks": over(np.minimum(count(_MARKS) / per_word, 2)), "f_repetition": np.maximum(over(repeats / per_word), over(_same_words(hashes, rows) / per_word)),
+        "f_upper": over(count(_UPPER) / per_char), "f_shout": np.minimum(count(_SHOUT) / per_word, 2),
     }
 
 
@@ -168,22 +187,22 @@ class IsolationForest:
 BINS = 2000
 
 
-def calibrate(counts: list[tuple[int, int, int]], max_false: float = 0.002, min_precision: float = 0.97) -> float:
-    """The least threshold at which labelled rows support rejection.
+#: A good row lost costs as much as so many bad rows let through.
+LOST = 2
+
+
+def calibrate(counts: list[tuple[int, int, int]], lost: float = LOST) -> float:
+    """The threshold of least cost on the labelled rows, the higher one of equals.
 
-    ``counts``: (score bin, good rows, bad rows). At most ``max_false`` of the good
-    rows may score as high, and at least ``min_precision`` of the rows that do must
-    be bad; 2.0 (nothing is rejected) where no bin allows that.
+    ``counts``: (score bin, good rows, bad rows). A bad row below the threshold costs 1,
+    a good row at or above it ``lost``; 2.0 (nothing is rejected) where no bin costs less than that.
     """
-    good_all = sum(g for _, g, _ in counts)
-    good = bad = 0
+    cost = least = sum(x for _, _, x in counts)
     best = 2.0
     for b, g, x in sorted(counts, reverse=True):
-        good, bad = good + g, bad + x
-        if good > max_false * good_all:
-            break
-        if bad and bad >= min_precision * (good + bad):
-            best = b / BINS
+        cost += lost * g - x
+        if cost < least:
+            best, least = b / BINS, cost
     return best
 
 

@@ -337,6 +337,31 @@ def test_forest_isolates_and_threshold_spares_good_rows():
     assert quality.calibrate([(100, 5, 5)]) == 2.0 and quality.calibrate([]) == 2.0
 
 
+def test_verdict_catches_junk_with_few_labels(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(30, 90))) for _ in range(400)]
+    for i in range(300, 400):  # ordinary rows: some mark their tokens, some say a passage twice
+        passage = " ".join(texts[i].split()[:9])
+        texts[i] = f"{texts[i]} a_b=~c" if i % 2 else f"{texts[i]} {texts[i - 1]} {passage}"
+    texts += [" | ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(14)]
+    texts += [" ".join(word() + rng.choice(["***", "&&&", "%%%"]) for _ in range(rng.randint(20, 60))) for _ in range(14)]
+    texts += [" ".join(" ".join([word()] * 6) for _ in range(10)) for _ in range(4)]
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.assess(docs(spark, texts), labels).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(not got[i].kept for i in range(400, 432)) >= 29 and sum(not got[i].kept for i in range(400)) <= 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_verdict_on_all_labelled_rows(spark):
+    path = "/root/testdata/sf0.01"
+    marks = spark.read.parquet(f"{path}/labels.parquet").where("quality IN (0, 1)").groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "quality")
+    rows = quality.op8_quality_isolation_forest(spark, path).join(marks, "doc_id").where("NOT base_failed").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(bad) >= 20 and bad.count(False) >= 0.9 * len(bad) and good.count(False) <= 0.02 * len(good)
+
+
 # ---- op9 -----------------------------------------------------------------------------------
 
 
