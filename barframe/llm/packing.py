@@ -8,8 +8,10 @@ present twice): a bin holds a cluster once and a source ``max_same_source`` (1 o
 times. The search starts at the successor of the piece's length and goes on until a
 compatible bin is found; only then a new bin opens.
 
-Groups of about ``GROUP_PIECES`` pieces, dealt by a hash, are packed independently, so
-a task's memory is bounded and nothing is left over but a few bins of each group.
+Groups of about ``GROUP_PIECES`` pieces are packed independently, so a task's memory is
+bounded and nothing is left over but a few bins of each group. Groups are dealt by a hash,
+or, in the pipeline, are consecutive documents of the mixture as it was written, and bins
+come in that order.
 
 Defined results: null or empty text has no piece and is in no bin; null sources are one source; repeated rows are copies, so never in one bin;
 an empty table gives an empty result. Other columns are ignored.
@@ -17,11 +19,13 @@ an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,35 +74,39 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int, max_same_source:
     return out
 
 
-PACKED = "grp long, bin int, bin_offset int, piece int, size int, doc_id long, row long, source string"
+PACKED = "grp long, bin int, bin_offset int, piece int, size int, doc_id long, row long, source string, pos long"
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, max_same_source: int = MAX_SAME_SOURCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """doc_id, row, piece, size, source, bin, bin_offset for each piece of ``items`` (doc_id, row, size, source, cluster).
+    """doc_id, row, piece, size, source, bin, bin_offset, grp, pos for each piece of ``items`` (doc_id, row, size, source, cluster).
 
-    A piece of the full capacity is a bin of its own.
+    A piece of the full capacity is a bin of its own. Where ``items`` have ``pos``, their
+    place in an order, a group is ``group_pieces`` consecutive places (a document has one
+    piece below the capacity at most); else groups are dealt by a hash and ``pos`` is 0.
     """
     spark = items.sparkSession
+    ranged = "pos" in items.columns
+    items = items if ranged else items.withColumn("pos", F.lit(0).cast("long"))
     rows = items.where("size > 0").withColumn("piece", F.explode(F.expr(f"sequence(0, int((size - 1) div {capacity}))")))
     rows = rows.withColumn("size", F.expr(f"int(least(size - bigint(piece) * {capacity}, {capacity}))"))
-    whole = rows.where(F.col("size") == capacity).select("doc_id", "row", "piece", "size", "source", F.expr("concat('f', hex(row), '-', piece)").alias("bin"), F.lit(0).alias("bin_offset"))
+    whole = rows.where(F.col("size") == capacity).select("doc_id", "row", "piece", "size", "source", F.expr("concat('f', hex(row), '-', piece)").alias("bin"), F.lit(0).alias("bin_offset"), F.expr(f"pos div {group_pieces}").alias("grp"), "pos")
     loose = storage.materialize(spark, rows.where(F.col("size") < capacity), "pieces")
-    groups = max(1, -(-loose.count() // group_pieces))
-    dealt = loose.withColumn("grp", F.expr(f"pmod(xxhash64(row, piece), {groups})")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp")
-    ordered = dealt.select("grp", "size", "piece", "doc_id", "row", "source", "cluster").sortWithinPartitions("grp", F.desc("size"), "row", "piece", "doc_id")
+    deal = f"pos div {group_pieces}" if ranged else f"pmod(xxhash64(row, piece), {max(1, -(-loose.count() // group_pieces))})"
+    dealt = loose.withColumn("grp", F.expr(deal)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp")
+    ordered = dealt.select("grp", "size", "piece", "doc_id", "row", "source", "cluster", "pos").sortWithinPartitions("grp", F.desc("size"), "row", "piece", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PACKED.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
         stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for grp, group in groupby(stream, key=lambda r: r[0]):
             group = list(group)  # about group_pieces
             got = best_fit([(r[1], r[5], r[6]) for r in group], capacity, max_same_source)
-            _, size, piece, doc_id, row, source, _ = zip(*group, strict=True)
-            cols = [[grp] * len(group), [b for b, _ in got], [o for _, o in got], piece, size, doc_id, row, source]
+            _, size, piece, doc_id, row, source, _, pos = zip(*group, strict=True)
+            cols = [[grp] * len(group), [b for b, _ in got], [o for _, o in got], piece, size, doc_id, row, source, pos]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    packed = ordered.mapInArrow(run, PACKED).select("doc_id", "row", "piece", "size", "source", F.expr("concat('g', grp, '-', bin)").alias("bin"), "bin_offset")
+    packed = ordered.mapInArrow(run, PACKED).select("doc_id", "row", "piece", "size", "source", F.expr("concat('g', grp, '-', bin)").alias("bin"), "bin_offset", "grp", "pos")
     return packed.union(whole)
 
 
@@ -106,7 +114,22 @@ def items_of(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), size, source, cluster of each row of ``docs``; texts equal but for case and white space are a cluster."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), F.length(text).cast("long").alias("size"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), F.length(text).cast("long").alias("size"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"), *([F.col("_pos").alias("pos")] if "_pos" in docs.columns else []))
+
+
+def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_pos``, the place of each row as its files hold them; rows that come from no file are written first."""
+    file = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    try:
+        rows = docs.select("*", *file)
+    except AnalysisException:
+        rows = storage.materialize(spark, docs, "ordered").select("*", *file)
+    sizes = rows.groupBy("_file").agg(F.max("_index").alias("last")).collect()  # a row a file
+    at, first = 0, []
+    for name, last in sorted(sizes, key=lambda r: (int((re.findall(r"part-(\d+)", r[0]) or [0])[-1]), r[0])):
+        first.append((name, at))
+        at += last + 1
+    return rows.join(F.broadcast(spark.createDataFrame(first, "_file string, _first long")), "_file").withColumn("_pos", F.col("_first") + F.col("_index")).drop("_file", "_index", "_first")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +139,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """bin, n_pieces, used, doc_ids, text: the training sequences, each of at most CAPACITY code points."""
-    packed = storage.materialize(spark, pack(items_of(docs)), "packed")
+    """bin, n_pieces, used, doc_ids, text, place: the training sequences, each of at most CAPACITY code points.
+
+    Groups are consecutive documents of ``docs`` in the order of its files; a bin's ``place`` is that of
+    its first document, and bins come in that order.
+    """
+    placed = in_order(spark, docs)
+    items = items_of(placed)
+    packed = storage.materialize(spark, pack(items, group_pieces=GROUP_PIECES), "packed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", text).alias("_row"), text.alias("text"))
     if not packed.groupBy("doc_id", "row", "piece").count().where("count > 1").isEmpty():
         texts = texts.groupBy("_id", "_row").agg(F.first("text").alias("text"))  # repeated rows: one text for all their places
     part = F.expr(f"substring(text, piece * {CAPACITY} + 1, size)")
-    parts = packed.join(texts, F.expr("doc_id <=> _id AND row = _row")).select("bin", F.struct("bin_offset", "doc_id", part.alias("part")).alias("p"), "size")
-    bins = parts.groupBy("bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("size").alias("used"), F.count("*").alias("n_pieces"))  # CAPACITY code points at most
-    return bins.select("bin", "n_pieces", "used", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.part", "").alias("text"))
+    parts = packed.join(texts, F.expr("doc_id <=> _id AND row = _row")).select("grp", "bin", F.struct("bin_offset", "doc_id", part.alias("part")).alias("p"), "size", F.struct("pos", "piece").alias("at"))
+    # dealt by range of groups: bins are whole in a task, and tasks are in order
+    parts = parts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp")
+    bins = parts.groupBy("grp", "bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("size").alias("used"), F.count("*").alias("n_pieces"), F.min("at").alias("at"))  # CAPACITY code points at most
+    return bins.sortWithinPartitions("grp", "at", "bin").select("bin", "n_pieces", "used", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.part", "").alias("text"), F.col("at.pos").alias("place"))

@@ -435,6 +435,26 @@ def test_pipeline_equals_its_parts(spark):
     assert not any(b for r in out for b in base_brute(r.text) if b[1] == 0)
 
 
+def test_mixture_decides_what_is_packed(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 60))) for _ in range(160)]
+    docs(spark, texts, sources=["ab"[i % 2] for i in range(160)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain, runs = mixing.mix, {}
+    monkeypatch.setattr(packing, "GROUP_PIECES", 32)
+    for rich, poor in ("ab", "ba"):
+        monkeypatch.setattr(mixing, "mix", lambda df: plain(df, {rich: 9.0, poor: 1.0}, block_chars=500))  # noqa: B023
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert sorted({i for r in out for i in r.doc_ids}) == list(range(160))
+        assert [r.place for r in out] == sorted(r.place for r in out)  # bins stand in the mixture's order
+        first = Counter("ab"[i % 2] for r in out if r.place < 32 for i in r.doc_ids)
+        assert first[rich] >= 3 * first[poor]
+        runs[rich] = {frozenset(r.doc_ids) for r in out}
+    assert runs["a"] != runs["b"]
+
+
 def test_bitmap_has_no_false_negative_and_few_false_positives(spark):
     from barframe.llm.bitmap import may_be_in
 
