@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import storage
 
@@ -89,7 +90,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_same_source: int = MAX_
     items = items if ranged else items.withColumn("pos", F.lit(0).cast("long"))
     rows = items.where("size > 0").withColumn("piece", F.explode(F.expr(f"sequence(0, int((size - 1) div {capacity}))")))
     rows = rows.withColumn("size", F.expr(f"int(least(size - bigint(piece) * {capacity}, {capacity}))"))
-    whole = rows.where(F.col("size") == capacity).select("doc_id", "row", "piece", "size", "source", F.expr("concat('f', hex(row), '-', piece)").alias("bin"), F.lit(0).alias("bin_offset"), F.expr(f"pos div {group_pieces}").alias("grp"), "pos")
+    # copies of a repeated row are numbered: each is a bin
+    copy = F.row_number().over(Window.partitionBy("row", "piece").orderBy("pos", "doc_id", "source"))
+    whole = rows.where(F.col("size") == capacity).withColumn("copy", copy).select("doc_id", "row", "piece", "size", "source", F.expr("concat('f', hex(row), '-', piece, '-', copy)").alias("bin"), F.lit(0).alias("bin_offset"), F.expr(f"pos div {group_pieces}").alias("grp"), "pos")
     loose = storage.materialize(spark, rows.where(F.col("size") < capacity), "pieces")
     deal = f"pos div {group_pieces}" if ranged else f"pmod(xxhash64(row, piece), {max(1, -(-loose.count() // group_pieces))})"
     dealt = loose.withColumn("grp", F.expr(deal)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp")

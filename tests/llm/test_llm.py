@@ -280,6 +280,17 @@ def test_packing_stage_keeps_every_character(spark, odd, none):
     assert packing.pack(packing.items_of(none)).count() == 0
 
 
+def test_repeated_long_rows_have_bins_of_their_own(spark):
+    df = docs(spark, ["y" * (2 * packing.CAPACITY + 5), "short text"])
+    pieces = packing.pack(packing.items_of(df.union(df).union(df.where("doc_id = 0")))).collect()
+    used = Counter()
+    for r in pieces:
+        used[r.bin] += r.size
+    assert len(pieces) == 3 * 3 + 2 and max(used.values()) <= packing.CAPACITY
+    out = packing.packing_stage(spark, df.union(df), "").collect()
+    assert all(len(r.text) == r.used <= packing.CAPACITY for r in out) and sum(r.used for r in out) == 2 * (2 * packing.CAPACITY + 15)
+
+
 # ---- op7 -----------------------------------------------------------------------------------
 
 
