@@ -1,107 +1,187 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The documents of each source, in an order shuffled by hash, form blocks of about
-``BLOCK_CHARS`` code points. Of a source with share w of the slots, block k is
-released at floor(k / w) and due by ceil((k + 1) / w); earliest deadline first over
-the released blocks keeps each source less than one block from its share at any
-time. Shares are whole numbers of ``SLOTS`` slots, so the schedule repeats and only
-one period of it is ever simulated. When a source runs out, the next phase begins
-with the shares of those that are left: no document is dropped or repeated.
+``BLOCK_CHARS`` code points. With weight w (a share of all slots), block k of a source is
+released at floor(k / w) and due by ceil((k + 1) / w); earliest deadline first over the
+released blocks keeps each source less than one block from its share at any time. When
+a source runs out, the next phase begins with the weights of those that are left: no
+document is dropped or repeated.
+
+Weights are whole tickets, exact where they fit in ``TICKETS`` parts, else rounded to
+those: over a billion slots that moves a share by 1e-5 of a block. The schedule is not
+simulated from its start. A slot's backlog (blocks released before it, less slots) is a
+closed form, and which of the blocks under way earliest deadline first has run by a slot
+follows from backlogs alone: of those blocks, taken from the latest deadline, one has
+waited if no backlog since its release is used up by others that wait. So the driver keeps
+one number a source, steps over ``CHUNK`` slots at a time with array arithmetic, and
+Spark runs all chunks at once.
 
 A source's order needs running sums over all of its documents; they are taken within
 hash buckets and then over buckets, so no task holds a source.
 
 Defined results: null sources are one source, ``''`` another; null or empty texts count
 one code point; repeated rows stay; an empty table gives an empty result; a null
-doc_id is ordered by its text. Other columns are ignored.
+doc_id is ordered by its text. ``mix`` ignores other columns; ``mixing_stage`` keeps them,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import storage
 
-BLOCK_CHARS, SLOTS, BUCKETS, POWER = 100_000, 1000, 1024, 0.5
-
-
-def target_shares(sizes: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole slots of each source, in proportion to the weights: largest remainders, one at least."""
-    slots = max(slots, len(sizes))
-    total = sum(sizes.values())
-    exact = {s: slots * w / total for s, w in sizes.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    left = slots - sum(out.values())
-    for s in sorted(out, key=lambda s: (out[s] - exact[s], s)):
-        if left > 0:
-            out[s], left = out[s] + 1, left - 1
-    while left < 0:
-        s = max(out, key=lambda s: (out[s] - exact[s], out[s], s))
-        s = s if out[s] > 1 else max(out, key=lambda s: (out[s], s))
-        out[s], left = out[s] - 1, left + 1
-    return out
-
-
-def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of sum(shares) slots."""
-    slots = sum(shares.values())
-    waiting: list[tuple[int, str, int]] = []
-    due: list[tuple[int, str, int]] = []
-    for s in shares:
-        heapq.heappush(waiting, (0, s, 0))
-    out: dict[str, list[int]] = {s: [] for s in shares}
-    for t in range(slots):
+BLOCK_CHARS, BUCKETS, POWER = 100_000, 1024, 0.5
+#: CHUNK * TICKETS stays below 2 ** 63.
+TICKETS, CHUNK = 1 << 46, 1 << 16
+
+
+def tickets(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """Whole numbers in proportion to the weights; exact if their sum is at most TICKETS."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    divisor = math.gcd(*whole.values())
+    total = sum(whole.values())
+    if total // divisor <= TICKETS:
+        return {s: w // divisor for s, w in whole.items()}
+    return {s: max(1, round(Fraction(w * TICKETS, total))) for s, w in whole.items()}
+
+
+class Progress:
+    """Blocks that earliest deadline first has run by the slots that ``advance`` reaches; ties go to the source named first."""
+
+    def __init__(self, shares: list[int]):
+        self.shares, self.total = shares, sum(shares)
+        self.backlog = 0
+        #: Of each source's block under way: its number (-1: none), and the least backlog since its release.
+        self.under_way = np.full(len(shares), -1)
+        self.least = np.zeros(len(shares), np.int64)
+
+    def advance(self, begin: int, end: int) -> list[int]:
+        """Blocks of each source that have run by slot ``end``; ``begin`` is where the last call ended, CHUNK slots ago at most."""
+        a, total = self.shares, self.total
+        first = [-(-x * begin // total) for x in a]
+        count = np.array([-(-x * end // total) - f for x, f in zip(a, first, strict=True)])
+        slot, rest = (np.array(v) for v in zip(*(divmod(f * total, x) for f, x in zip(first, a, strict=True)), strict=True))
+        owner = np.repeat(np.arange(len(a)), count)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        release = slot[owner] - begin + (rest[owner] + k * total) // np.array(a)[owner]
+        backlog = self.backlog + np.cumsum(np.bincount(release, minlength=end - begin)) - np.arange(1, end - begin + 1)
+        since = np.minimum.accumulate(backlog[::-1])[::-1]  # least backlog after each slot, up to ``end``
+        self.backlog = int(backlog[-1])
+
+        done, open_ = [], []
+        for i, x in enumerate(a):
+            block, part = divmod(x * end, total)
+            done.append(block)
+            if part:
+                freed = block * total // x
+                self.least[i] = min(self.least[i], since[0]) if block == self.under_way[i] else since[freed - begin]
+                open_.append((freed, -(-(block + 1) * total // x), i))
+            self.under_way[i] = block if part else -1
+        open_.sort()
+        freed = np.array([r for r, _, _ in open_])
+        room = self.least[[i for _, _, i in open_]]
+        waits = set()
+        for r, _, i in sorted(open_, key=lambda x: (-x[1], -x[2])):
+            if len(waits) == self.backlog:
+                break
+            later = room[np.searchsorted(freed, r) :]
+            if later.min() > 0:
+                later -= 1
+                waits.add(i)
+        for _, _, i in open_:
+            done[i] += i not in waits
+        return done
+
+
+def run_slots(shares: list[int], done: list[int], begin: int, end: int) -> tuple[list[int], list[int]]:
+    """(source, its block) of each slot from ``begin`` to ``end``, earliest deadline first, after ``done`` blocks of each."""
+    total, k = sum(shares), list(done)
+    waiting = [(k[i] * total // x, i) for i, x in enumerate(shares)]
+    heapq.heapify(waiting)
+    due: list[tuple[int, int]] = []
+    sources, blocks = [], []
+    for t in range(begin, end):
         while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(due, (-(-(k + 1) * slots // shares[s]), s, k))
-        deadline, s, k = heapq.heappop(due)
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(due, (-(-(k[i] + 1) * total // shares[i]), i))
+        deadline, i = heapq.heappop(due)
         if t >= deadline:
             raise AssertionError("a Pfair deadline was missed")
-        out[s].append(t)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * slots // shares[s], s, k + 1))
-    return out
+        sources.append(i)
+        blocks.append(k[i])
+        k[i] += 1
+        heapq.heappush(waiting, (k[i] * total // shares[i], i))
+    return sources, blocks
 
 
-def phases(weights: dict[str, float], blocks: dict[str, int], slots: int = SLOTS) -> list[dict]:
-    """Rows of a schedule: in phase p, from its first slot on, source s runs from block ``base`` with ``share`` of ``slots`` in the pattern ``places``.
+PLAN = pa.schema([(n, pa.string() if n == "s" else pa.int64()) for n in ("chunk", "first", "begin", "end", "s", "share", "done", "base", "blocks")])
 
-    A phase ends when a source runs out, at the slot after its last block.
+
+def plan(shares: Mapping[str, int], blocks: Mapping[str, int], chunk: int = CHUNK) -> Iterator[dict]:
+    """Rows of PLAN: of each chunk of slots and each source in it, what has run before.
+
+    A phase begins at slot ``first`` with the sources that have blocks left; slots of a
+    chunk, ``done`` and ``share`` count within the phase; ``base`` blocks of the source ran
+    before it. It ends by the first deadline of a source's last block; the slot before
+    may fall to a block that isn't there and stays empty.
     """
-    left, done, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    left, ran, first, number = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, 0
     while left:
-        shares = target_shares({s: weights[s] for s in left}, slots)
-        total, places = sum(shares.values()), period(shares)
-        slot_of = lambda s, k: k // shares[s] * total + places[s][k % shares[s]]
-        end = min(slot_of(s, n - 1) for s, n in left.items()) + 1
-        for s in list(left):
-            full, rest = divmod(end, total)
-            ran = min(left[s], full * shares[s] + sum(p < rest for p in places[s]))
-            out.append({"source": s, "base": done[s], "until": done[s] + ran, "first": at, "share": shares[s], "total": total, "places": places[s]})
-            done[s] += ran
-            left[s] -= ran
+        names = list(left)
+        own = [shares[s] for s in names]
+        total = sum(own)
+        end = min(-(-left[s] * total // shares[s]) for s in names)
+        progress, done, begin = Progress(own), [0] * len(own), 0
+        while begin < end:
+            until = min(begin + chunk, end)
+            for s, x, k in zip(names, own, done, strict=True):
+                yield {"chunk": number, "first": first, "begin": begin, "end": until, "s": s, "share": x, "done": k, "base": ran[s], "blocks": blocks[s]}
+            done, begin, number = progress.advance(begin, until), until, number + 1
+        for s, k in zip(names, done, strict=True):
+            k = min(k, left[s])
+            ran[s] += k
+            left[s] -= k
             if not left[s]:
                 del left[s]
-        at += end
-    return out
+        first += end
+
+
+def _run_chunk(rows: pa.Table) -> pa.Table:
+    """(s, block, slot) of a chunk's slots."""
+    rows = rows.to_pylist()
+    first, begin, end = (rows[0][n] for n in ("first", "begin", "end"))
+    sources, blocks = run_slots([r["share"] for r in rows], [r["done"] for r in rows], begin, end)
+    block = np.array(blocks, np.int64) + np.array([r["base"] for r in rows])[sources]
+    there = np.flatnonzero(block < np.array([r["blocks"] for r in rows])[sources])
+    names = pa.array([r["s"] for r in rows])
+    return pa.table({"s": names.take(pa.array(np.array(sources)[there])), "block": block[there], "slot": there + first + begin})
 
 
-def deviation(schedule: list[dict], slot: int) -> dict[str, Fraction]:
-    """Of each source in the phase of ``slot``: blocks run minus blocks due, in that phase."""
-    first = max(r["first"] for r in schedule if r["first"] <= slot)
-    out = {}
-    for r in (r for r in schedule if r["first"] == first):
-        full, rest = divmod(slot - first, r["total"])
-        out[r["source"]] = full * r["share"] + sum(p < rest for p in r["places"]) - Fraction((slot - first) * r["share"], r["total"])
-    return out
+def schedule(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping[str, int], chunk: int = CHUNK) -> DataFrame:
+    """s, block, slot of every block."""
+    rows = pa.Table.from_pylist(list(plan(shares, blocks, chunk)), PLAN)  # sources rows for each chunk of a phase
+    if not rows.num_rows:
+        return spark.createDataFrame([], "s string, block long, slot long")
+    ordered = spark.createDataFrame(rows.append_column("at", pa.array(range(rows.num_rows))))
+    # an order of sources is a part of the schedule: ties of deadlines
+    return ordered.groupBy("chunk").applyInArrow(lambda t: _run_chunk(t.sort_by("at")), "s string, block long, slot long")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, source, block, slot, place for each row of ``docs`` (doc_id, text, source).
 
     Rows in order of slot, then place, are the mixture. ``weights`` by source, where
@@ -118,19 +198,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     # BUCKETS rows of a source at most
     before = sums.withColumn("before", F.coalesce(F.sum("chars").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = storage.materialize(spark, before, "mix-buckets")
-    sizes = {r[0]: r[1] for r in before.groupBy("s").agg(F.sum("chars")).collect()}  # a row a source
+    sizes = {r[0]: r[1] for r in before.groupBy("s").agg(F.sum("chars")).orderBy("s").collect()}  # a row a source
     named = None if weights is None else {"-" if k is None else f"+{k}": w for k, w in weights.items()}
-    want = {s: (named[s] if named else n**POWER) for s, n in sizes.items()}
-    schedule = phases(want, {s: -(-n // block_chars) for s, n in sizes.items()}, slots)
-    # sources * phases rows, each with as many places as the share
-    plan = spark.createDataFrame(schedule, "source string, base long, until long, first long, share int, total int, places array<int>").withColumnRenamed("source", "s")
+    if named is not None and (lost := sizes.keys() - named.keys()):
+        raise ValueError(f"no weight for {sorted(s[1:] or None for s in lost)}")
+    shares = tickets({s: (named[s] if named else n**POWER) for s, n in sizes.items()}) if sizes else {}
+    slots = schedule(spark, shares, {s: -(-n // block_chars) for s, n in sizes.items()}, chunk)
     inside = Window.partitionBy("s", "bucket").orderBy("row", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = rows.join(before.select("s", "bucket", "before"), ["s", "bucket"]).withColumn("start", start).withColumn("block", F.expr(f"start div {block_chars}"))
-    k = "(block - base)"
-    slot = F.expr(f"first + ({k} div share) * total + places[int({k} % share)]")
     # a long document spans several blocks and stands at the first; the slots of the others pass empty
-    return placed.join(F.broadcast(plan), ["s"]).where("block >= base AND block < until").select("row", "doc_id", "source", "block", slot.alias("slot"), F.col("start").alias("place"))
+    return placed.join(slots, ["s", "block"]).select("row", "doc_id", "source", "block", "slot", F.col("start").alias("place"))
 
 
 def op10_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +217,10 @@ def op10_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: files by range of slots, rows sorted within."""
-    order = storage.materialize(spark, mix(docs).select(F.col("row").alias("_row"), "slot", "place").groupBy("_row").agg(F.min("slot").alias("_slot"), F.min("place").alias("_place")), "mix-order")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(order, "_row")
-    # bounds of the files from the narrow order, so that texts are dealt once
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = order.select(F.percentile_approx("_slot", [i / n for i in range(1, n)] if n > 1 else [0.5], 10_000)).first()[0] or []
-    part = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in sorted(set(cuts)))}), c -> c <= _slot))") if cuts else F.lit(0)
-    return joined.withColumn("_part", part).repartitionByRange(n, "_part").sortWithinPartitions("_slot", "_place", "_row").select(*docs.columns)
+    order = storage.materialize(spark, mix(docs).groupBy("row").agg(F.min("slot").alias("slot"), F.min("place").alias("place")), "mix-order")
+    end = order.agg(F.max("slot")).first()[0]
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # slots hold about equal numbers of characters, so ranges of them are files of about one size
+    part = F.expr(f"int(slot * {files} div {(end or 0) + 1})")
+    return docs.select(storage.whole_row(docs).alias("doc"), row.alias("row")).join(order, "row").repartitionById(files, part).sortWithinPartitions("slot", "place", "row").select("doc.*")

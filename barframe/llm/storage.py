@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TEST_DIRS: dict[str, str] = {}
 
@@ -40,7 +41,22 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, codec: str = "zs
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     path = new_folder(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made and nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, beside which new columns can't clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def open_fs(uri: str):
