@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import whole_row
+
 BITS = 1 << 26
 
 
@@ -19,10 +21,10 @@ def _place(key: Column) -> Column:
 
 
 def may_be_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``_hit``: false where ``key`` is surely not in ``ids`` (one column)."""
+    """(row: the columns of ``rows`` as a struct, hit): ``hit`` is false where ``key`` is surely not in ``ids`` (one column)."""
     p = _place(F.col(ids.columns[0]))
-    maps = ids.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    maps = ids.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     place = _place(F.col(key))
-    found = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_at", F.bitmap_bit_position(place)).join(F.broadcast(maps), "_bucket", "left")
-    bit = F.expr("(cast(conv(hex(substring(_bits, cast(_at div 8 + 1 AS int), 1)), 16, 10) AS int) >> cast(_at % 8 AS int)) & 1")
-    return found.withColumn("_hit", F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, "_hit")
+    found = rows.select(whole_row(rows).alias("row"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).join(F.broadcast(maps), "bucket", "left")
+    bit = F.expr("(cast(conv(hex(substring(bits, cast(at div 8 + 1 AS int), 1)), 16, 10) AS int) >> cast(at % 8 AS int)) & 1")
+    return found.select("row", F.coalesce(bit == 1, F.lit(False)).alias("hit"))

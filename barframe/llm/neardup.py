@@ -11,13 +11,18 @@ The work:
 1. documents with equal sets form classes; their least doc_id stands for them;
 2. in each band bucket the members are compared, by signature, with the least of them
    (a star); the components of pairs that agree in ``MIN_AGREE`` slots are *clusters*;
-3. members of a bucket that are still in different clusters are compared by signature
-   in blocks of ``BLOCK`` rows, of which each emits a spanning forest at most;
-4. each text goes to its cluster's block once, where pairs not yet connected are
-   confirmed on full sets, likeliest first. A cluster of several blocks sends some
-   leaders to all of them; members outside its largest component then go to all of
-   its blocks too. What is emitted grows with rows, not with pairs;
-5. components of the confirmed links, by label propagation.
+3. members of a bucket that are outside its largest cluster are compared by signature
+   with all others, in groups of two blocks, of which each emits a spanning forest at most;
+4. each text goes to its cluster's block of ``BLOCK`` rows once, where pairs not yet
+   connected are confirmed on full sets, likeliest first; a cluster of several blocks
+   sends some leaders to all of them;
+5. where such a cluster is still in several components, an exact bound comes first: a
+   link needs 6/7 of the smaller set, and 3/4 of the larger, to be found in other
+   components at all. Texts grown from one template, however many, end here.
+   What is left is confirmed in groups of two blocks, one of them of rows outside the largest component;
+6. components of the confirmed links, by label propagation.
+
+A group holds about two blocks, whatever the cluster. Keys with very many rows are dealt in parts.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 rows with a null doc_id keep component_id null and are kept; rows that share a
@@ -38,7 +43,8 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .bitmap import may_be_in
 from .graph import components
-from .storage import materialize, read_table
+from .skew import spread_join
+from .storage import discard, materialize, read_table
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 SLOTS = 2 * PERMUTATIONS
@@ -136,10 +142,10 @@ class _Forest:
         self.root[self.root == self.root[y]] = self.root[x]
 
 
-def _candidates(forest: _Forest, slots: np.ndarray, n: np.ndarray, x: int, also: np.ndarray | None = None) -> np.ndarray:
+def _candidates(forest: _Forest, slots: np.ndarray, n: np.ndarray, x: int) -> np.ndarray:
     """Rows before x, not connected with it, that agree with it in MIN_AGREE slots; most slots first."""
     near = (forest.root[:x] != forest.root[x]) & (100 * np.minimum(n[:x], n[x]) >= LIMIT * np.maximum(n[:x], n[x]))
-    at = np.flatnonzero(near if also is None else near & also[:x])
+    at = np.flatnonzero(near)
     agree = (slots[at] == slots[x]).sum(1)
     good = agree >= MIN_AGREE
     return at[good][np.argsort(-agree[good], kind="stable")]
@@ -149,64 +155,89 @@ def _pairs_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _bucket_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, cluster, rep, n, signature) sorted by (key, i, j): a forest of likely pairs between clusters in two blocks of a bucket."""
-    a, b = [], []
-    for _, rows in groupby(_rows(batches), key=lambda r: r[:3]):
-        _, _, _, cluster, rep, n, sig = zip(*rows, strict=True)
-        forest, n = _Forest(cluster), np.asarray(n)
-        slots = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, SLOTS)
-        for x in range(1, len(rep)):
-            for y in _candidates(forest, slots, n, x):
-                if forest.root[x] != forest.root[y]:
-                    forest.join(x, y)
-                    a.append(rep[y])
-                    b.append(rep[x])
-        if len(a) > 4096:
-            yield _pairs_batch(a, b)
-            a, b = [], []
-    yield _pairs_batch(a, b)
+SENT = ("g", "i", "j", "new", "rep", "comp", "n", "f1", "signature", "text")
+
 
+def _compared(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of SENT, sorted: a forest of links between components, in each group (g, i, j) of the ``new`` rows with all others.
 
-def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, block, rep, comp, odd, n, signature, text) sorted by (cluster, block): a forest of confirmed links between components; with ``odd`` rows, of pairs that have one."""
+    Links are pairs that agree in MIN_AGREE slots; with ``exact``, those confirmed on full sets.
+    """
     a, b = [], []
-    for _, rows in groupby(_rows(batches), key=lambda r: r[:2]):
+    for _, rows in groupby(_rows(batches), key=lambda r: r[:3]):
         rows = list(rows)  # about two blocks
-        sets = tk.shingle_sets(*tk.utf8(pa.array([r[7] for r in rows], pa.large_string())), SHINGLE)
-        # a leader may come twice; where a doc_id has several texts, signatures stay with their own
-        own = {(r[2], r[6]): i for i, r in enumerate(rows) if len(sets[i]) == r[5]}
+        sets = tk.shingle_sets(*tk.utf8(pa.array([r[9] for r in rows], pa.large_string())), SHINGLE) if exact else []
+        own: dict[tuple, int] = {}
+        for k, r in enumerate(rows):
+            # where a doc_id has several texts, signatures stay with their own
+            if not exact or sets[k].sum(dtype=_U) == _U(r[7] % (1 << 64)):
+                own.pop((r[4], r[7]), None)  # a row that comes on both sides counts as new
+                own[r[4], r[7]] = k
         if len(own) < 2:
             continue
-        sets = [sets[i] for i in own.values()]
-        _, _, rep, comp, odd, n, sig, _ = zip(*(rows[i] for i in own.values()), strict=True)
-        forest, n = _Forest(comp), np.asarray(n)
-        slots = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, SLOTS)
-        odd = np.asarray(odd, bool)
-        for x in range(1, len(rep)):
-            for y in _candidates(forest, slots, n, x, odd if odd.any() and not odd[x] else None):
+        rows, sets = [rows[k] for k in own.values()], [sets[k] for k in own.values()] if exact else []
+        forest, n = _Forest([r[5] for r in rows]), np.array([r[6] for r in rows])
+        slots = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(-1, SLOTS)
+        for x in range(max(sum(not r[3] for r in rows), 1), len(rows)):
+            for y in _candidates(forest, slots, n, x):
                 if forest.root[x] == forest.root[y]:
                     continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= LIMIT * (len(sets[x]) + len(sets[y]) - both):
-                    forest.join(x, y)
-                    a.append(rep[y])
-                    b.append(rep[x])
+                if exact:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both < LIMIT * (len(sets[x]) + len(sets[y]) - both):
+                        continue
+                forest.join(x, y)
+                a.append(rows[y][4])
+                b.append(rows[x][4])
         if len(a) > 4096:
             yield _pairs_batch(a, b)
             a, b = [], []
     yield _pairs_batch(a, b)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, rep, comp, n, f1, text): (rep, comp, n, token) for each shingle, hashed with the cluster."""
+    for batch in batches:
+        data, off = tk.utf8(batch.column(5))
+        for i, j in tk.slices(off):
+            sets = tk.shingle_sets(data, off[i : j + 1], SHINGLE)
+            own = np.array([s.sum(dtype=_U) == _U(f % (1 << 64)) for s, f in zip(sets, batch.column(4).slice(i, j - i).to_pylist(), strict=True)], bool)
+            size = np.array([len(s) for s in sets]) * own
+            cluster = np.asarray(batch.column(0).slice(i, j - i)).astype(np.int64).view(_U) * _FOLD
+            token = tk.mix(np.concatenate([s ^ c for s, c, good in zip(sets, cluster, own, strict=True) if good] or [np.zeros(0, _U)])).view(np.int64)
+            at = pa.array(np.repeat(np.arange(i, j), size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3)), pa.array(token)], names=["rep", "comp", "n", "token"])
+
+
 def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("size"))
+
+
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of distinct ``pairs``, those whose signatures agree enough."""
+    """Of distinct ``pairs``, those whose signatures agree enough; ``a`` may be in very many."""
     x = reps.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
     y = reps.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
+    led = spread_join(pairs, x, "a", "b", _sizes(pairs, "a"), pairs.count())
+    return led.join(y, "b").select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Groups of two blocks for ``rows`` (g, rep, odd, size, n_odd, ...): each odd row meets each row of its g once."""
+    rows = rows.withColumn("wide", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn("many", F.expr(f"int(ceil(n_odd / {BLOCK}))"))
+    i, j = F.expr("int(pmod(xxhash64(rep, 1), many))"), F.expr("int(pmod(xxhash64(rep), wide))")
+    new = rows.where("odd").withColumn("i", i).withColumn("j", F.explode(F.expr("sequence(0, wide - 1)"))).withColumn("new", F.lit(True))
+    old = rows.withColumn("j", j).withColumn("i", F.explode(F.expr("sequence(0, many - 1)"))).withColumn("new", F.lit(False))
+    return new.unionByName(old).drop("wide", "many", "odd", "size", "n_odd")
+
+
+def _forest(rows: DataFrame, exact: bool) -> DataFrame:
+    """Links (a, b) found in the groups of ``rows`` of SENT."""
+    groups = rows.select(*SENT).repartition(_tasks(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "new", "rep")
+    return materialize(rows.sparkSession, groups.mapInArrow(lambda batches: _compared(batches, exact), "a long, b long").distinct(), "links")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,35 +250,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(links.sparkSession, old.union(new), "merged")
 
 
-def _linked(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) among ``rows`` (cluster, block, rep, comp, odd)."""
-    full = rows.join(members, "rep").select("cluster", "block", "rep", "comp", "odd", "n", "signature", "text")
-    dealt = full.repartition(_tasks(rows.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block", "rep")
-    return materialize(rows.sparkSession, dealt.mapInArrow(_cluster_blocks, "a long, b long").distinct(), "links")
-
-
 def _clusters(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node, label): the clusters that may hold links; the (rep, n, signature) that they are made of)."""
+    """((node, label): the clusters that may hold links; the (rep, n, f1, signature) that they are made of)."""
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
-    buckets = materialize(spark, rows.join(busy.drop("size"), "key"), "buckets")
+    busy = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).where("size > 1")
+    busy = materialize(spark, busy, "busy")
+    total = BANDS * reps.count()
+    buckets = materialize(spark, spread_join(rows, busy, "key", "rep", busy, total), "buckets")
     # signatures travel only for those that share a bucket
-    reps = materialize(spark, reps.select("rep", "n", "signature").join(buckets.select("rep").distinct(), "rep", "left_semi"), "signatures")
-    near = F.expr(f"100 * least(n, m) >= {LIMIT} * greatest(n, m)")
-    sizes = reps.select(F.col("rep").alias("lead"), F.col("n").alias("m"))
-    led = buckets.select("rep", "n", "lead").where("rep <> lead").distinct()
-    star = led.join(sizes, "lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    reps = materialize(spark, reps.select("rep", "n", "f1", "signature").join(buckets.select("rep").distinct(), "rep", "left_semi"), "signatures")
+    near = F.expr(f"100 * least(n, lead.n) >= {LIMIT} * greatest(n, lead.n)")
+    star = materialize(spark, buckets.where(near & F.expr("rep <> lead.rep")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     clusters = components(likely(star, reps))
-    labelled = buckets.select("key", "rep", "n").join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("cluster"))
+    labelled = buckets.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
     labelled = materialize(spark, labelled, "labelled")
+    discard(buckets, star)
     # of three rows or more: a star settles two
-    split = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("size > 2 AND low <> high").select("key", "size")
-    rest = labelled.join(split, "key").join(reps.select("rep", "signature"), "rep")
-    rest = rest.withColumn("blocks", F.expr(f"int(ceil(size / {BLOCK}))")).withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "rep", "n", "signature")
-    pairs = rest.repartition(_tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_bucket_blocks, "a long, b long")
-    more = materialize(spark, pairs.distinct(), "pairs")
+    per = labelled.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("size"), F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"))
+    split = materialize(spark, per.where("size > 2 AND comps > 1").select("key", "size", F.expr("size - main.count").alias("n_odd"), F.col("main.comp").alias("main")), "split")
+    rest = spread_join(labelled, split, "key", "rep", busy, total).join(reps, "rep")
+    rest = rest.select(F.col("key").alias("g"), "rep", "comp", "n", "f1", "signature", F.lit(None).cast("string").alias("text"), (F.col("comp") != F.col("main")).alias("odd"), "size", "n_odd")
+    more = _forest(_dealt(rest), False)
+    discard(labelled, split, busy)
     return (clusters if more.isEmpty() else _merged(clusters, more)), reps
 
 
@@ -256,23 +280,42 @@ def _components(spark: SparkSession, reps: DataFrame, texts: DataFrame) -> DataF
     clusters, signed = _clusters(spark, reps)
     placed = clusters.withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster")
     luck = [F.min(F.struct(F.xxhash64("rep", F.lit(t)), "rep"))["rep"] for t in range(WIDE_LEADERS)]
-    sizes = materialize(spark, placed.groupBy("cluster").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"), F.array_distinct(F.array(*luck)).alias("leads")), "cluster-sizes")
-    placed = materialize(spark, placed.join(sizes.drop("leads"), "cluster").withColumn("block", F.expr("int(pmod(xxhash64(rep), blocks))")), "placed")
-    wanted = may_be_in(texts, "rep", placed.select("rep")).where("_hit").drop("_hit")
+    wide = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.array_distinct(F.array(*luck)).alias("leads")).where(f"size > {BLOCK}")
+    wide = materialize(spark, wide.withColumn("blocks", F.expr(f"int(ceil(size / {BLOCK}))")), "wide")
+    total = placed.count()
+    placed = spread_join(placed, wide.select("cluster", "blocks"), "cluster", "rep", wide, total, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = materialize(spark, placed.withColumn("i", F.expr("int(pmod(xxhash64(rep), blocks))")), "placed")
+    wanted = may_be_in(texts, "rep", placed.select("rep")).where("hit").select("row.*")
     members = materialize(spark, placed.select("rep").join(signed, "rep").join(wanted, "rep"), "members")
-    every = F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")
-    leads = sizes.where("blocks > 1").select("cluster", F.explode("leads").alias("rep"), "blocks").select("cluster", "rep", every)
-    rows = placed.select("cluster", "rep", "block").union(leads.select("cluster", "rep", "block"))
-    labels = components(_linked(rows.withColumn("comp", F.col("rep")).withColumn("odd", F.lit(False)), members))
-    wide = placed.where("blocks > 1")
+    discard(signed)
+    leads = wide.select("cluster", F.explode("leads").alias("rep"), "blocks").select("cluster", "rep", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
+    rows = placed.select("cluster", "rep", "i").union(leads).select(F.col("cluster").alias("g"), "rep", F.col("rep").alias("comp"), "i", F.lit(0).alias("j"), F.lit(True).alias("new"))
+    labels = components(_forest(rows.join(members, "rep"), True))
     if wide.isEmpty():
         return labels
-    wide = materialize(spark, wide.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label"), "wide")
-    parts = wide.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = wide.join(parts, "cluster").withColumn("odd", F.col("comp") != F.col("main"))
-    sent = open_.where("odd").select("cluster", "rep", "comp", "odd", "blocks").select("cluster", "rep", "comp", "odd", every)
-    more = _linked(open_.select("cluster", "rep", "comp", "odd", "block").union(sent).select("cluster", "block", "rep", "comp", "odd"), members)
-    return labels if more.isEmpty() else _merged(labels, more)
+    more = _across(spark, placed.where("blocks > 1").select("rep", "cluster"), labels, members, wide, total)
+    return labels if more is None or more.isEmpty() else _merged(labels, more)
+
+
+def _across(spark: SparkSession, rows: DataFrame, labels: DataFrame, members: DataFrame, wide: DataFrame, total: int) -> DataFrame | None:
+    """Links (a, b) between different components of the clusters of several blocks, ``rows`` (rep, cluster)."""
+    rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("comp"))
+    rows = materialize(spark, rows, "wide-rows")
+    per = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+    parts = materialize(spark, per.where("comps > 1").select("cluster", "main"), "parts")
+    if parts.isEmpty():
+        return None
+    open_ = materialize(spark, spread_join(rows, parts, "cluster", "rep", wide, total).withColumn("odd", F.col("comp") != F.col("main")), "open")
+    tokens = open_.join(members, "rep").select("cluster", "rep", "comp", "n", "f1", "text").mapInArrow(_tokens, "rep long, comp long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    # what two sets share is in other components of both; the bitmap may count more, never less
+    found = may_be_in(tokens, "token", shared).where("hit").groupBy("row.rep").agg(F.count("*").alias("m"), F.min("row.n").alias("n"))
+    able = materialize(spark, open_.join(found.where("4 * m >= 3 * n").select("rep", F.expr("7 * m >= 6 * n").alias("small")), "rep"), "able")
+    sides = able.groupBy("cluster").agg(F.count("*").alias("size"), F.count_if("odd").alias("odds"), F.count_if("small").alias("smalls")).where("odds > 0 AND smalls > 0")
+    sides = materialize(spark, sides.select("cluster", "size", F.expr("odds <= smalls").alias("by_odd"), F.least("odds", "smalls").alias("n_odd")), "sides")
+    # a link has an end outside the largest component, and a smaller end: the rarer kind meets all rows
+    dealt = spread_join(able, sides, "cluster", "rep", sides, total).select(F.col("cluster").alias("g"), "rep", "comp", F.expr("IF(by_odd, odd, small)").alias("odd"), "size", "n_odd")
+    return _forest(_dealt(dealt).join(members, "rep"), True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = known.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     classes = materialize(spark, best.select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
     # a row number, not doc_id: rows may share one
-    reps = sketches.join(classes.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands")
+    reps = sketches.join(classes.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "f1", "signature", "bands")
     reps = materialize(spark, reps, "representatives")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).where("rep IS NOT NULL")
     comp = _components(spark, reps, texts).withColumnRenamed("node", "rep")
@@ -299,14 +342,16 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id; repeated rows of it become one."""
+    """One document of each group: the one with the least doc_id; repeated rows of it become one. All columns stay, whatever their names."""
     found = near_duplicates(docs)
-    gone = materialize(spark, found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    gone = materialize(spark, found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     marked = may_be_in(docs, "doc_id", gone)
     # most rows are surely not among those that go, and stay where they are
-    sure, open_ = marked.where("NOT _hit").drop("_hit"), marked.where("_hit").drop("_hit")
-    kept = sure.unionByName(open_.join(gone, open_.doc_id == gone._id, "left_anti"))
-    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = marked.where("NOT hit").select("row").union(marked.where("hit").join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row"))
+    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    twice = materialize(spark, twice, "twice")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+        return kept.select("row.*")
+    again = F.col("row.doc_id") == F.col("twice")
+    one = kept.join(twice, again, "left_semi").withColumn("id", F.col("row.doc_id")).withColumn("t", F.col("row.text")).dropDuplicates(["id", "t"])
+    return kept.join(twice, again, "left_anti").union(one.select("row")).select("row.*")
