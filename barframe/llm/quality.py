@@ -1,14 +1,15 @@
 """Quality rules: base rules plus an isolation forest on rule statistics.
 
-``rule_statistics`` reads each whole text once. ``IsolationForest`` grows random
-splits on a bounded sample (``trees * subsample`` rows in expectation, chosen by a
-hash of the identifier); anomalous rows have short paths. ``calibrate`` reads all
-labelled rows as a histogram of scores and picks the threshold that costs least.
+``rule_statistics`` reads each whole text. ``IsolationForest`` grows random splits on a
+bounded sample (``trees * subsample`` rows at most, the least hashes of identifier and
+statistics); anomalous rows have short paths. ``calibrate`` reads all labelled rows as
+a histogram of scores and picks the threshold that costs least.
 
 Defined results: null text counts as empty (no words, ``base_failed``); repeated
 rows give repeated rows; with no labelled rows, or none whose junk stands apart,
 the threshold is above every score and only the base rules reject; an empty table
-gives an empty result. Other columns of the input are ignored.
+gives an empty result. ``assess`` ignores other columns; ``quality_stage`` keeps them,
+whatever their names, and judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .storage import materialize, read_table
 #: Rates, so that short and long texts compare; the length itself is left to the base rules.
 #: Symbols are seen in several ways, so that a split on them is drawn often; what repeats is one feature, as ordinary prose repeats too.
 FEATURES = ("f_word_len", "f_symbols", "f_symbol_words", "f_symbol_chars", "f_marks", "f_repetition", "f_upper", "f_shout")
+MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -206,21 +208,22 @@ def calibrate(counts: list[tuple[int, int, int]], lost: float = LOST) -> float:
     return best
 
 
-def assess(docs: DataFrame, labels: DataFrame, trees: int = 128, subsample: int = 256) -> DataFrame:
-    """doc_id, the rule statistics, anomaly (score), threshold, base_failed and kept for each row of ``docs``.
+def verdict(docs: DataFrame, labels: DataFrame, trees: int = 128, subsample: int = 256) -> tuple[DataFrame, IsolationForest, float]:
+    """(doc_id, the rule statistics, base_failed and anomaly of each row of ``docs``; the forest; its threshold).
 
     ``labels``: doc_id, quality (0 bad, 1 good); rows with other values are ignored,
     and an identifier labelled both ways counts as good.
     """
     spark = docs.sparkSession
-    stats = materialize(spark, rule_statistics(docs), "rule-statistics")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    stats = materialize(spark, rule_statistics(docs).withColumn("base_failed", failed), "rule-statistics")
     usual = stats.where("NOT base_failed")
-    share = trees * subsample / max(usual.count(), 1)
-    # by a hash, so about trees * subsample rows come to the driver, whatever the number of tasks
-    luck = F.expr("pmod(xxhash64(doc_id, word_chars), 1000003) / 1000003D")
-    sample = usual.where(luck < share).orderBy("doc_id", *FEATURES).select(*FEATURES).toPandas().to_numpy(float)
+    size = trees * subsample
+    luck = F.xxhash64("doc_id", "n_words", "word_chars", *FEATURES)
+    # about twice the rows that are wanted pass the hash, so that few are sorted, whatever the number of tasks; rows that repeat are cut by the limit
+    share = min(1.0, 2 * size / max(usual.count(), 1))
+    lucky = usual.withColumn("luck", luck).where(F.expr(f"pmod(luck, 1000003) < {share} * 1000003"))
+    sample = lucky.orderBy("luck", "doc_id", *FEATURES).limit(size).select(*FEATURES).toPandas().to_numpy(float)
     forest = IsolationForest.fit(sample.reshape(-1, len(FEATURES)), trees, subsample)
     scored = _score(stats, forest)
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -228,37 +231,54 @@ def assess(docs: DataFrame, labels: DataFrame, trees: int = 128, subsample: int
         scored.where("NOT base_failed").join(marks, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"))
         .agg(F.sum(F.expr("int(quality = 1)")).alias("good"), F.sum(F.expr("int(quality = 0)")).alias("bad"))
     )
-    threshold = calibrate([tuple(map(int, r)) for r in binned.collect()])  # BINS + 1 rows at most
+    return scored, forest, calibrate([tuple(map(int, r)) for r in binned.collect()])  # BINS + 1 rows at most
+
+
+def assess(docs: DataFrame, labels: DataFrame, trees: int = 128, subsample: int = 256) -> DataFrame:
+    """doc_id, the rule statistics, anomaly (score), threshold, base_failed and kept for each row of ``docs``."""
+    scored, _, threshold = verdict(docs, labels, trees, subsample)
     return scored.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
+def _scores(forest: IsolationForest, rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([forest.score(rows[i : i + 4096]) for i in range(0, len(rows), 4096)] or [np.zeros(0)])
+
+
 def _score(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     # nodes of the forest: trees * 2 * subsample at most, whatever the input's size
     def score(batches):
         for batch in batches:
             rows = np.column_stack([np.asarray(batch.column(f)) for f in FEATURES]) if batch.num_rows else np.zeros((0, len(FEATURES)))
             keep = [n for n in batch.schema.names if n not in FEATURES]
-            got = np.concatenate([forest.score(rows[i : i + 4096]) for i in range(0, len(rows), 4096)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(got)], names=[*keep, "anomaly"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(_scores(forest, rows))], names=[*keep, "anomaly"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema if f.name not in FEATURES]
     return stats.mapInArrow(score, ", ".join([*kept, "anomaly double"]))
 
 
+def keep_good(docs: DataFrame, forest: IsolationForest, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that rules and forest keep, in one pass over their texts."""
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def keep(batches):
+        for batch in batches:
+            data, off = tk.utf8(batch.column(at))
+            for i, j in tk.slices(off):
+                got = _measure(data, off[i : j + 1])
+                n = got["n_words"]
+                good = (n >= MIN_WORDS) & (100 * got["n_repeat_words"] <= MAX_REPEAT_PERCENT * n)
+                good &= _scores(forest, np.column_stack([got[f].astype(float) for f in FEATURES])) < threshold
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_quality_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("anomaly", 9).alias("anomaly"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and the forest keep.
-
-    Rows are matched by identifier and by the statistics' own row of it: a row is
-    dropped where no row with its identifier and length in words was kept.
-    """
-    verdict = assess(docs, read_table(spark, sf_dir, "labels")).where("NOT kept")
-    bad = verdict.select("doc_id", "n_words").distinct()
-    words = F.size(F.expr("regexp_extract_all(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
-    return docs.withColumn("_words", words.cast("long")).join(
-        bad.withColumnRenamed("doc_id", "_id").withColumnRenamed("n_words", "_n"), F.expr("doc_id <=> _id AND _words = _n"), "left_anti"
-    ).drop("_words")
+    """The documents that the rules and the forest keep. Texts are read twice and never shuffled."""
+    _, forest, threshold = verdict(docs, read_table(spark, sf_dir, "labels"))
+    return keep_good(docs, forest, threshold)
