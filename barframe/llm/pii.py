@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, widened by bootstrapped contextual extraction.
 
 1. One pass over whole texts finds the base spans (email, ip, card, phone) and the
-   *candidates*: tokens that hold a digit or an at sign and overlap no base span. Both
-   are emitted as instances with their lexical patterns, the two words before, and the
-   words on both sides.
+   *candidates*: tokens of four characters or more that hold a digit or an at sign and
+   overlap no base span; identifiers without either are out of its reach. Both are emitted
+   as instances with their lexical patterns, the two words before, and the words on both
+   sides. Words end at white space and at base spans; long ones count by a hash of the
+   whole word. Work grows with a text's length, whatever it holds.
 2. Spark scores the bipartite graph of patterns and instances. Base instances have
    score 1. In each round a pattern's confidence is the mean score of its distinct
    instances, provided that at least ``MIN_SEEDS`` of them are trusted; an instance's
@@ -13,27 +15,30 @@
    spans of kind ``context``.
 
 Defined results: null text counts as empty; equal texts have equal spans, so repeated
-rows do too; an empty table gives an empty result; other columns are ignored. Offsets
-are code points, ends exclusive.
+rows do too; an empty table gives an empty result. ``personal_data`` ignores other columns,
+``redact`` keeps them, whatever their names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .storage import whole_row
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, MIN_SEEDS, TRUST, CONFIDENT = 3, 5, 0.8, 0.8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: A match begins where a run of digits does, so that each run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -81,28 +86,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _word_before(text: str, at: int) -> tuple[str, int]:
-    """(the word that ends before ``at``, lower-cased and stripped, and its start)"""
-    while at > 0 and text[at - 1] in _SPACES:
-        at -= 1
-    start = at
-    while start > 0 and text[start - 1] not in _SPACES:
-        start -= 1
-    return text[start:at].strip(_EDGE).lower()[:40], start
+class _Words:
+    """Words of a text around its spans: lower-cased, stripped, cut at white space and at base spans."""
 
+    def __init__(self, text: str, spans: list[tuple[int, int, int]]):
+        self.text, self.starts, self.ends = text, [s for s, _, _ in spans], sorted(e for _, _, e in spans)
 
-def _word_after(text: str, at: int) -> str:
-    m = _TOKEN.search(text, at)
-    return m[0].strip(_EDGE).lower()[:40] if m else ""
+    def before(self, at: int) -> tuple[str, int]:
+        """(the word that ends before ``at``, its start)"""
+        text, k = self.text, bisect_right(self.ends, at)
+        bound = self.ends[k - 1] if k else 0
+        while at > bound and text[at - 1] in _SPACES:
+            at -= 1
+        start = at
+        while start > bound and text[start - 1] not in _SPACES:
+            start -= 1
+        return _key(text[start:at]), start
+
+    def after(self, at: int) -> str:
+        k = bisect_left(self.starts, at)
+        m = _TOKEN.search(self.text, at, self.starts[k] if k < len(self.starts) else len(self.text))
+        return _key(m[0]) if m else ""
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The contexts of a span: two words before it; the words around it."""
+        one, at = self.before(start)
+        two, _ = self.before(at)
+        out = [f"{two} {one} _"] if one and two else []
+        after = self.after(end)
+        return out + ([f"{one} _ {after}"] if one and after else [])
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """The contexts of a span: two words before it; the words around it. Words are cut at 40 characters as keys."""
-    one, at = _word_before(text, start)
-    two, _ = _word_before(text, at)
-    out = [f"{two} {one} _"] if one and two else []
-    after = _word_after(text, end)
-    return out + ([f"{one} _ {after}"] if one and after else [])
+def _key(word: str) -> str:
+    """A word as a key of bounded length."""
+    word = word.strip(_EDGE).lower()
+    return word if len(word) <= 40 else "#" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -145,12 +163,13 @@ def extract(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 near = candidates(text, base)
+                words = _Words(text, base)
                 # only texts with instances need a key: it joins their learnt spans back
                 keys.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if base or near else None)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
                 instances.append(
-                    [{"start": s, "end": e, "seed": True, "name": f"{KINDS[k]} {text[s:e].lower()}", "patterns": _patterns(text, s, e)} for s, k, e in base]
-                    + [{"start": s, "end": e, "seed": False, "name": text[s:e].lower(), "patterns": _patterns(text, s, e)} for s, e in near]
+                    [{"start": s, "end": e, "seed": True, "name": f"{KINDS[k]} {_key(text[s:e])}", "patterns": words.patterns(s, e)} for s, k, e in base]
+                    + [{"start": s, "end": e, "seed": False, "name": _key(text[s:e]), "patterns": words.patterns(s, e)} for s, e in near]
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(spans, _SPAN), pa.array(instances, _INSTANCE)], names=["doc_id", "text_key", "spans", "instances"])
 
@@ -205,19 +224,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = personal_data(docs).where("size(spans) + size(learnt) > 0")
     # by text, not by doc_id: one row a text, whatever repeats
-    spans = found.groupBy(F.col("text_key").alias("_key")).agg(F.first(F.expr("array_sort(concat(spans, learnt))")).alias("_spans"))
-    joined = docs.withColumn("_key", F.sha2("text", 256)).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    spans = found.groupBy("text_key").agg(F.first(F.expr("array_sort(concat(spans, learnt))")).alias("spans"))
+    rows = docs.select(whole_row(docs).alias("row"), F.sha2("text", 256).alias("key"))
+    joined = rows.join(spans, F.col("key") == F.col("text_key"), "left").select("row", "spans")
     kinds = [f"[{k.upper()}]" for k in KINDS]
-    schema = docs.schema
+    schema, names = docs.schema, [c.lower() for c in docs.columns]
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def clean(batches):
-        at = schema.fieldNames().index("text")
-        count = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
         for batch in batches:
-            cols = [batch.column(n) for n in range(len(schema))]
+            cols = batch.column(0).flatten()
             texts = cols[at].to_pylist()
             lengths = cols[count].to_pylist() if count is not None else None
-            for r, spans in enumerate(batch.column(len(schema)).to_pylist()):
+            for r, spans in enumerate(batch.column(1).to_pylist()):
                 if spans:
                     parts, done = [], 0
                     for s in spans:
