@@ -26,7 +26,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,26 +113,28 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_same_source: int = MAX_
     return packed.union(whole)
 
 
-def items_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), size, source, cluster of each row of ``docs``; texts equal but for case and white space are a cluster."""
+def items_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), size, source, cluster and ``more`` of each row of ``docs``; texts equal but for case and white space are a cluster."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), F.length(text).cast("long").alias("size"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"), *([F.col("_pos").alias("pos")] if "_pos" in docs.columns else []))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("row"), F.length(text).cast("long").alias("size"), F.col("source").cast("string"), F.xxhash64(plain).alias("cluster"), *more)
 
 
-def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_pos``, the place of each row as its files hold them; rows that come from no file are written first."""
-    file = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+def in_order(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, source and pos, the place of each row as its files hold them; number of rows). Rows that come from no file are written first."""
+    docs = docs.select("doc_id", "text", "source")
+    file = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")]
     try:
         rows = docs.select("*", *file)
     except AnalysisException:
         rows = storage.materialize(spark, docs, "ordered").select("*", *file)
-    sizes = rows.groupBy("_file").agg(F.max("_index").alias("last")).collect()  # a row a file
+    sizes = rows.groupBy("file").agg(F.max("index").alias("last")).collect()  # a row a file
     at, first = 0, []
     for name, last in sorted(sizes, key=lambda r: (int((re.findall(r"part-(\d+)", r[0]) or [0])[-1]), r[0])):
         first.append((name, at))
         at += last + 1
-    return rows.join(F.broadcast(spark.createDataFrame(first, "_file string, _first long")), "_file").withColumn("_pos", F.col("_first") + F.col("_index")).drop("_file", "_index", "_first")
+    starts = F.broadcast(spark.createDataFrame(first, "file string, first long"))
+    return rows.join(starts, "file").select("doc_id", "text", "source", (F.col("first") + F.col("index")).alias("pos")), at
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +149,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Groups are consecutive documents of ``docs`` in the order of its files; a bin's ``place`` is that of
     its first document, and bins come in that order.
     """
-    placed = in_order(spark, docs)
-    items = items_of(placed)
-    packed = storage.materialize(spark, pack(items, group_pieces=GROUP_PIECES), "packed")
+    placed, total = in_order(spark, docs)
+    packed = storage.materialize(spark, pack(items_of(placed, F.col("pos")), group_pieces=GROUP_PIECES), "packed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", text).alias("_row"), text.alias("text"))
     if not packed.groupBy("doc_id", "row", "piece").count().where("count > 1").isEmpty():
@@ -157,6 +158,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     part = F.expr(f"substring(text, piece * {CAPACITY} + 1, size)")
     parts = packed.join(texts, F.expr("doc_id <=> _id AND row = _row")).select("grp", "bin", F.struct("bin_offset", "doc_id", part.alias("part")).alias("p"), "size", F.struct("pos", "piece").alias("at"))
     # dealt by range of groups: bins are whole in a task, and tasks are in order
-    parts = parts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp")
-    bins = parts.groupBy("grp", "bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("size").alias("used"), F.count("*").alias("n_pieces"), F.min("at").alias("at"))  # CAPACITY code points at most
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.withColumn("task", F.expr(f"int(grp * {tasks} div {total // GROUP_PIECES + 1})")).repartitionById(tasks, "task")
+    bins = parts.groupBy("task", "grp", "bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("size").alias("used"), F.count("*").alias("n_pieces"), F.min("at").alias("at"))  # CAPACITY code points at most
     return bins.sortWithinPartitions("grp", "at", "bin").select("bin", "n_pieces", "used", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.part", "").alias("text"), F.col("at.pos").alias("place"))
