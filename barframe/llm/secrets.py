@@ -6,7 +6,9 @@ takes the blobs for which the ledger lacks some rule version, reads one copy of
 each, appends, and joins the findings back to all paths.
 
 Positions come from the pieces between matches: piece and match lengths in code
-points, summed in order.
+points, summed in order, within runs of about the square root of their number and then
+over runs, so that a text of very many matches takes little more than its length. A
+finding keeps its rule's key: other rules in other places don't change its meaning.
 
 Defined results: null text counts as empty; equal texts share one ledger entry;
 repeated rows stay; an empty table gives an empty result; other columns are ignored.
@@ -46,29 +48,42 @@ RULES = (
     Rule("hex", "1", r"([0-9a-f]{16,})", 1, "true"),
 )
 
-FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
+FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rule", T.StringType()), T.StructField("end", T.IntegerType())]))
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("findings", FINDINGS)])
 
 
-def _matches(rule: Rule, number: int) -> Column:
+def _running(values: str) -> str:
+    """SQL: the sums of the values before each, of an array that is named once."""
+    sums = "(s, x) -> named_struct('at', s.at + x, 'out', array_append(s.out, s.at))"
+    begin = "named_struct('at', 0, 'out', cast(array() AS array<int>))"
+    add = "aggregate({}, 0, (s, x) -> s + x)"
+    # each step of a run copies the run, so runs are short
+    runs = f"transform(sequence(0, int((size(v) - 1) div n)), r -> slice(v, r * n + 1, n))"
+    heads = f"aggregate(transform(runs, r -> {add.format('r')}), {begin}, {sums}, s -> s.out)"
+    within = f"flatten(zip_with(runs, heads, (r, h) -> aggregate(r, named_struct('at', h, 'out', cast(array() AS array<int>)), {sums}, s -> s.out)))"
+    bound = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    return bound("v", values, bound("n", "int(greatest(1, sqrt(size(v))))", bound("runs", runs, bound("heads", heads, within))))
+
+
+def _matches(rule: Rule) -> Column:
     """Kept matches of a rule in ``text``, as FINDINGS."""
     pattern = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
     whole, groups, pieces = f"regexp_extract_all(text, '{pattern}', 0)", f"regexp_extract_all(text, '{pattern}', {rule.group})", f"split(text, '{pattern}', -1)"
-    lengths = f"zip_with({pieces}, {whole}, (p, m) -> named_struct('gap', length(p), 'm', m))"
-    # a running sum: of each match, where it starts
-    walk = (
-        f"aggregate(arrays_zip({lengths}, {groups}), named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, kind: int, end: int>>)), "
-        "(s, x) -> IF(x.`0`.m IS NULL, s, named_struct('at', s.at + x.`0`.gap + length(x.`0`.m), "
-        f"'out', IF({rule.keep.replace('(g)', '(x.`1`)').replace('(m)', '(x.`0`.m)')}, array_append(s.out, named_struct('start', s.at + x.`0`.gap, 'kind', {number}, 'end', s.at + x.`0`.gap + length(x.`0`.m))), s.out))), s -> s.out)"
-    )
-    return F.expr(f"IF(rlike(text, '{pattern}'), {walk}, cast(array() AS array<struct<start: int, kind: int, end: int>>))")
+    # gap, match, gap, match, ...: there is one gap more
+    lengths = f"flatten(zip_with({pieces}, {whole}, (p, m) -> array(length(p), coalesce(length(m), 0))))"
+    # m: the match; g: its group; where it starts stands at every second place
+    starts = f"filter({_running(lengths)}, (x, i) -> i % 2 = 1)"
+    rows = f"zip_with(zip_with({whole}, {groups}, (m, g) -> named_struct('m', m, 'g', g)), {starts}, (x, at) -> named_struct('m', x.m, 'g', x.g, 'at', at))"
+    keep = rule.keep.replace("(g)", "(x.g)").replace("(m)", "(x.m)")
+    found = f"transform(filter({rows}, x -> x.m IS NOT NULL AND ({keep})), x -> named_struct('start', x.at, 'rule', '{rule.key}', 'end', x.at + length(x.m)))"
+    return F.when(F.expr(f"rlike(text, '{pattern}')"), F.expr(found)).otherwise(F.array().cast(FINDINGS))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, rules, findings for each row of ``blobs`` (blob, text, due: keys of the rules to run)."""
-    none = F.expr("cast(array() AS array<struct<start: int, kind: int, end: int>>)")
-    parts = [F.when(F.array_contains("due", r.key), _matches(r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return blobs.select("blob", F.col("due").alias("rules"), F.array_sort(F.concat(*parts)).alias("findings"))
+    none = F.array().cast(FINDINGS)
+    parts = [F.when(F.array_contains("due", r.key), _matches(r)).otherwise(none) for r in rules]
+    return blobs.select("blob", F.col("due").alias("rules"), F.concat(*parts).alias("findings"))
 
 
 class Ledger:
@@ -89,7 +104,7 @@ class Ledger:
 def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path, findings of each row of ``versions`` (path, text), after bringing the ledger up to date.
 
-    Findings are those of ``rules`` in their present versions, sorted by start.
+    Findings are those of ``rules`` in their present versions, sorted by start, then in the order of the rules.
     """
     keys = F.array(*(F.lit(r.key) for r in rules))
     spark = versions.sparkSession
@@ -101,23 +116,23 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -
     # one copy of each blob; repeated rows of the same path are dropped after the scan
     copies = named.withColumnRenamed("path", "_path").withColumnRenamed("blob", "_blob").join(due.hint("shuffle_hash"), F.expr("_path <=> path AND _blob = blob")).select("blob", "text", "due")
     ledger.append(scan_blobs(copies, rules).dropDuplicates(["blob"]))
-    # an old version's findings may stand beside the new one's; a kind's number is its rule's place in the list
-    present = F.filter("findings", lambda f: F.array_contains("rules", F.element_at(keys, f["kind"] + 1)))
-    known = ledger.rows().select("blob", F.explode(present).alias("f"))
+    # an old version's findings may stand beside the new one's
+    known = ledger.rows().select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
+    known = known.select("blob", F.struct("f.start", F.array_position(keys, F.col("f.rule")).cast("int").alias("place"), "f.rule", "f.end").alias("f"))
     # written, so that the join below is one of plain shuffles and a blob of very many paths can be split
-    found = storage.materialize(spark, known.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings")), "findings")
+    ordered = F.transform(F.array_sort(F.collect_set("f")), lambda f: F.struct(f["start"].alias("start"), f["rule"].alias("rule"), f["end"].alias("end")))
+    found = storage.materialize(spark, known.groupBy("blob").agg(ordered.alias("findings")), "findings")
     out = addressed.join(found, "blob", "left")
     return out.select("path", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def _text_of(findings: str) -> str:
-    names = ", ".join(f"'{r.kind}'" for r in RULES)
-    return f"array_join(transform({findings}, s -> concat(array({names})[s.kind], ':', s.start, ':', s.end)), ',')"
+    return f"array_join(transform({findings}, s -> concat(substring_index(s.rule, '@', 1), ':', s.start, ':', s.end)), ',')"
 
 
 def op2_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     got = scan(docs, Ledger(spark, storage.new_folder(spark, "secret-ledger")))
-    counts = [F.expr(f"bigint(size(filter(findings, s -> s.kind = {i})))").alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
+    counts = [F.expr(f"bigint(size(filter(findings, s -> s.rule = '{r.key}')))").alias(f"n_{r.kind}") for r in RULES]
     spans = F.expr(_text_of("findings"))
     return got.select(F.col("path").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))

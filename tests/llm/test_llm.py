@@ -132,20 +132,31 @@ def test_secrets_equal_regex_and_ledger_is_incremental(spark, odd, none, tmp_pat
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(300)] + ODD
     df = docs(spark, texts).selectExpr("doc_id AS path", "text")
     ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
-    first = {r.path: [tuple(f) for f in r.findings] for r in secrets.scan(df, ledger).collect()}
+    place = {r.kind: i for i, r in enumerate(secrets.RULES)}
+    plain = lambda found: [(f.start, place[f.rule.split("@")[0]], f.end) for f in found]
+    first = {r.path: plain(r.findings) for r in secrets.scan(df, ledger).collect()}
     assert first == {i: secrets_brute(t or "") for i, t in enumerate(texts)}
     scanned = ledger.rows().count()
     assert scanned == len({t or "" for t in texts})
-    again = {r.path: [tuple(f) for f in r.findings] for r in secrets.scan(df.union(spark.createDataFrame([(1000, "token = fresh_new_token_1")], df.schema)), ledger).collect()}
+    again = {r.path: plain(r.findings) for r in secrets.scan(df.union(spark.createDataFrame([(1000, "token = fresh_new_token_1")], df.schema)), ledger).collect()}
     assert ledger.rows().count() == scanned + 1 and {k: v for k, v in again.items() if k != 1000} == first and again[1000] == [(0, 0, 25)]
     newer = (secrets.Rule("assign", "2", secrets.RULES[0].pattern, 1, "length(g) >= 30"), *secrets.RULES[1:])
-    third = {r.path: [tuple(f) for f in r.findings] for r in secrets.scan(df, ledger, newer).collect()}
+    turned = {r.path: plain(r.findings) for r in secrets.scan(df, ledger, secrets.RULES[::-1]).collect()}
+    assert {k: sorted(v) for k, v in turned.items()} == first and ledger.rows().count() == scanned + 1
+    third = {r.path: plain(r.findings) for r in secrets.scan(df, ledger, newer).collect()}
     assert all(f[1] or f[2] - f[0] >= 30 for v in third.values() for f in v)
     assert {k: [f for f in v if f[1]] for k, v in third.items()} == {k: [f for f in v if f[1]] for k, v in first.items()}
     assert secrets.scan(odd.selectExpr("doc_id AS path", "text"), secrets.Ledger(spark, f"file://{tmp_path}/odd")).count() == odd.count()
     assert secrets.scan(none.selectExpr("doc_id AS path", "text"), secrets.Ledger(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_many_secrets_in_one_text(spark, tmp_path):
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    begun = time.perf_counter()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "path long, text string"), secrets.Ledger(spark, f"file://{tmp_path}/many")).collect()[0].findings
+    assert [(f.start, f.end) for f in got] == [(17 * i, 17 * i + 16) for i in range(100_000)] and time.perf_counter() - begun < 60
+
+
 # ---- op3 -----------------------------------------------------------------------------------
 
 
