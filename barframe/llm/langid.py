@@ -1,33 +1,34 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts become lower-cased letters with single spaces between runs of them. For each
-language the counts of ``ORDER``-grams over its training documents give, by
-continuation counts, an interpolated Kneser-Ney model. All languages share one
-sorted array of n-gram hashes for each order; beside it stand the log-probabilities
-of every language, so a position costs one binary search at the full order and more
-only where that gram is unknown. A text gets the language of the least
-cross-entropy, a letter or space on average. A score below ``accept``, which is
-calibrated on training documents, marks the row as rejected.
-
-The classifier is fitted on a bounded sample of labelled rows: ``docs_per_lang``
+Texts become lower-cased letters with single spaces between runs of them, after
+``ORDER - 1`` start symbols. For each language the counts of ``ORDER``-grams over its
+training documents give, by continuation counts, an interpolated Kneser-Ney model: for each
+order a sorted array of gram hashes with their log-probabilities, and one of context
+hashes with their back-off weights. A batch looks up each of its different grams once in
+each language. A text gets the language of the least cross-entropy, a letter or space on
+average. A score below ``accept``, which is calibrated on training documents that the
+models were not fitted on, marks the row as rejected.
+
+The models are fitted on a bounded sample of labelled rows: ``docs_per_lang``
 documents of each language in expectation, chosen by a hash of the identifier,
-halved until the highest order has at most ``max_grams`` n-grams; all labelled
-documents take part in the counts that set the rate. Everything else reads all rows.
+halved until there are at most ``max_grams`` n-grams of the highest order in all; all labelled
+documents take part in the counts that set the rate. Everything else reads all rows; where
+the sample is all there is, ``accept`` is taken on it.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; with no
-training rows every row is; repeated rows have equal results; an empty table gives
-an empty result; other columns are ignored.
+training rows every row is; a null doc_id is not held out, so its row is a training row;
+repeated rows have equal results; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
@@ -48,7 +49,7 @@ def _letter_table() -> np.ndarray:
 
 
 def symbols(text: str) -> np.ndarray:
-    """Code points of the letters, with one space (32) before, between and after runs of them; empty without a letter."""
+    """START, then code points of the letters with one space (32) between and after runs of them; empty without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _letter_table()[codes]
     if not letter.any():
@@ -57,7 +58,7 @@ def symbols(text: str) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     out = codes[keep]
-    return np.concatenate([[32], out, [32][: int(out[-1] != 32)]]).astype(np.uint32)
+    return np.concatenate([START, out, [32][: int(out[-1] != 32)]]).astype(np.uint32)
 
 
 def grams(s: np.ndarray, n: int) -> np.ndarray:
@@ -85,48 +86,92 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, str]]:
             at = end
 
 
+START = np.full(ORDER - 1, 2, np.uint32)
+
+
 @dataclass
-class Model:
-    langs: list[str]
-    #: By order 1..ORDER: sorted hashes; log-probability of each gram in each language.
+class Language:
+    """By order 1..ORDER: sorted gram hashes and their log-probabilities; by order 2..ORDER (first is empty): sorted context hashes and their log back-off weights."""
+
     keys: list[np.ndarray]
     logp: list[np.ndarray]
-    #: By order 1..ORDER - 1: log back-off weight of a context that is a gram of this order.
+    contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    unknown: np.ndarray
-    accept: float = 0.0
+    unknown: float
 
-    def _find(self, hashes: np.ndarray, start: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(known, place) of the grams that begin at ``start``; before the text's start nothing is known."""
-        keys = self.keys[order - 1]
-        if not len(hashes) or not len(keys):
-            return np.zeros(len(start), bool), np.zeros(len(start), np.int64)
-        h = hashes[np.maximum(start, 0)]
+    @classmethod
+    def fit(cls, codes: np.ndarray, counts: np.ndarray) -> Language:
+        """The model of distinct ORDER-grams (rows of code points) and their counts."""
+        tables = []
+        # highest order: counts; below: the number of different symbols before (continuation counts)
+        for order in range(ORDER, 0, -1):
+            key, first, inverse = np.unique(grams_of(codes), return_index=True, return_inverse=True)
+            table = np.bincount(inverse, counts, len(key))
+            codes = codes[first]
+            tables.append((key, codes, table))
+            counts, codes = np.ones(len(codes)), codes[:, 1:]
+        out = cls([], [], [], [], 0.0)
+        under_keys, under = np.zeros(0, _U), np.zeros(0)
+        for key, sym, table in reversed(tables):
+            ones, twos = int((table == 1).sum()), int((table == 2).sum())
+            discount = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+            # of an only symbol the context is empty, and one hash
+            context, at = np.unique(grams_of(sym[:, :-1]), return_inverse=True)
+            total, kinds = np.bincount(at, table, len(context)), np.bincount(at, minlength=len(context))
+            rest = discount * kinds / total
+            if sym.shape[1] == 1:
+                lower = np.full(len(key), 1.0 / 65536)
+                out.unknown = float(np.log(rest[0] / 65536))
+                context, rest = np.zeros(0, _U), np.zeros(0)
+                p = (table - discount) / total[0] + discount * kinds[0] / total[0] * lower
+            else:
+                lower = under[np.searchsorted(under_keys, grams_of(sym[:, 1:]))]
+                p = (table - discount) / total[at] + rest[at] * lower
+            out.keys.append(key)
+            out.logp.append(np.log(p).astype(np.float32))
+            out.contexts.append(context)
+            out.backoff.append(np.log(rest).astype(np.float32))
+            under_keys, under = key, p
+        return out
+
+    @staticmethod
+    def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, place) of hashes in sorted ``keys``."""
+        if not len(keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         at = np.searchsorted(keys, h)
         at[at == len(keys)] = 0
-        return (keys[at] == h) & (start >= 0), at
+        return keys[at] == h, at
 
-    def costs(self, s: np.ndarray) -> np.ndarray:
-        """(positions, languages) log-probabilities of s[1:], each in the context of up to ORDER - 1 symbols."""
-        n = len(s) - 1
-        out = np.empty((n, len(self.langs)), np.float32)
-        weight = np.zeros((n, len(self.langs)), np.float32)
-        todo = np.arange(n)  # symbol s[i + 1]
+    def costs(self, grams_by_order: list[np.ndarray], contexts_by_order: list[np.ndarray]) -> np.ndarray:
+        """Negative log-probability of the last symbol of each ORDER-gram, given hashes of its ends and of their contexts."""
+        n = len(grams_by_order[-1])
+        out, weight, todo = np.empty(n), np.zeros(n), np.arange(n)
         for order in range(ORDER, 0, -1):
-            if not len(todo):
-                return out
-            hit, at = self._find(grams(s, order), todo + 2 - order, order)
-            if len(hit) and hit.all():
-                out[todo] = self.logp[order - 1][at] + weight[todo]
-            else:
-                out[todo[hit]] = self.logp[order - 1][at[hit]] + weight[todo[hit]]
+            hit, at = self._find(self.keys[order - 1], grams_by_order[order - 1][todo])
+            out[todo[hit]] = self.logp[order - 1][at[hit]] + weight[todo[hit]]
             todo = todo[~hit]
-            if order > 1 and len(todo):
+            if order > 1:
                 # the context that this order used, if it is known, passes its weight on
-                hit, at = self._find(grams(s, order - 1), todo + 2 - order, order - 1)
-                weight[todo[hit]] += self.backoff[order - 2][at[hit]]
+                hit, at = self._find(self.contexts[order - 1], contexts_by_order[order - 1][todo])
+                weight[todo[hit]] += self.backoff[order - 1][at[hit]]
         out[todo] = self.unknown + weight[todo]
-        return out
+        return -out
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    models: list[Language]
+    accept: float = 0.0
+
+    def costs(self, s: np.ndarray) -> np.ndarray:
+        """(positions, languages) costs of the symbols of s after the first ORDER - 1, each in the context of those before it."""
+        whole, first, inverse = np.unique(grams(s, ORDER), return_index=True, return_inverse=True)
+        codes = s[first[:, None] + np.arange(ORDER)]
+        ends = [grams_of(codes[:, ORDER - n :]) for n in range(1, ORDER)] + [whole]
+        contexts = [grams_of(codes[:, ORDER - n : -1]) for n in range(1, ORDER + 1)]
+        return np.stack([m.costs(ends, contexts)[inverse] for m in self.models], 1)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(total cost in nats of each row in each language, symbols of each row)"""
@@ -137,15 +182,14 @@ class Model:
         def flush():
             nonlocal group, size
             if group:
-                joined = np.concatenate([x for _, x in group])
-                cuts = np.cumsum([0, *(len(x) for _, x in group)])
-                cost = -self.costs(joined)
-                # position i scores symbol i + 1: a row's first symbol is a space in the last row's context, and is left out
-                cost[cuts[1:-1] - 1] = 0
-                sums = np.add.reduceat(cost, cuts[:-1], axis=0, dtype=np.float64)
-                for (r, x), c in zip(group, sums, strict=True):
+                cost = self.costs(np.concatenate([x for _, x in group]))
+                cuts = np.cumsum([0, *(len(x) for _, x in group)])[:-1]
+                # grams that reach into the next part's start symbols are of no part
+                for i in range(1, ORDER):
+                    cost[(cuts[1:] - i)] = 0
+                for (r, x), c in zip(group, np.add.reduceat(cost, cuts, axis=0), strict=True):
                     total[r] += c
-                    count[r] += len(x) - 1
+                    count[r] += len(x) - ORDER + 1
             group, size = [], 0
 
         for r, t in _pieces(texts):
@@ -160,9 +204,9 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: 1 - exp(-margin) with the margin in nats a symbol, times 20; ``und`` scores 0."""
-        total, count = self.entropies(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
+        total, count = self.entropies(texts)
         mean = total / np.maximum(count, 1)[:, None]
         best = mean.argmin(1)
         two = np.partition(mean, 1, axis=1)[:, :2] if len(self.langs) > 1 else np.column_stack([mean[:, 0], mean[:, 0] + 1])
@@ -170,54 +214,6 @@ class Model:
         return [self.langs[b] if c else "und" for b, c in zip(best, count, strict=True)], score
 
 
-def _tables(langs: list[str], rows: list[tuple[int, bytes, int]]) -> Model:
-    """The model of (language, ORDER-gram as UTF-32, count) rows."""
-    codes = np.frombuffer(b"".join(g for _, g, _ in rows), np.uint32).reshape(-1, ORDER)
-    lang = np.array([x for x, _, _ in rows], np.int64)
-    counts = np.array([c for _, _, c in rows], np.float64)
-    size = len(langs)
-    keys, dense, symbols_of = [None] * ORDER, [None] * ORDER, [None] * ORDER
-    # highest order: counts; below: the number of different symbols before (continuation counts)
-    for order in range(ORDER, 0, -1):
-        h = grams_of(codes)
-        key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        table = np.zeros((len(key), size))
-        np.add.at(table, (inverse, lang), counts)
-        keys[order - 1], dense[order - 1], symbols_of[order - 1] = key, table, codes[first]
-        if order > 1:
-            pairs = np.unique(inverse * size + lang)
-            codes, lang = codes[first][pairs // size][:, 1:], pairs % size
-            counts = np.ones(len(pairs))
-    logp, backoff = [], []
-    base = np.full((1, size), 1.0 / 65536)
-    lower = None
-    for order in range(1, ORDER + 1):
-        table, sym = dense[order - 1], symbols_of[order - 1]
-        ones, twos = (table == 1).sum(0), (table == 2).sum(0)
-        discount = np.where(ones > 0, np.maximum(ones, 1) / np.maximum(ones + 2 * twos, 1), 0.5).clip(0.05, 0.95)
-        if order == 1:
-            total, kinds = table.sum(0, keepdims=True), (table > 0).sum(0, keepdims=True)
-            spread, under = np.zeros(len(table), np.int64), np.broadcast_to(base, table.shape)
-        else:
-            context = grams_of(sym[:, :-1])
-            names = keys[order - 2]
-            spread = np.searchsorted(names, context)
-            spread = np.where(names[np.minimum(spread, len(names) - 1)] == context, spread, len(names))
-            total, kinds = np.zeros((len(names) + 1, size)), np.zeros((len(names) + 1, size))
-            np.add.at(total, spread, table)
-            np.add.at(kinds, spread, table > 0)
-            under = lower[np.searchsorted(keys[order - 2], grams_of(sym[:, 1:]))]
-        rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        p = np.where(total[spread] > 0, np.maximum(table - discount, 0) / np.maximum(total[spread], 1), 0.0) + rest[spread] * under
-        logp.append(np.log(p).astype(np.float32))
-        if order == 1:
-            unknown = np.log(rest[0] * base[0]).astype(np.float32)
-        else:
-            backoff.append(np.log(np.maximum(rest[:-1], 1e-12)).astype(np.float32))
-        lower = p
-    return Model(langs, keys, logp, backoff, unknown)
-
-
 def grams_of(codes: np.ndarray) -> np.ndarray:
     """Hash of each row of symbols, as ``grams`` hashes a run."""
     h = np.zeros(len(codes), _U)
@@ -232,36 +228,40 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(0).to_pylist()
         for r, t in _pieces(batch.column(1).to_pylist()):
             s = symbols(t)
-            if len(s) < ORDER:
+            if not len(s):
                 continue
             key, first, counts = np.unique(grams(s, ORDER), return_index=True, return_counts=True)
             found = np.lib.stride_tricks.sliding_window_view(s, ORDER)[first]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), langs[r], np.int32)), pa.array([g.tobytes() for g in found], pa.binary()), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
-    """Fit on ``docs`` (doc_id, text, lang; only training rows)."""
+_LUCK = "pmod(xxhash64(doc_id), 1000003) / 1000003D"
+
+
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> tuple[Model, Column]:
+    """(model fitted on ``docs`` (doc_id, text, lang; only training rows), whether a row of ``docs`` was in its sample)."""
     spark = docs.sparkSession
     known = docs.where("lang IS NOT NULL")
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return Model([], [np.zeros(0, _U)] * ORDER, [np.zeros((0, 0))] * ORDER, [np.zeros((0, 0))] * (ORDER - 1), np.zeros(0))
-    luck = F.expr("pmod(xxhash64(doc_id), 1000003) / 1000003D")
+        return Model([], []), F.lit(False)
     number = F.create_map(*(x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))))[F.col("lang")]
     rate = docs_per_lang
     while True:
         share = F.create_map(*(x for name in langs for x in (F.lit(name), F.lit(min(1.0, rate / sizes[name])))))[F.col("lang")]
-        sample = known.where(luck < share)
-        counted = storage.materialize(spark, sample.select(number.alias("lang"), F.col("text").cast("string")).mapInArrow(_count_grams, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        sampled = F.coalesce(F.expr(_LUCK) < share, F.lit(False))
+        texts = known.where(sampled).select(number.alias("lang"), F.col("text").cast("string"))
+        counted = storage.materialize(spark, texts.mapInArrow(_count_grams, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
         if counted.count() <= max_grams or rate < 1:
             break
         rate /= 2
-    model = _tables(langs, [(r[0], bytes(r[1]), r[2]) for r in counted.toLocalIterator()])  # max_grams rows at most
-    # reject what scores lower than all but one in a thousand of the sample's rightly named texts
-    scored = _predict(sample.select("doc_id", "text", "lang"), model).where("lang_pred = lang").select(F.expr("percentile_approx(score, 0.001, 1000)")).first()
-    model.accept = float(scored[0] or 0.0)
-    return model
+    rows = counted.toArrow().combine_chunks()  # max_grams rows at most
+    storage.discard(counted)
+    codes = np.frombuffer(b"".join(rows["gram"].to_pylist()), np.uint32).reshape(-1, ORDER)
+    lang, n = rows["lang"].to_numpy(), rows["n"].to_numpy().astype(float)
+    seen = [i for i in range(len(langs)) if (lang == i).any()]  # a language whose texts hold no letter has no model
+    return Model([langs[i] for i in seen], [Language.fit(codes[lang == i], n[lang == i]) for i in seen]), sampled
 
 
 def _predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -278,9 +278,21 @@ def _predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string", "score double"]))
 
 
+def identify(docs: DataFrame, training: Column, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """doc_id, training, lang_pred, score, rejected for each row of ``docs`` (doc_id, text, lang); ``training``: the rows to learn from."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "lang", training.alias("training"))
+    model, sampled = train(rows.where("training"), docs_per_lang, max_grams)
+    # what is told apart by lang here only sets the threshold
+    marked = rows.select("doc_id", "training", F.when(F.col("training"), F.col("lang")).alias("truth"), (F.col("training") & sampled).alias("sampled"), "text")
+    out = storage.materialize(docs.sparkSession, _predict(marked, model).withColumn("score", F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)), 9)), "languages")
+    # reject what scores lower than all but one in a thousand of the rightly named texts that the models don't know
+    low = [F.percentile_approx(F.when(c, F.col("score")), 0.001, 1000) for c in (~F.col("sampled"), F.col("sampled"))]
+    fresh, fitted = out.where("training AND lang_pred = truth").agg(*low).first()
+    accept = fresh if fresh is not None else fitted if fitted is not None else 0.0
+    return out.select("doc_id", "training", "lang_pred", "score", (F.col("score") < accept).alias("rejected"))
+
+
 def op9_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = storage.read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "lang")
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    model = train(docs.where(~held))
-    out = _predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
-    return out.withColumn("score", F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)), 9)).withColumn("rejected", F.col("score") < math.floor(model.accept * 1e9) / 1e9)
+    return identify(docs, ~held).select("doc_id", (~F.col("training")).alias("held_out"), "lang_pred", "score", "rejected")

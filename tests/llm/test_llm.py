@@ -14,6 +14,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barframe.llm import compaction, langid, mixing, mpegts, neardup, packing, pii, quality, secrets, sstable
 from barframe.llm import textkernel as tk
@@ -462,20 +463,62 @@ def test_verdict_on_all_labelled_rows(spark):
 # ---- op9 -----------------------------------------------------------------------------------
 
 
-def test_language_models_are_distributions_and_tell_languages(spark, none):
-    texts = ["the cat and the dog are in the house with the mouse"] * 8 + ["der hund und die katze sind in dem haus mit der maus"] * 8
-    langs = ["en"] * 8 + ["de"] * 8
-    df = docs(spark, texts, langs)
-    model = langid.train(df)
-    alphabet = sorted({c for t in texts for c in t})
-    for context in (" th", "der", "zzz", "e h"):
-        total = sum(np.exp(model.costs(np.frombuffer((context + c).encode("utf-32-le"), np.uint32))[-1].astype(float)) for c in alphabet)
-        assert (total <= 1.01).all() and (total > 0.5).all()
+def kneser_ney_brute(texts):
+    """log p(symbol | the three before it), by the textbook's recursion over dictionaries."""
+    pad = "\x02" * 3
+    four = Counter(t[i : i + 4] for t in (pad + x for x in texts) for i in range(len(t) - 3))
+    counts = {4: four}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+
+    def p(context, w):
+        n = len(context) + 1
+        total = sum(v for g, v in counts[n].items() if g[:-1] == context)
+        lower = p(context[1:], w) if context else 1 / 65536
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == context for g in counts[n])
+        return max(counts[n][context + w] - discount[n], 0) / total + discount[n] * kinds / total * lower
+
+    return lambda context, w: math.log(p(context, w))
+
+
+def test_language_models_equal_textbook_kneser_ney(spark, none):
+    texts = ["the cat and the dog are in the house with the mouse"] * 2 + ["a cat sat", "der hund und die katze sind in dem haus mit der maus"]
+    langs = ["en"] * 3 + ["de"]
+    model, _ = langid.train(docs(spark, texts, langs))
+    assert model.langs == ["de", "en"]
+    for which, m in zip([texts[3:], texts[:3]], model.models):
+        brute = kneser_ney_brute([t + " " for t in which])
+        for text in ("the dog sat in dem haus ", "zzz der ", "x", "mouse"):
+            padded = "\x02" * 3 + text
+            s = np.frombuffer(padded.encode("utf-32-le"), np.uint32)
+            got = langid.Model(["?"], [m]).costs(s)[:, 0]
+            want = [-brute(padded[i : i + 3], padded[i + 3]) for i in range(len(text))]
+            assert np.allclose(got, want, rtol=1e-4)
     names, scores = model.predict(["the house and the cat", "das haus und die katze", None, "12 !?", "", "x" * 10])
     assert names[:2] == ["en", "de"] and names[2:5] == ["und"] * 3 and names[5] in ("en", "de") and (scores[2:5] == 0).all() and ((scores >= 0) & (scores <= 1)).all()
-    assert langid.train(none).predict(["abc"])[0] == ["und"]
+    assert langid.train(none)[0].predict(["abc"])[0] == ["und"]
     long = "the cat and the house " * 60_000
     assert model.predict([long])[0] == ["en"]
+    many = ["the cat", None, "die maus", "", "1", "hund und katze in dem haus", "the mouse"]
+    alone = [model.predict([t]) for t in many]
+    together = model.predict(many)
+    assert together[0] == [n[0] for n, _ in alone] and np.allclose(together[1], [x[0] for _, x in alone])
+
+
+def test_language_rejection_is_set_on_unseen_training_rows(spark, odd, none):
+    rng = random.Random(3)
+    words = {"en": "the cat and dog are in house with mouse".split(), "de": "der hund und die katze sind dem haus mit".split()}
+    texts = [" ".join(rng.choice(words["en" if i % 2 else "de"]) for _ in range(12)) for i in range(300)] + ["xq vzk jjw qqp"]
+    df = docs(spark, texts, ["en" if i % 2 else "de" for i in range(300)] + [None])
+    rows = {r.doc_id: r for r in langid.identify(df, F.lit(True), docs_per_lang=40).collect()}
+    assert rows[300].rejected and sum(r.rejected for r in rows.values()) <= 2
+    assert langid.identify(odd, F.col("doc_id").isNull()).count() == odd.count() and langid.identify(none, F.lit(True)).count() == 0
 
 
 @have_data
