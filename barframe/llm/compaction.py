@@ -5,8 +5,10 @@ power of ``FANOUT`` of its bytes; as soon as ``FANOUT`` runs share a tier, they
 merged into one run of files of about ``TARGET_BYTES``. The live files of a version
 stand in one manifest, ``_manifests/<version>.json``, which is written aside and
 renamed to a name that must not exist: readers see whole versions only, and of two
-writers one fails and starts over from the new version. Files that no kept version
-names are deleted.
+writers one fails and starts over from the new version. That takes a file system whose
+rename is atomic and refuses an existing name, as HDFS and local ones do; on a plain
+object store let one writer commit at a time. Files that no kept version names are
+deleted; the last ``KEEP_VERSIONS`` stay, for readers that began before a commit.
 
 Merging copies bytes from many files to few without a shuffle: Spark packs the small
 files into input splits of the target size, and each split becomes one file.
@@ -20,15 +22,16 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import storage
 
-FANOUT, TARGET_BYTES, ARRIVALS, KEEP_VERSIONS = 4, 64 << 20, 16, 1
+FANOUT, TARGET_BYTES, ARRIVALS, KEEP_VERSIONS = 4, 64 << 20, 16, 2
 
 
 class Conflict(RuntimeError):
@@ -52,6 +55,10 @@ class ShardStore:
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/_manifests"))
+        # merges split their input by file sizes alone, in a session of their own
+        self._merging = spark.newSession()
+        for key, value in {"maxPartitionBytes": str(target_bytes), "openCostInBytes": "0", "minPartitionNum": "1"}.items():
+            self._merging.conf.set(f"spark.sql.files.{key}", value)
 
     def versions(self) -> list[int]:
         return sorted(int(f.getPath().getName()[:-5]) for f in self._fs.listStatus(self._path(f"{self.root}/_manifests")) if f.getPath().getName().endswith(".json"))
@@ -94,22 +101,42 @@ class ShardStore:
         _, schema, runs = self.manifest(version)
         return self._of(schema, runs)
 
-    def _of(self, schema: T.StructType, runs: list[Run]) -> DataFrame:
+    def _of(self, schema: T.StructType, runs: list[Run], spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
         files = [f"{self.root}/{r.name}/{f}" for r in runs for f in r.files]
-        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
     def append(self, df: DataFrame) -> int:
         """Add one arrival as a run of its own."""
-        run = self._write(df)
+        return self._add(self._write(df), df.schema)
+
+    def _add(self, run: Run, arrived: T.StructType) -> int:
         while True:
             version, schema, runs = self.manifest()
-            if schema is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in df.schema]:
+            if schema is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in arrived]:
                 raise ValueError("an arrival's schema differs from the store's")
             try:
-                return self.commit(version, df.schema, [*runs, *([run] if run.files else [])])
+                return self.commit(version, arrived, [*runs, *([run] if run.files else [])])
             except Conflict:
                 continue
 
+    def append_each(self, df: DataFrame, number: Column, n: int) -> Iterator[int]:
+        """Add the rows of arrival 0, 1, ... n - 1 (``number``, an int) one after the other: versions. ``df`` is read once and not shuffled."""
+        name = "arrival"
+        while name in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        folder = f"_arrivals-{uuid.uuid4().hex}"
+        df.withColumn(name, number).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        for k in range(n):
+            run = f"run-{uuid.uuid4().hex}"
+            arrived = self._path(f"{self.root}/{folder}/{name}={k}")
+            if self._fs.exists(arrived):
+                self._fs.rename(arrived, self._path(f"{self.root}/{run}"))
+                yield self._add(self._listed(run), df.schema)
+            else:
+                yield self._add(Run(run, 0, 0, ()), df.schema)
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
     def compact(self) -> int:
         """Merge the lowest tier that has ``fanout`` runs or more, until there is none; returns the version."""
         while True:
@@ -120,15 +147,7 @@ class ShardStore:
             self._merge(version, schema, runs, [r for r in runs if r.tier == full[0]])
 
     def _merge(self, version: int, schema: T.StructType, runs: list[Run], group: list[Run]) -> None:
-        split = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        before = {k: self.spark.conf.get(k, None) for k in split}
-        try:
-            for k, v in split.items():
-                self.spark.conf.set(k, v)
-            merged = self._write(self._of(schema, group))
-        finally:
-            for k, v in before.items():
-                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
+        merged = self._write(self._of(schema, group, self._merging))
         merged = Run(merged.name, max(merged.tier, group[0].tier + 1), merged.bytes, merged.files)
         try:
             self.commit(version, schema, [*(r for r in runs if r not in group), merged])
@@ -151,14 +170,10 @@ def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents arrive in ARRIVALS ranges of doc_id and are compacted after each; the last version is read back with the file of each row."""
     docs = storage.read_table(spark, sf_dir, "documents")
     store = ShardStore(spark, storage.new_folder(spark, "shards"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 10_000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        arrival = [f"doc_id > {low}"] if low is not None else []
-        arrival += [f"doc_id <= {high}"] if high is not None else []
-        # without a bound below, rows without an identifier come too
-        where = " AND ".join(arrival) or "true"
-        store.append(docs.where(where if low is not None else f"doc_id IS NULL OR {where}"))
+    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 10_000)).first()[0] or []))
+    # rows without an identifier come first
+    number = sum((F.coalesce(F.col("doc_id") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for _ in store.append_each(docs, number, len(cuts) + 1):
         store.compact()
         store.clean()
     version, _, runs = store.manifest()

@@ -387,7 +387,7 @@ def test_compaction_round_trip_versions_and_conflict(spark, odd, none, tmp_path)
     assert store.read(1).count() == odd.count()  # an old version is whole until it is cleaned away
     with pytest.raises(compaction.Conflict):
         store.commit(version - 1, schema, runs)
-    store.clean()
+    store.clean(1)
     assert store.versions() == [version] and store.read().exceptAll(odd.unionAll(odd)).count() == n - 2 * odd.count()
     store.append(none)
     assert store.read().count() == n
@@ -395,6 +395,24 @@ def test_compaction_round_trip_versions_and_conflict(spark, odd, none, tmp_path)
         store.append(odd.drop("extra"))
 
 
+@have_data
+def test_shards_hold_every_document(spark):
+    want = {r.doc_id: (len(r.text or ""), hashlib.md5((r.text or "").encode()).hexdigest()) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = compaction.op7_size_tiered_shards(spark, DATA).collect()
+    assert {r.doc_id: (r.chars, r.text_md5) for r in rows} == want and len(rows) == len(want)
+    runs = {r.run: (r.tier, r.run_files) for r in rows}
+    assert max(Counter(t for t, _ in runs.values()).values()) < compaction.FANOUT
+    assert all(len({r.file for r in rows if r.run == run}) == n for run, (_, n) in runs.items())
+
+
+def test_arrivals_in_one_pass(spark, odd, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/e")
+    df = odd.selectExpr("*", "'mine' AS arrival")
+    versions = list(store.append_each(df, F.coalesce(F.col("doc_id") % 3, F.lit(0)).cast("int"), 5))
+    assert versions == [1, 2, 3, 4, 5] and store.read().exceptAll(df).isEmpty() and df.exceptAll(store.read()).isEmpty()
+    assert store.read(1).count() == odd.where("doc_id IS NULL OR doc_id % 3 = 0").count()
+
+
 # ---- op8 -----------------------------------------------------------------------------------
 
 
