@@ -217,7 +217,9 @@ def op10_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: files by range of slots, rows sorted within."""
-    order = storage.materialize(spark, mix(docs).groupBy("row").agg(F.min("slot").alias("slot"), F.min("place").alias("place")), "mix-order")
+    with storage.scratch() as kept:
+        order = storage.materialize(spark, mix(docs).groupBy("row").agg(F.min("slot").alias("slot"), F.min("place").alias("place")), "mix-order")
+        kept.append(order)
     end = order.agg(F.max("slot")).first()[0]
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))

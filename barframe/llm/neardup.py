@@ -44,7 +44,7 @@ from . import textkernel as tk
 from .bitmap import may_be_in
 from .graph import components
 from .skew import spread_join
-from .storage import discard, materialize, read_table
+from .storage import discard, materialize, read_table, scratch
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 SLOTS = 2 * PERMUTATIONS
@@ -343,13 +343,15 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least doc_id; repeated rows of it become one. All columns stay, whatever their names."""
-    found = near_duplicates(docs)
-    gone = materialize(spark, found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    with scratch() as kept:
+        found = near_duplicates(docs)
+        gone = materialize(spark, found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+        several = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+        twice = materialize(spark, several.select(F.col("doc_id").alias("twice")), "twice")
+        kept += [gone, twice]
     marked = may_be_in(docs, "doc_id", gone)
     # most rows are surely not among those that go, and stay where they are
     kept = marked.where("NOT hit").select("row").union(marked.where("hit").join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row"))
-    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
-    twice = materialize(spark, twice, "twice")
     if twice.isEmpty():
         return kept.select("row.*")
     again = F.col("row.doc_id") == F.col("twice")

@@ -150,7 +150,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     its first document, and bins come in that order.
     """
     placed, total = in_order(spark, docs)
-    packed = storage.materialize(spark, pack(items_of(placed, F.col("pos")), group_pieces=GROUP_PIECES), "packed")
+    with storage.scratch() as kept:
+        packed = storage.materialize(spark, pack(items_of(placed, F.col("pos")), group_pieces=GROUP_PIECES), "packed")
+        kept.append(packed)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", text).alias("_row"), text.alias("text"))
     if not packed.groupBy("doc_id", "row", "piece").count().where("count > 1").isEmpty():

@@ -222,9 +222,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans become one replacement, named by the first.
     """
-    found = personal_data(docs).where("size(spans) + size(learnt) > 0")
-    # by text, not by doc_id: one row a text, whatever repeats
-    spans = found.groupBy("text_key").agg(F.first(F.expr("array_sort(concat(spans, learnt))")).alias("spans"))
+    with storage.scratch() as kept:
+        found = personal_data(docs).where("size(spans) + size(learnt) > 0")
+        # by text, not by doc_id: one row a text, whatever repeats
+        spans = found.groupBy("text_key").agg(F.first(F.expr("array_sort(concat(spans, learnt))")).alias("spans"))
+        spans = storage.materialize(docs.sparkSession, spans, "pii-spans")
+        kept.append(spans)
     rows = docs.select(whole_row(docs).alias("row"), F.sha2("text", 256).alias("key"))
     joined = rows.join(spans, F.col("key") == F.col("text_key"), "left").select("row", "spans")
     kinds = [f"[{k.upper()}]" for k in KINDS]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .storage import materialize, read_table
+from .storage import materialize, read_table, scratch
 
 #: Rates, so that short and long texts compare; the length itself is left to the base rules.
 #: Symbols are seen in several ways, so that a split on them is drawn often; what repeats is one feature, as ordinary prose repeats too.
@@ -280,5 +280,6 @@ def op8_quality_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and the forest keep. Texts are read twice and never shuffled."""
-    _, forest, threshold = verdict(docs, read_table(spark, sf_dir, "labels"))
+    with scratch():
+        _, forest, threshold = verdict(docs, read_table(spark, sf_dir, "labels"))
     return keep_good(docs, forest, threshold)

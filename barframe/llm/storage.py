@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TEST_DIRS: dict[str, str] = {}
+_SCRATCH: ContextVar[list] = ContextVar("scratch")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +47,26 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, codec: str = "zs
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if (made := _SCRATCH.get(None)) is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete the tables that are written inside, but those that the block puts in the list."""
+    kept: list[DataFrame] = []
+    made: list[DataFrame] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield kept
+    finally:
+        _SCRATCH.reset(token)
+        if (outer := _SCRATCH.get(None)) is not None:
+            outer.extend(kept)
+        discard(*(df for df in made if not any(df is k for k in kept)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` made and nothing will read again."""
     for df in tables:
