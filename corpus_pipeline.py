@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barframe.llm import mixing, neardup, packing, pii, quality
-from barframe.llm.storage import materialize, read_table
+from barframe.llm.storage import discard, materialize, read_table, scratch
 
 STAGES = [
     ("quality_rules", quality.quality_stage),
@@ -22,6 +22,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage keeps is written and read again by the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as kept:
+            out = materialize(spark, stage(spark, docs, sf_dir), name)
+            kept.append(out)
+        if k:
+            discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
