@@ -59,6 +59,9 @@ class ShardStore:
         self._merging = spark.newSession()
         for key, value in {"maxPartitionBytes": str(target_bytes), "openCostInBytes": "0", "minPartitionNum": "1"}.items():
             self._merging.conf.set(f"spark.sql.files.{key}", value)
+        # as many open files a task as there are arrivals spare the sort of whole rows
+        self.dealing = spark.newSession()
+        self.dealing.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(ARRIVALS))
 
     def versions(self) -> list[int]:
         return sorted(int(f.getPath().getName()[:-5]) for f in self._fs.listStatus(self._path(f"{self.root}/_manifests")) if f.getPath().getName().endswith(".json"))
@@ -121,7 +124,7 @@ class ShardStore:
                 continue
 
     def append_each(self, df: DataFrame, number: Column, n: int) -> Iterator[int]:
-        """Add the rows of arrival 0, 1, ... n - 1 (``number``, an int) one after the other: versions. ``df`` is read once and not shuffled."""
+        """Add the rows of arrival 0, 1, ... n - 1 (``number``, an int) one after the other: versions. ``df`` is read once and not shuffled; read in the session ``dealing``, it isn't sorted either."""
         name = "arrival"
         while name in {c.lower() for c in df.columns}:
             name = f"_{name}"
@@ -168,8 +171,8 @@ class ShardStore:
 
 def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents arrive in ARRIVALS ranges of doc_id and are compacted after each; the last version is read back with the file of each row."""
-    docs = storage.read_table(spark, sf_dir, "documents")
     store = ShardStore(spark, storage.new_folder(spark, "shards"))
+    docs = storage.read_table(store.dealing, sf_dir, "documents")
     cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / ARRIVALS for i in range(1, ARRIVALS)], 10_000)).first()[0] or []))
     # rows without an identifier come first
     number = sum((F.coalesce(F.col("doc_id") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
