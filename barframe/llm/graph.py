@@ -2,45 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import FAN, HUBS
+from .skew import hubs, in_all_parts, in_part, spread_join
 from .storage import discard, materialize
 
 
-def _parts(counted: DataFrame, key: str, fan: int) -> DataFrame:
-    """(hub, hub_parts) of the keys on more than ``fan`` rows; at most HUBS rows, as ``fan`` is a HUBS-th of all rows at least."""
-    heavy = counted.groupBy(F.col(key).alias("hub")).count().where(f"count > {fan}")
-    return F.broadcast(heavy.select("hub", F.expr(f"int(count div {fan} + 1)").alias("hub_parts")))
-
-
-def _part(of: str) -> Column:
-    return F.pmod(F.xxhash64(of), F.coalesce("hub_parts", F.lit(1))).cast("int").alias("part")
-
-
-_EVERY = "sequence(0, coalesce(hub_parts, 1) - 1)"
-
-
-def _jump(labels: DataFrame, fan: int) -> DataFrame:
-    """Each node takes its label's label if that is less; ``old`` is the one before."""
-    heavy = _parts(labels, "label", fan)
-    rows = labels.join(heavy, F.col("label") == F.col("hub"), "left").select("node", "label", "hub_edges", _part("node"))
-    roots = labels.join(heavy, F.col("node") == F.col("hub"), "left").select(F.col("node").alias("label"), F.col("label").alias("root"), F.explode(F.expr(_EVERY)).alias("part"))
-    return rows.join(roots, ["label", "part"]).select("node", "hub_edges", F.col("label").alias("old"), F.least("label", "root").alias("label"))
-
-
-def _hook(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each node takes the least label among its own and its neighbours'."""
-    far = labels.select(F.col("node").alias("b"), F.col("label").alias("near"), F.explode(F.expr(_EVERY.replace("hub_parts", "hub_edges"))).alias("part"))
-    near = edges.join(far, ["b", "part"]).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-    return labels.join(near, "node").select("node", "hub_edges", "old", F.least("label", "near").alias("label"))
+def _hook(edges: DataFrame, labels: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """(node, label, settled): the least label among a node's own and its neighbours', and whether those were all one."""
+    far = in_all_parts(labels.select(F.col("node").alias("b"), "label"), "b", heavy)
+    near = edges.join(far, ["b", "part"]).groupBy(F.col("a").alias("node"))
+    return near.agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("settled"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): each node of ``edges`` (a, b) with the least node it can reach.
 
-    Minimum-label propagation, a pointer jump and two hops a round: chains shorten by
+    Minimum-label propagation, two hops and a pointer jump a round: chains shorten by
     more than half in each, and stars settle in the first. The edges of a node with very
     many are dealt in parts, and so are the nodes of a label with very many; what they look
     up is sent to each part. Every round is written to the shared folder, so lineage
@@ -48,18 +27,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     not in the result.
     """
     spark = edges.sparkSession
-    plain = materialize(spark, edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    fan = max(FAN, plain.count() // HUBS)
-    hubs = _parts(plain, "b", fan)
-    both = materialize(spark, plain.join(hubs, F.col("b") == F.col("hub"), "left").select("a", "b", _part("a")), "edges")
-    first = plain.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = materialize(spark, first.join(hubs, F.col("node") == F.col("hub"), "left").select("node", "label", F.col("hub_parts").alias("hub_edges")), "labels")
-    discard(plain)
-    for _ in range(max_rounds):
-        new = materialize(spark, _hook(both, _hook(both, _jump(labels, fan))), "labels")
-        discard(labels)
-        labels = new
-        if labels.where("label <> old").isEmpty():
+    ways = edges.where("a <> b").select(F.explode(F.expr("array(struct(a AS a, b AS b), struct(b AS a, a AS b), struct(a AS a, a AS b), struct(b AS a, b AS b))")).alias("e"))
+    both = materialize(spark, ways.select("e.a", "e.b").distinct(), "edges")
+    total = both.count()
+    heavy = hubs(both.groupBy("b").agg(F.count("*").alias("size")), "b", total)
+    dealt = in_part(both, "b", "a", heavy)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    for n in range(max_rounds):
+        new = materialize(spark, _hook(dealt, _hook(dealt, labels, heavy), heavy), "labels")
+        if n:
+            discard(written)
+        written = new
+        if new.where("NOT settled").isEmpty():
             discard(both)
-            return labels.select("node", "label")
+            return new.select("node", "label")
+        roots = new.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        sizes = new.groupBy("label").agg(F.count("*").alias("size"))
+        labels = spread_join(new.select("node", "label"), roots, "label", "node", sizes, total).select("node", F.least("label", "root").alias("label"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

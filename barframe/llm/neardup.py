@@ -16,10 +16,10 @@ The work:
 4. each text goes to its cluster's block of ``BLOCK`` rows once, where pairs not yet
    connected are confirmed on full sets, likeliest first; a cluster of several blocks
    sends some leaders to all of them;
-5. where such a cluster is still in several components, an exact bound comes first: a
-   link needs 6/7 of the smaller set, and 3/4 of the larger, to be found in other
-   components at all. Texts grown from one template, however many, end here.
-   What is left is confirmed in groups of two blocks, one of them of rows outside the largest component;
+5. where such a cluster is still in several components, the rows outside the largest
+   are confirmed against all rows, in groups of two blocks. If they are more than a block, an
+   exact bound comes first: a link needs 6/7 of the smaller set, and 3/4 of the larger, to be
+   found in other components at all. Texts grown from one template, however many, end there;
 6. components of the confirmed links, by label propagation.
 
 A group holds about two blocks, whatever the cluster. Keys with very many rows are dealt in parts.
@@ -301,21 +301,32 @@ def _across(spark: SparkSession, rows: DataFrame, labels: DataFrame, members: Da
     """Links (a, b) between different components of the clusters of several blocks, ``rows`` (rep, cluster)."""
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("comp"))
     rows = materialize(spark, rows, "wide-rows")
-    per = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
-    parts = materialize(spark, per.where("comps > 1").select("cluster", "main"), "parts")
-    if parts.isEmpty():
+    per = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.sum("count").alias("size"), F.max(F.struct("count", "comp")).alias("main"))
+    parts = per.where("size > main.count").select("cluster", "size", F.col("main.comp").alias("main"), F.expr("size - main.count").alias("n_odd"))
+    parts = materialize(spark, parts, "parts")
+    kinds = [r[0] for r in parts.select(F.col("n_odd") > BLOCK).distinct().collect()]
+    if not kinds:
         return None
-    open_ = materialize(spark, spread_join(rows, parts, "cluster", "rep", wide, total).withColumn("odd", F.col("comp") != F.col("main")), "open")
-    tokens = open_.join(members, "rep").select("cluster", "rep", "comp", "n", "f1", "text").mapInArrow(_tokens, "rep long, comp long, n long, token long")
+    open_ = spread_join(rows, parts, "cluster", "rep", wide, total).withColumn("odd", F.col("comp") != F.col("main"))
+    open_ = materialize(spark, open_.select(F.col("cluster").alias("g"), "rep", "comp", "odd", "size", "n_odd"), "open")
+    # one block of odd rows: each row of the cluster is sent once more
+    sent = _dealt(open_.where(f"n_odd <= {BLOCK}"))
+    if True in kinds:
+        sent = sent.unionByName(_dealt(_able(spark, open_.where(f"n_odd > {BLOCK}"), members)))
+    return _forest(sent.join(members, "rep"), True)
+
+
+def _able(spark: SparkSession, open_: DataFrame, members: DataFrame) -> DataFrame:
+    """Of ``open_`` rows (g, rep, comp, odd, size, n_odd) those that may have a link to another component, with the ends of one kind as ``odd``."""
+    tokens = open_.join(members, "rep").select("g", "rep", "comp", "n", "f1", "text").mapInArrow(_tokens, "rep long, comp long, n long, token long")
     shared = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     # what two sets share is in other components of both; the bitmap may count more, never less
     found = may_be_in(tokens, "token", shared).where("hit").groupBy("row.rep").agg(F.count("*").alias("m"), F.min("row.n").alias("n"))
-    able = materialize(spark, open_.join(found.where("4 * m >= 3 * n").select("rep", F.expr("7 * m >= 6 * n").alias("small")), "rep"), "able")
-    sides = able.groupBy("cluster").agg(F.count("*").alias("size"), F.count_if("odd").alias("odds"), F.count_if("small").alias("smalls")).where("odds > 0 AND smalls > 0")
-    sides = materialize(spark, sides.select("cluster", "size", F.expr("odds <= smalls").alias("by_odd"), F.least("odds", "smalls").alias("n_odd")), "sides")
+    able = materialize(spark, open_.select("g", "rep", "comp", "odd").join(found.where("4 * m >= 3 * n").select("rep", F.expr("7 * m >= 6 * n").alias("small")), "rep"), "able")
+    sides = able.groupBy("g").agg(F.count("*").alias("size"), F.count_if("odd").alias("odds"), F.count_if("small").alias("smalls")).where("odds > 0 AND smalls > 0")
+    sides = materialize(spark, sides.select("g", "size", F.expr("odds <= smalls").alias("by_odd"), F.least("odds", "smalls").alias("n_odd")), "sides")
     # a link has an end outside the largest component, and a smaller end: the rarer kind meets all rows
-    dealt = spread_join(able, sides, "cluster", "rep", sides, total).select(F.col("cluster").alias("g"), "rep", "comp", F.expr("IF(by_odd, odd, small)").alias("odd"), "size", "n_odd")
-    return _forest(_dealt(dealt).join(members, "rep"), True)
+    return spread_join(able, sides, "g", "rep", sides, able.count()).select("g", "rep", "comp", F.expr("IF(by_odd, odd, small)").alias("odd"), "size", "n_odd")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -234,9 +234,9 @@ def test_texts_of_one_template_stay_few_in_a_group(spark, monkeypatch):
 
 
 def test_components_of_hubs_and_chains(spark, monkeypatch):
-    from barframe.llm import graph
+    from barframe.llm import graph, skew
 
-    monkeypatch.setattr(graph, "FAN", 8)
+    monkeypatch.setattr(skew, "FAN", 8)
     edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(500, i) for i in range(510, 540)] + [(539, 100), (7, 7)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in (*range(200), 500, *range(510, 540))} | {1000 + i: 1000 for i in range(61)}
