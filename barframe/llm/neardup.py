@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .bitmap import may_be_in
+from .bitmap import hash_bits, in_bits, may_be_in
 from .graph import components
 from .skew import spread_join
 from .storage import discard, materialize, read_table, scratch
@@ -195,18 +195,22 @@ def _compared(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Rec
     yield _pairs_batch(a, b)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, rep, comp, n, f1, text): (rep, comp, n, token) for each shingle, hashed with the cluster."""
+def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Of rows (g, f1, text, ...): slices of them, with the set of each, hashed with g; empty where ``f1`` is that of another text."""
     for batch in batches:
-        data, off = tk.utf8(batch.column(5))
+        data, off = tk.utf8(batch.column(2))
         for i, j in tk.slices(off):
+            part = batch.slice(i, j - i)
+            salt = np.asarray(part.column(0)).astype(np.int64).view(_U) * _FOLD
             sets = tk.shingle_sets(data, off[i : j + 1], SHINGLE)
-            own = np.array([s.sum(dtype=_U) == _U(f % (1 << 64)) for s, f in zip(sets, batch.column(4).slice(i, j - i).to_pylist(), strict=True)], bool)
-            size = np.array([len(s) for s in sets]) * own
-            cluster = np.asarray(batch.column(0).slice(i, j - i)).astype(np.int64).view(_U) * _FOLD
-            token = tk.mix(np.concatenate([s ^ c for s, c, good in zip(sets, cluster, own, strict=True) if good] or [np.zeros(0, _U)])).view(np.int64)
-            at = pa.array(np.repeat(np.arange(i, j), size))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3)), pa.array(token)], names=["rep", "comp", "n", "token"])
+            yield part, [tk.mix(s ^ c) if s.sum(dtype=_U) == _U(f % (1 << 64)) else s[:0] for s, c, f in zip(sets, salt, part.column(1).to_pylist(), strict=True)]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, f1, text, comp): (comp, token) for each shingle."""
+    for part, sets in _token_sets(batches):
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        yield pa.RecordBatch.from_arrays([part.column(3).take(at), pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], names=["comp", "token"])
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -318,11 +322,20 @@ def _across(spark: SparkSession, rows: DataFrame, labels: DataFrame, members: Da
 
 def _able(spark: SparkSession, open_: DataFrame, members: DataFrame) -> DataFrame:
     """Of ``open_`` rows (g, rep, comp, odd, size, n_odd) those that may have a link to another component, with the ends of one kind as ``odd``."""
-    tokens = open_.join(members, "rep").select("g", "rep", "comp", "n", "f1", "text").mapInArrow(_tokens, "rep long, comp long, n long, token long")
+    full = materialize(spark, open_.select("g", "rep", "comp", "odd").join(members.select("rep", "f1", "text"), "rep"), "full")
+    tokens = full.select("g", "f1", "text", "comp").mapInArrow(_tokens, "comp long, token long")
     shared = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    bits = spark.sparkContext.broadcast(hash_bits(shared))  # of fixed size
+
+    def count(batches):
+        for part, sets in _token_sets(batches):
+            m = [int(in_bits(bits.value, s).sum()) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (0, 3, 4, 5)), pa.array(m, pa.int64()), pa.array(map(len, sets), pa.int64())], names=["g", "rep", "comp", "odd", "m", "n"])
+
     # what two sets share is in other components of both; the bitmap may count more, never less
-    found = may_be_in(tokens, "token", shared).where("hit").groupBy("row.rep").agg(F.count("*").alias("m"), F.min("row.n").alias("n"))
-    able = materialize(spark, open_.select("g", "rep", "comp", "odd").join(found.where("4 * m >= 3 * n").select("rep", F.expr("7 * m >= 6 * n").alias("small")), "rep"), "able")
+    found = full.select("g", "f1", "text", "rep", "comp", "odd").mapInArrow(count, "g long, rep long, comp long, odd boolean, m long, n long")
+    able = found.where("n > 0 AND 4 * m >= 3 * n").groupBy("g", "rep", "comp", "odd").agg(F.max(F.expr("7 * m >= 6 * n")).alias("small"))
+    able = materialize(spark, able, "able")
     sides = able.groupBy("g").agg(F.count("*").alias("size"), F.count_if("odd").alias("odds"), F.count_if("small").alias("smalls")).where("odds > 0 AND smalls > 0")
     sides = materialize(spark, sides.select("g", "size", F.expr("odds <= smalls").alias("by_odd"), F.least("odds", "smalls").alias("n_odd")), "sides")
     # a link has an end outside the largest component, and a smaller end: the rarer kind meets all rows

@@ -668,10 +668,13 @@ def test_mixture_decides_what_is_packed(spark, monkeypatch, tmp_path):
 
 
 def test_bitmap_has_no_false_negative_and_few_false_positives(spark):
-    from barframe.llm.bitmap import may_be_in
+    from barframe.llm.bitmap import hash_bits, in_bits, may_be_in
 
     rows = spark.range(-500, 20_000).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
     got = {r.row.id: r.hit for r in may_be_in(rows, "id", spark.range(0, 20_000, 7)).collect()}
     wanted = set(range(0, 20_000, 7))
     assert all(got[i] for i in wanted) and sum(h for i, h in got.items() if i not in wanted) < 20
     assert not any(r.hit for r in may_be_in(rows, "id", spark.range(0)).collect())
+    own, other = (tk.mix(np.arange(a, b, dtype=np.uint64)) for a, b in ((0, 5000), (9000, 19_000)))
+    bits = hash_bits(spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "h long"))
+    assert in_bits(bits, own).all() and in_bits(bits, other).sum() < 20
