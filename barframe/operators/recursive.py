@@ -8,6 +8,7 @@ state and never a symbol's bars; the streaming engine keeps the same objects as
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Sequence
 
@@ -176,90 +177,91 @@ class Keltner:
 
 
 class Sar:
-    """Parabolic stop and reverse; a missing bar starts it over."""
+    """Parabolic stop and reverse; a missing bar starts it over.
+
+    Prices are signed by the trend, so that a rising and a falling one share the formulas:
+    the stop follows the best price by ``speed`` of the distance, never passes the last two
+    bars, and where a bar crosses it the trend turns, with the best price as the new stop.
+    """
 
     def __init__(self, start: float, increment: float, maximum: float):
         self.start, self.increment, self.maximum = start, increment, maximum
-        self.sar = None
-        self.best = self.speed = 0.0
-        self.up = False
+        self.stop: Value = None  # signed, as ``best``
+        self.sign, self.best, self.speed = 1, 0.0, 0.0
         self.bars: deque = deque(maxlen=2)  # (high, low, close) of the last two
 
+    def _ends(self, high: Value, low: Value) -> tuple[Value, Value]:
+        """A bar's signed ends: towards the trend, and towards the stop."""
+        ends = (high, low) if self.sign > 0 else (low, high)
+        return tuple(None if e is None else self.sign * e for e in ends)
+
     def push(self, high: Value, low: Value, close: Value) -> Value:
         past = list(self.bars)
         self.bars.append((high, low, close))
         if high is None or low is None or close is None:
-            self.sar = None
+            self.stop = None
             return None
-        if self.sar is None:
+        if self.stop is None:
             if not past or past[-1][2] is None:
                 return None
-            h, lo, c = past[-1]
-            self.up, self.speed = close > c, self.start
-            self.best, self.sar = (high, lo) if self.up else (low, h)
-        else:
-            self._advance(high, low)
-            self._clamp(past)
-        return self.sar
-
-    def _advance(self, high: float, low: float) -> None:
-        self.sar += self.speed * (self.best - self.sar)
-        if self.up and self.sar > low or not self.up and self.sar < high:
-            turned = max(high, self.best) if self.up else min(low, self.best)
-            self.up = not self.up
-            self.sar, self.best, self.speed = turned, high if self.up else low, self.start
-        elif high > self.best if self.up else low < self.best:
-            self.best = high if self.up else low
-            self.speed = min(self.speed + self.increment, self.maximum)
-
-    def _clamp(self, past: list) -> None:
-        """Never inside the last two bars."""
-        known = [b[1] if self.up else b[0] for b in past]
-        known = [x for x in known if x is not None]
-        if known:
-            self.sar = min(self.sar, *known) if self.up else max(self.sar, *known)
+            self.sign, self.speed = (1 if close > past[-1][2] else -1), self.start
+            self.best, self.stop = self._ends(high, low)[0], self._ends(*past[-1][:2])[1]
+            return None if self.stop is None else self.sign * self.stop
+        ahead, behind = self._ends(high, low)
+        stop = self.stop + self.speed * (self.best - self.stop)
+        if stop > behind:
+            stop = -max(ahead, self.best)
+            self.sign, self.best, self.speed = -self.sign, -behind, self.start
+        elif ahead > self.best:
+            self.best, self.speed = ahead, min(self.speed + self.increment, self.maximum)
+        guards = (self._ends(*b[:2])[1] for b in past)
+        self.stop = min([stop, *(g for g in guards if g is not None)])
+        return self.sign * self.stop
+
+
+def _ratchet(band: Value, last: float, close: Value, side: int) -> Value:
+    """A lower band (side 1) only rises and an upper one (side -1) only falls, until a close breaks it; ``last``: the band before."""
+    if band is None:
+        return None
+    moves, broken = side * (band - last) > 0, close is not None and side * (close - last) < 0
+    return band if moves or broken else last
 
 
 class Supertrend:
-    """Line and direction (-1 up, 1 down)."""
+    """Line and direction (-1 up, 1 down): the band on the far side of the trend, until a close crosses it."""
 
     def __init__(self, factor: float, n: int):
-        self.factor, self.atr, self.first = factor, Atr(n), True
-        self.last: tuple = (None, None, None, None, None)  # atr, upper, lower, close, line
+        self.factor, self.atr, self.first, self.warm = factor, Atr(n), True, False
+        self.bands: tuple[Value, Value] = (None, None)  # lower, upper
+        self.close = self.line = None
 
     def push(self, high: Value, low: Value, close: Value) -> tuple[Value, Value]:
-        atr0, up0, low0, close0, line0 = self.last
         atr = self.atr.push(high, low, close)
-        upper = lower = None
-        if atr is not None and high is not None and low is not None:
-            mid = (high + low) / 2
-            upper, lower = mid + self.factor * atr, mid - self.factor * atr
-        up_before, low_before = up0 or 0.0, low0 or 0.0
-        # a band moves only towards the price, unless the last close broke it
-        if lower is not None and not (lower > low_before or close0 is not None and close0 < low_before):
-            lower = low_before
-        if upper is not None and not (upper < up_before or close0 is not None and close0 > up_before):
-            upper = up_before
-        above = lambda x, y: x is not None and y is not None and x > y
-        if self.first or atr0 is None:
-            direction = 1.0
-        elif line0 is not None and line0 == up_before:
-            direction = -1.0 if above(close, upper) else 1.0
-        else:
-            direction = 1.0 if above(lower, close) else -1.0
+        known = atr is not None and high is not None and low is not None
+        before = [b or 0.0 for b in self.bands]
+        raw = [(high + low) / 2 - side * self.factor * atr if known else None for side in (1, -1)]
+        lower, upper = (_ratchet(b, last, self.close, side) for b, last, side in zip(raw, before, (1, -1), strict=True))
+        direction = 1.0
+        if self.warm and not self.first:
+            falling = self.line is not None and self.line == before[1]
+            band = upper if falling else lower
+            crossed = band is not None and close is not None and (close > band if falling else close < band)
+            direction = 1.0 if falling != crossed else -1.0
         line = None if upper is None or lower is None else lower if direction < 0 else upper
         if self.first and line is None:
             line = 0.0
-        self.first, self.last = False, (atr, upper, lower, close, line)
+        self.first, self.warm, self.bands, self.close, self.line = False, atr is not None, (lower, upper), close, line
         return line, direction
 
 
 class GapPercentile:
     """Order statistics of the last n bars that keep their order through gaps.
 
-    A missing bar takes a slot without a rank, and a new value moves from the slot of the
-    bar that leaves, past slots it may pass; so with gaps the answer depends on history.
-    Without gaps it is the plain percentile.
+    The window's n places hold its values in order, and among them places for missing bars.
+    A missing bar takes the last place. A value takes the place of its rank: before the
+    missing places that stand there if it follows a leaving value that is not less,
+    else behind them. So with gaps the answer depends on history; without, it is the plain
+    percentile. Values are kept sorted, and of each missing place how many stand before it.
     """
 
     def __init__(self, n: int, percentage: float, linear: bool):
@@ -267,41 +269,43 @@ class GapPercentile:
         share = min(max(percentage, 0.0), 100.0) / 100.0 * n
         self.at = min(max(share - 0.5, 0.0), n - 1.0) if linear else float(max(math.ceil(share), 1) - 1)
         self.window: deque = deque()
-        self.slots: list[tuple[int, Value]] = []
-
-    def _leave(self) -> tuple[int, Value]:
-        """(slot, value) of the bar that leaves: of equal values the last slot goes."""
-        old = self.window.popleft()
-        wanted = (lambda s: s[0] == self.count - self.n) if old is None else (lambda s: s[1] == old)
-        slot = max(j for j, s in enumerate(self.slots) if wanted(s))
-        self.slots.pop(slot)
-        return slot, old
-
-    def _place(self, x: Value, slot: int | None, old: Value) -> int:
-        end = len(self.slots)
-        if x is None:
-            return end
-        under = lambda j: self.slots[j][1] is not None and x <= self.slots[j][1]
-        over = lambda j: self.slots[j][1] is not None and x > self.slots[j][1]
-        if slot is None or old is None:
-            return next((j for j in range(end) if under(j)), end)
-        if x <= old:
-            while slot and not over(slot - 1):
-                slot -= 1
-        else:
-            while slot < end and not under(slot):
-                slot += 1
-        return slot
+        self.values: list[float] = []
+        self.missing: list[list[int]] = []  # [values before it, number of its bar], in order of place
+
+    def _shift(self, rank: int, by: int) -> None:
+        """Missing places with ``rank`` values or more before them have ``by`` more."""
+        for place in self.missing:
+            if place[0] >= rank:
+                place[0] += by
+
+    def _at(self, place: int) -> Value:
+        gaps = 0
+        for k, (before, _) in enumerate(self.missing):
+            if before + k == place:
+                return None
+            gaps += before + k < place
+        return self.values[place - gaps]
 
     def push(self, x: Value) -> Value:
-        slot, old = self._leave() if self.count >= self.n else (None, None)
-        self.slots.insert(self._place(x, slot, old), (self.count, x))
+        old = self.window.popleft() if self.count >= self.n else None
+        if old is not None:
+            rank = bisect_right(self.values, old) - 1
+            self.values.pop(rank)
+            self._shift(rank + 1, -1)
+        else:
+            self.missing = [p for p in self.missing if p[1] > self.count - self.n]
+        if x is None:
+            self.missing.append([len(self.values), self.count])
+        else:
+            rank = bisect_left(self.values, x)
+            self.values.insert(rank, x)
+            self._shift(rank if old is not None and x <= old else rank + 1, 1)
         self.window.append(x)
         self.count += 1
         if self.count < self.n:
             return None
         low = int(self.at)
-        a, b = self.slots[low][1], self.slots[min(low + 1, self.n - 1)][1]
+        a, b = self._at(low), self._at(min(low + 1, self.n - 1))
         share = self.at - low
         return a if not share else None if a is None or b is None else a + (b - a) * share
 

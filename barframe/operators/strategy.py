@@ -243,22 +243,22 @@ class Broker:
             return "limit", min(limit, op) if sign > 0 else max(limit, op)
         return None
 
+    def _path(self, op: float, hi: float, lo: float, cl: float) -> list[float]:
+        """The bar's prices in the order that they are taken to come: the nearer end first, unless settings say otherwise."""
+        up = self.settings.path == "open_high_low_close" or self.settings.path == "priority" and hi - op < op - lo
+        return [op, *((hi, lo) if up else (lo, hi)), cl]
+
     def _stop_limit(self, o: dict, sign: int, op: float, hi: float, lo: float, cl: float, pad: float) -> tuple[str, float] | None:
-        """The stop arms the limit; only prices after that count."""
-        up_first = self.settings.path == "open_high_low_close" or self.settings.path == "priority" and abs(hi - op) < abs(op - lo)
-        walk = [op, hi, lo, cl] if up_first else [op, lo, hi, cl]
-        reach = lambda p: sign * (o["limit"] - p) >= pad
-        for k, p in enumerate(walk):
-            if not o.get("armed"):
-                if sign * (p - o["stop"]) < 0:
-                    continue
-                o["armed"] = True
-                p = p if k == 0 else o["stop"]
-            if reach(p):
-                return "limit", p
-            if k + 1 < len(walk) and reach(walk[k + 1]):
-                return "limit", o["limit"]
-        return None
+        """The stop arms the limit: the price path is cut where it first reaches the stop, and the limit looks at the rest."""
+        path = self._path(op, hi, lo, cl)
+        if not o.get("armed"):
+            cut = next((k for k, p in enumerate(path) if sign * p >= sign * o["stop"]), None)
+            if cut is None:
+                return None
+            o["armed"] = True
+            path = [o["stop"], *path[cut:]] if cut else path
+        good = [sign * (o["limit"] - p) >= pad for p in path]
+        return ("limit", path[0] if good[0] else o["limit"]) if any(good) else None
 
     def _try_resting(self, time: int, op: float, hi: float, lo: float, cl: float, new: bool | None) -> None:
         for o in list(self.resting):
