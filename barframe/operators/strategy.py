@@ -55,6 +55,8 @@ class Settings:
     max_intraday_loss_type: str = "percent"
     max_position_size: float | None = None
     max_intraday_filled_orders: int | None = None
+    #: closed trades that a broker remembers, for decisions bar by bar
+    keep_trades: int = 200
 
 
 @dataclass
@@ -67,6 +69,38 @@ class Lot:
     index: int
     commission: float
     comment: str
+    number: int = 0
+
+
+class Trades:
+    """Trades by number, as a decision on a bar sees them: from the first, or from the last if negative; None where there is none.
+
+    ``rows`` are the last ones of ``count``.
+    """
+
+    def __init__(self, rows: list[dict], count: int | None = None):
+        self.rows, self.count = rows, len(rows) if count is None else count
+
+    def get(self, name: str, k: int):
+        k += self.count if k < 0 else 0
+        at = k - (self.count - len(self.rows))
+        return self.rows[at].get(name) if 0 <= at < len(self.rows) and k < self.count else None
+
+    def profit_percent(self, k: int) -> float | None:
+        profit, value = self.get("profit", k), (self.get("qty", k) or 0.0) * (self.get("entry_price", k) or 0.0)
+        return None if profit is None or not value else 100 * profit / value
+
+    def size(self, k: int) -> float | None:
+        """The quantity, negative for a short trade."""
+        qty = self.get("qty", k)
+        return None if qty is None else qty if self.get("side", k) == LONG else -qty
+
+    def values(self, name: str) -> list:
+        return [r.get(name) for r in self.rows]
+
+
+for _name in ("qty", "side", "profit", "net_profit", "commission", "entry_price", "exit_price", "entry_time", "exit_time", "entry_bar", "exit_bar", "entry_id", "exit_id", "entry_comment", "exit_comment"):
+    setattr(Trades, _name, lambda self, k, _name=_name: self.get(_name, k))
 
 
 @dataclass
@@ -87,6 +121,25 @@ class Broker:
     day_lock: bool = False
     last_close: float = 0.0
     events: list[dict] = field(default_factory=list)
+    lot_count: int = 0
+    trade_count: int = 0
+    closed: list[dict] = field(default_factory=list)
+    #: values that a strategy keeps between bars
+    memory: dict = field(default_factory=dict)
+
+    # ---- trades --------------------------------------------------------------------
+
+    @property
+    def closed_trades(self) -> Trades:
+        return Trades(self.closed, self.trade_count)
+
+    def open_trades(self, price: float) -> Trades:
+        """One trade a lot, valued at ``price``."""
+        rows = []
+        for x in self.lots:
+            profit = x.sign * x.qty * (price - x.price) * self.settings.point_value
+            rows.append({"side": LONG if x.sign > 0 else SHORT, "qty": x.qty, "entry_price": x.price, "entry_time": x.time, "entry_bar": x.index, "entry_id": x.id, "entry_comment": x.comment, "commission": x.commission, "profit": profit, "net_profit": profit - x.commission})
+        return Trades(rows)
 
     # ---- money -------------------------------------------------------------------
 
@@ -148,10 +201,16 @@ class Broker:
             lot.commission -= lot.commission * qty / lot.qty
             lot.qty = round(lot.qty - qty, 8)
             left = round(left - qty, 8)
-            self._tell("trade", time, o, side=LONG if lot.sign > 0 else SHORT, entry_id=lot.id, entry_time=lot.time, exit_time=time, entry_bar=lot.index, exit_bar=self.index, qty=qty, entry_price=lot.price, price=price, profit=profit, commission=paid, net_profit=profit - paid)
+            trade = {"side": LONG if lot.sign > 0 else SHORT, "entry_id": lot.id, "entry_time": lot.time, "exit_time": time, "entry_bar": lot.index, "exit_bar": self.index, "qty": qty, "entry_price": lot.price, "profit": profit, "commission": paid, "net_profit": profit - paid}
+            self._tell("trade", time, o, **trade, price=price, lot=lot.number)
+            self.trade_count += 1
+            self.closed.append(trade | {"exit_price": price, "exit_id": o.get("id") or "", "entry_comment": lot.comment, "exit_comment": o.get("comment") or ""})
+            del self.closed[: max(len(self.closed) - self.settings.keep_trades, 0)]
         self.lots = [x for x in self.lots if x.qty > 0]
         if left > 0 and not only:
-            self.lots.append(Lot(o.get("id") or "", sign, left, price, time, self.index, fee * left / whole, o.get("comment") or ""))
+            self.lots.append(Lot(o.get("id") or "", sign, left, price, time, self.index, fee * left / whole, o.get("comment") or "", self.lot_count))
+            self._tell("lot", time, o, side=LONG if sign > 0 else SHORT, entry_id=o.get("id") or "", entry_time=time, entry_bar=self.index, qty=left, entry_price=price, commission=fee * left / whole, lot=self.lot_count)
+            self.lot_count += 1
         self.size = round(sum(x.sign * x.qty for x in self.lots), 8)
         self._tell("order", time, o, qty=o.get("filled", whole), price=round(price, 8), position_after=self.size, reason=reason, commission=fee)
         self._fate("filled", time, o, requested_qty=asked if asked is not None else o.get("qty"), qty=o.get("filled", whole), price=round(price, 8), position_after=self.size, reason=reason)
@@ -347,7 +406,7 @@ class Broker:
 EVENT_FIELDS = {
     "sym": "string", "kind": "string", "time": "long", "id": "string", "type": "string", "side": "string", "qty": "double", "price": "double", "position_after": "double", "reason": "string", "comment": "string",
     "commission": "double", "status": "string", "submitted_time": "long", "requested_qty": "double", "canceled_by": "string", "limit": "double", "stop": "double", "entry_id": "string", "entry_time": "long", "exit_time": "long",
-    "entry_bar": "long", "exit_bar": "long", "entry_price": "double", "profit": "double", "net_profit": "double", "equity": "double", "open_profit": "double", "gross_profit": "double", "gross_loss": "double", "locked": "boolean",
+    "entry_bar": "long", "exit_bar": "long", "entry_price": "double", "profit": "double", "net_profit": "double", "equity": "double", "open_profit": "double", "gross_profit": "double", "gross_loss": "double", "locked": "boolean", "lot": "long",
 }
 EVENTS = ", ".join(f"`{k}` {v}" for k, v in EVENT_FIELDS.items())
 _ARROW = pa.schema([(k, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[v]) for k, v in EVENT_FIELDS.items()])
@@ -414,6 +473,32 @@ def trades(events: DataFrame) -> DataFrame:
     return events.where("kind = 'trade'").select("sym", "entry_time", "exit_time", "entry_bar", "exit_bar", "entry_id", F.col("id").alias("exit_id"), "side", "qty", "entry_price", F.col("price").alias("exit_price"), "profit", "commission", "net_profit", F.round(F.try_divide(F.col("profit") * 100, F.col("qty") * F.col("entry_price")), 8).alias("profit_percent"))
 
 
+def open_trades(events: DataFrame, last: DataFrame) -> DataFrame:
+    """Lots that are still open, valued at ``last`` (sym, close)."""
+    gone = events.where("kind = 'trade'").groupBy("sym", "lot").agg(F.sum("qty").alias("gone"))
+    lots = events.where("kind = 'lot'").select("sym", "lot", "entry_id", "entry_time", "entry_bar", "side", F.col("qty").alias("whole"), "entry_price", "commission", "comment")
+    held = lots.join(gone, ["sym", "lot"], "left").withColumn("qty", F.round(F.col("whole") - F.coalesce("gone", F.lit(0.0)), 8)).where("qty > 0")
+    sign = F.when(F.col("side") == LONG, 1).otherwise(-1)
+    valued = held.join(last.select("sym", "close"), "sym").withColumn("profit", sign * F.col("qty") * (F.col("close") - F.col("entry_price")))
+    percent = F.round(F.try_divide(F.col("profit") * 100, F.col("qty") * F.col("entry_price")), 8)
+    return valued.select("sym", "lot", "entry_id", "entry_time", "entry_bar", "side", "qty", "entry_price", (F.col("commission") * F.col("qty") / F.col("whole")).alias("commission"), F.col("comment").alias("entry_comment"), "profit", percent.alias("profit_percent"))
+
+
+def intents(bf: BarFrame, account: DataFrame, *rules: dict) -> DataFrame:
+    """What a strategy asks of an outside account, without simulating it: commands on each bar as rows.
+
+    ``account``: sym, position (signed). Quantities in percent of the position become quantities;
+    closes and exits of a flat account are no intents.
+    """
+    rows = with_commands(bf, *rules).df.select("sym", F.col(bf.order).alias("time"), F.explode("commands").alias("c")).select("sym", "time", "c.*")
+    held = rows.join(account.select("sym", "position"), "sym", "left").withColumn("position", F.coalesce("position", F.lit(0.0)))
+    leaving = F.col("type").isin("close", "close_all", "exit")
+    share = F.coalesce("qty", F.abs("position") * F.coalesce("qty_percent", F.lit(100.0)) / 100)
+    qty = F.when(leaving, F.least(share, F.abs("position"))).otherwise(F.col("qty"))
+    side = F.when(leaving, F.when(F.col("position") > 0, SHORT).otherwise(LONG)).otherwise(F.col("side"))
+    return held.where(~leaving | (F.col("position") != 0)).select("sym", "time", "seq", "type", "id", side.alias("side"), qty.alias("qty"), "price", "limit", "stop", "from_entry", "oca_name", "oca_type", "comment", "position")
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
     return events.where("kind = 'lifecycle'").select("sym", "time", "id", "type", "side", "status", "submitted_time", "requested_qty", "qty", "price", "position_after", "reason", "canceled_by", "limit", "stop")
 

@@ -207,7 +207,9 @@ def correlation(bf: BarFrame, a: Src, b: Src, n: int, out: str) -> BarFrame:
         rows = f.last_rows(n)
         both = F.when(x.isNotNull() & y.isNotNull(), 1)
         f, whole = f.bind(F.count(both).over(rows) == n, "boolean")
-        f, direct = f.bind(F.when(whole, F.when((F.var_pop(x).over(rows) == 0) | (F.var_pop(y).over(rows) == 0), 0.0).otherwise(F.corr(x, y).over(rows))))
+        # not corr, which divides by zero in constant windows
+        spread = F.sqrt(F.var_pop(x).over(rows) * F.var_pop(y).over(rows))
+        f, direct = f.bind(F.when(whole, F.when(spread == 0, 0.0).otherwise(F.try_divide(F.covar_pop(x, y).over(rows), spread))))
         f, mx = _bound(f, lambda g: observed(g, x, n, F.avg))
         f, my = _bound(f, lambda g: observed(g, y, n, F.avg))
         f, mxy = _bound(f, lambda g: observed(g, x * y, n, F.avg))
