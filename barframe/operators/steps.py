@@ -1,8 +1,9 @@
 """Window operators as step classes, for streams: the same values as the windows of ``ta``.
 
 ``push`` takes a bar's inputs (``None`` is missing) and returns its outputs. A step keeps the
-bars that its window needs and no more. Sums are exact (``math.fsum``), so no digits are lost,
-however long the stream or large a level that has left the window.
+bars that its window needs and no more. Window and running sums are exact (``math.fsum``), so no
+digits are lost, however long the stream or large a level that has left the window; those of
+``Vwap``, which begin anew each day, are plain.
 """
 
 from __future__ import annotations
@@ -501,11 +502,12 @@ class Vwap:
     def push(self, time: float, x: Value, volume: Value, anchor: Value = -1.0):
         day = time // 86_400
         if day != self.day if anchor == -1.0 else _true(anchor):
-            self.sums = [Cum(), Cum(), Cum()]
+            self.sums = [0.0, 0.0, 0.0]
         self.day = day
         value = width = None
         if self.sums and x is not None and volume is not None:
-            amount, first, second = (c.push(v) for c, v in zip(self.sums, (volume, x * volume, x * x * volume), strict=True))
+            self.sums = [s + v for s, v in zip(self.sums, (volume, x * volume, x * x * volume), strict=True)]
+            amount, first, second = self.sums
             if amount:
                 value = first / amount
                 width = math.sqrt(max(second / amount - value * value, 0.0)) * (self.mult or 0.0)

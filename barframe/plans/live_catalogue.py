@@ -18,9 +18,6 @@ ORACLES: dict[str, str] = {}
 
 X, C, HLC, OX = ["x"], ["close"], ["high", "low", "close"], ["x", "open"]
 
-#: Streams sum exactly, SQL in order: halves of the sixth place may part.
-PLACES = 4
-
 #: Of each family, the batch queries it repeats; of each of those its output columns, with inputs and step.
 FAMILIES: dict[str, Callable[[], dict[str, dict[tuple[str, ...], tuple[list[str], object]]]]] = {
     "live_observed": lambda: {
@@ -105,7 +102,7 @@ def _run(family: str) -> Callable[[SparkSession, str], DataFrame]:
         names = [f"{q}_{c}" for q, c in _columns(family)]
         got = replay([_live_bars(spark, sf_dir)], lambda bars: live.indicators_stream(bars, flat, names))
         wanted = [f"{q}_{c}" for q, c in _shown(family)]
-        kind = lambda n: F.col(n).cast("long" if n.endswith("b_since") else "boolean") if "_b_" in n else F.round(F.round(n, 6), PLACES) + 0.0
+        kind = lambda n: F.col(n).cast("long" if n.endswith("b_since") else "boolean") if "_b_" in n else F.round(n, 6) + 0.0
         return got.select("sym", "time", *(kind(n).alias(n) for n in wanted))
 
     return query
@@ -120,8 +117,7 @@ def _oracle(family: str) -> str:
     shown = _shown(family)
     queries = list(dict.fromkeys(q for q, _ in shown))
     joins = [f"({catalogue.ORACLES[q]}) q{k}" + (f" ON q{k}.sym = q0.sym AND q{k}.time = q0.time" if k else "") for k, q in enumerate(queries)]
-    value = lambda q, c: f"q{queries.index(q)}.{c}" if c.startswith("b_") else f"round(q{queries.index(q)}.{c}, {PLACES}) + 0.0"
-    columns = ", ".join(f"{value(q, c)} AS {q}_{c}" for q, c in shown)
+    columns = ", ".join(f"q{queries.index(q)}.{c} AS {q}_{c}" for q, c in shown)
     return f"SELECT q0.sym, q0.time, {columns} FROM " + " JOIN ".join(joins)
 
 
