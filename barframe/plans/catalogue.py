@@ -281,11 +281,54 @@ def _length() -> Column:
 
 _chain("ema2_rma2_atr2", lambda b: recursive.atr2(recursive.rma2(recursive.ema2(b, "x", _length(), "e2"), "x", _length(), "r2"), _length(), "a2"), {"e2": "e", "r2": "r", "a2": "a"},
        ", ".join((_TR, _dynamic("e", "x", "2 / (s.len + 1)", "t"), _dynamic("r", "x", "(1 / s.len)", "e_t"), _dynamic("a", "tr", "(1 / s.len)", "r_t"))), "a_t")
-# state machines: tests compare them with plain loops
-QUERIES["sar"] = lambda spark, sf_dir: rounded(recursive.sar(hourly(spark, sf_dir)).df, "sar")
-QUERIES["supertrend"] = lambda spark, sf_dir: rounded(recursive.supertrend(hourly(spark, sf_dir), 2.0, 7).df, "supertrend", "trend")
-
-QUERIES["percentile_through_gaps"] = lambda spark, sf_dir: rounded(recursive.percentile_through_gaps(recursive.percentile_through_gaps(hourly(spark, sf_dir), "x", 6, 40, "near"), "x", 6, 40, "linear", linear=True).df, "near", "linear")
+# state machines, bar by bar in recursive SQL
+_BEFORE = "OVER (PARTITION BY sym ORDER BY time)"
+_chain(
+    "sar", recursive.sar, {"sar": "sar"},
+    f"""b AS MATERIALIZED (SELECT *, lag(high) {_BEFORE} AS h1, lag(low) {_BEFORE} AS l1, lag(high, 2) {_BEFORE} AS h2, lag(low, 2) {_BEFORE} AS l2, lag(close) {_BEFORE} AS c1 FROM bars),
+    r AS (SELECT sym, time, i, CAST(NULL AS DOUBLE) AS sar, 0.0::DOUBLE AS best, 0.02::DOUBLE AS speed, false AS up FROM b WHERE i = 0
+      UNION ALL SELECT sym, time, i,
+        CASE WHEN i = 1 THEN CASE WHEN close > c1 THEN l1 ELSE h1 END
+             WHEN up <> turn THEN least(CASE WHEN turn THEN least(low, best) ELSE s END, l1, l2) ELSE greatest(CASE WHEN turn THEN greatest(high, best) ELSE s END, h1, h2) END,
+        CASE WHEN i = 1 THEN CASE WHEN close > c1 THEN high ELSE low END WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(best, high) ELSE least(best, low) END,
+        CASE WHEN i = 1 OR turn THEN 0.02 WHEN up AND high > best OR NOT up AND low < best THEN least(speed + 0.02, 0.2) ELSE speed END,
+        CASE WHEN i = 1 THEN close > c1 ELSE up <> turn END
+      FROM (SELECT *, i > 1 AND ((up AND s > low) OR (NOT up AND s < high)) AS turn FROM (SELECT b.*, r.best, r.speed, r.up, r.sar + r.speed * (r.best - r.sar) AS s FROM r JOIN b ON b.sym = r.sym AND b.i = r.i + 1)))""",
+    "r",
+)
+_chain(
+    "supertrend", lambda b: recursive.supertrend(b, 2.0, 7), {"supertrend": "line", "trend": "dir"},
+    f"""{_TR}, {_avg('a', 'tr', 7, 1 / 7, 't', True)}, b AS MATERIALIZED (SELECT *, (high + low) / 2 - 2 * a AS rl, (high + low) / 2 + 2 * a AS ru, lag(close) {_BEFORE} AS c1, lag(a) {_BEFORE} AS a1 FROM a_t),
+    r AS (SELECT sym, time, i, rl AS lower, ru AS upper, 0.0::DOUBLE AS line, 1.0::DOUBLE AS dir FROM b WHERE i = 0
+      UNION ALL SELECT sym, time, i, lower, upper, CASE WHEN lower IS NOT NULL AND upper IS NOT NULL THEN CASE WHEN dir < 0 THEN lower ELSE upper END END, dir
+      FROM (SELECT *, CASE WHEN a1 IS NULL THEN 1.0 WHEN line = u0 THEN CASE WHEN close > upper THEN -1.0 ELSE 1.0 END WHEN close < lower THEN 1.0 ELSE -1.0 END AS dir
+        FROM (SELECT *, CASE WHEN rl > l0 OR c1 < l0 THEN rl WHEN rl IS NOT NULL THEN l0 END AS lower, CASE WHEN ru < u0 OR c1 > u0 THEN ru WHEN ru IS NOT NULL THEN u0 END AS upper
+          FROM (SELECT b.*, r.line, coalesce(r.lower, 0.0) AS l0, coalesce(r.upper, 0.0) AS u0 FROM r JOIN b ON b.sym = r.sym AND b.i = r.i + 1))))""",
+    "r",
+)
+
+
+def _place(k: int) -> str:
+    """SQL: the value at place k (from 0) of a window of sorted values ``v`` with missing places ``g``, each with ``b`` values before it."""
+    gap = f"len(list_filter(g, lambda x, m: x.b + m - 1 = {k})) > 0"
+    return f"CASE WHEN i >= 5 AND NOT ({gap}) THEN v[{k + 1} - len(list_filter(g, lambda x, m: x.b + m - 1 < {k}))] END"
+
+
+_chain(
+    "percentile_through_gaps",
+    lambda b: recursive.percentile_through_gaps(recursive.percentile_through_gaps(b, "x", 6, 40, "near"), "x", 6, 40, "linear", linear=True),
+    {"near": "p2", "linear": "p1 + 0.9 * (p2 - p1)"},
+    f"""b AS MATERIALIZED (SELECT *, lag(x, 6) {_BEFORE} AS old FROM bars),
+    r AS (SELECT sym, time, i, CASE WHEN x IS NULL THEN [] ELSE [x] END AS v, CASE WHEN x IS NULL THEN [{{'b': 0, 'n': i}}] ELSE [] END AS g FROM b WHERE i = 0
+      UNION ALL SELECT sym, time, i, CASE WHEN x IS NULL THEN v ELSE v[1:j] || [x] || v[j + 1:] END,
+        CASE WHEN x IS NULL THEN g || [{{'b': len(v), 'n': i}}] ELSE list_transform(g, lambda p: {{'b': CASE WHEN p.b >= CASE WHEN x <= old THEN j ELSE j + 1 END THEN p.b + 1 ELSE p.b END, 'n': p.n}}) END
+      FROM (SELECT *, len(list_filter(v, lambda e: e < x)) AS j FROM (SELECT sym, time, i, x, old,
+          CASE WHEN old IS NULL THEN v ELSE v[1:k - 1] || v[k + 1:] END AS v,
+          CASE WHEN old IS NULL THEN list_filter(g, lambda p: p.n > i - 6) ELSE list_transform(g, lambda p: {{'b': CASE WHEN p.b >= k THEN p.b - 1 ELSE p.b END, 'n': p.n}}) END AS g
+        FROM (SELECT b.*, r.v, r.g, len(list_filter(r.v, lambda e: e <= b.old)) AS k FROM r JOIN b ON b.sym = r.sym AND b.i = r.i + 1)))),
+    q AS (SELECT *, {_place(2)} AS p2, {_place(1)} AS p1 FROM r)""",
+    "q",
+)
 
 # ---- alignment ------------------------------------------------------------------------------------
 
@@ -461,7 +504,22 @@ def strategy_brackets(spark, sf_dir):
 
 
 QUERIES["strategy_brackets"] = strategy_brackets
-QUERIES["strategy_summary"] = lambda spark, sf_dir: strategy.summary(_cross_events(spark, sf_dir))
+
+
+@register(
+    "strategy_summary",
+    f"""WITH {_CROSS}, tr AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS e FROM f WHERE turn <> 0),
+    done AS (SELECT sym, coalesce(sum(close - e) FILTER (turn = -1 AND close >= e), 0) AS won, coalesce(sum(close - e) FILTER (turn = -1 AND close < e), 0) AS lost,
+          count(*) FILTER (turn = -1) AS closed_trades, count(*) FILTER (turn = -1 AND close > e) AS winning_trades, last(close ORDER BY time) AS entry FROM tr GROUP BY sym),
+    l AS (SELECT sym, last(close ORDER BY time) AS c, CAST(last(held ORDER BY time) AS DOUBLE) AS held FROM f GROUP BY sym),
+    sums AS (SELECT l.sym, coalesce(won, 0) AS won, coalesce(lost, 0) AS lost, held * coalesce(c - entry, 0) AS op, held, coalesce(closed_trades, 0) AS closed_trades, coalesce(winning_trades, 0) AS winning_trades FROM l LEFT JOIN done ON done.sym = l.sym)
+    SELECT sym, round(10000 + won + lost + op, 4) + 0.0 AS equity, round(won + lost, 4) + 0.0 AS net_profit, round(op, 4) + 0.0 AS open_profit, round(won, 4) + 0.0 AS gross_profit, round(lost, 4) + 0.0 AS gross_loss,
+        0.0 AS commission, held AS position_size, false AS locked, closed_trades, winning_trades FROM sums""",
+)
+def strategy_summary(spark, sf_dir):
+    money = ("equity", "net_profit", "open_profit", "gross_profit", "gross_loss", "commission")
+    return strategy.summary(_cross_events(spark, sf_dir)).withColumns({c: F.round(c, 4) + 0.0 for c in money})
+
 
 # ---- outputs ----------------------------------------------------------------------------------------------
 
