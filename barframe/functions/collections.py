@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,6 +169,11 @@ map_keys, map_values, map_from_entries = F.map_keys, F.map_values, F.map_from_en
 # ---- matrices --------------------------------------------------------------------------------
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is named: lambdas are evaluated again for each cell."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matrix(rows: Column | int, cols: Column | int, data: Column) -> Column:
     lit = lambda x: F.lit(x) if isinstance(x, int) else x
     return F.struct(lit(rows).cast("int").alias("rows"), lit(cols).cast("int").alias("cols"), data.alias("data"))
@@ -211,8 +218,12 @@ def matrix_count(m: Column) -> Column:
 
 
 def transpose(m: Column) -> Column:
-    places = F.when(F.size(m["data"]) > 0, F.sequence(F.lit(0), F.size(m["data"]) - 1)).otherwise(F.array().cast("array<int>"))
-    return matrix(m["cols"], m["rows"], F.transform(places, lambda k: F.element_at(m["data"], ((k % m["rows"]) * m["cols"] + F.floor(k / m["rows"]) + 1).cast("int"))))
+
+    def turned(m: Column) -> Column:
+        place = lambda k: (k % m["rows"]) * m["cols"] + F.floor(k / m["rows"]) + 1
+        return matrix(m["cols"], m["rows"], F.transform(m["data"], lambda _, k: F.element_at(m["data"], place(k).cast("int"))))
+
+    return _let(m, turned)
 
 
 def reshape(m: Column, rows: int, cols: int) -> Column:
@@ -239,15 +250,21 @@ def matrix_scale(m: Column, factor: float) -> Column:
 
 def matrix_mult(a: Column, b: Column) -> Column:
     """The product; a missing term makes its cell missing."""
-    cells = F.when(a["rows"] * b["cols"] > 0, F.sequence(F.lit(0), a["rows"] * b["cols"] - 1)).otherwise(F.array().cast("array<int>"))
 
-    def cell(k: Column) -> Column:
-        row = F.slice(a["data"], (F.floor(k / b["cols"]) * a["cols"] + 1).cast("int"), a["cols"])
-        col = F.filter(b["data"], lambda _, p: p % b["cols"] == k % b["cols"])
+    def dot(row: Column, col: Column) -> Column:
         return F.aggregate(F.zip_with(row, col, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    fits = a["cols"] == b["rows"]
-    return matrix(a["rows"], b["cols"], F.when(fits, F.transform(cells, cell)).otherwise(F.raise_error(F.lit("shapes do not fit")).cast("array<double>")))
+    def rows_of(m: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), m["rows"] - 1), lambda i: F.slice(m["data"], i * m["cols"] + 1, m["cols"]))
+        return F.when(m["rows"] > 0, each).otherwise(F.array().cast("array<array<double>>"))
+
+    def product(p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        # the columns of b are the rows of its transpose
+        cells = _let(rows_of(y), lambda cols: F.flatten(F.transform(rows_of(x), lambda r: F.transform(cols, lambda c: dot(r, c)))))
+        return F.when(x["cols"] == y["cols"], matrix(x["rows"], y["rows"], cells)).otherwise(F.raise_error(F.lit("shapes do not fit")).cast("struct<rows:int,cols:int,data:array<double>>"))
+
+    return _let(F.struct(a.alias("a"), transpose(b).alias("b")), product)
 
 
 def matrix_sum(m: Column) -> Column:

@@ -94,15 +94,17 @@ def object_events(bf: BarFrame, *rules: dict) -> DataFrame:
 def objects(events: DataFrame, keep_last: int | None = None) -> DataFrame:
     """Living objects from the log: the last value of each property since the object's last 'new'; ``keep_last`` by symbol and kind.
 
-    Properties are settled one by one, so an object with many changes is never one row of them.
+    Properties are settled one by one, with a combine before the shuffle, so an object with many changes is never one row of them.
     """
-    born = events.where("op = 'new'").groupBy("sym", "id").agg(F.max(F.struct("time", "seq")).alias("born"), F.max_by("kind", F.struct("time", "seq")).alias("kind"))
-    dead = events.where("op = 'delete'").groupBy("sym", "id").agg(F.max(F.struct("time", "seq")).alias("dead"))
-    live = born.join(dead, ["sym", "id"], "left").where("dead IS NULL OR dead < born").select("sym", "id", "kind", "born")
-    sets = events.where("op IN ('new', 'set')").join(live.select("sym", "id", "born"), ["sym", "id"]).where(F.struct("time", "seq") >= F.col("born"))
-    props = sets.select("sym", "id", "time", "seq", F.explode("props").alias("k", "v")).groupBy("sym", "id", "k").agg(F.max_by("v", F.struct("time", "seq")).alias("v"))
-    packed = props.groupBy("sym", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))  # one entry a property
-    out = live.join(packed, ["sym", "id"], "left").select("sym", "id", "kind", F.col("born.time").alias("time"), "props")
+    at = F.struct("time", "seq")
+    new, sets = F.when(F.col("op") == "new", at), F.when(F.col("op").isin("new", "set"), at)
+    rows = events.select("sym", "id", "kind", new.alias("new"), sets.alias("at"), F.when(F.col("op") == "delete", at).alias("gone"), F.explode_outer("props").alias("k", "v"))
+    per = rows.groupBy("sym", "id", "k").agg(F.max("at").alias("at"), F.max_by("v", "at").alias("v"), F.max("new").alias("new"), F.max_by("kind", "new").alias("kind"), F.max("gone").alias("gone"))
+    all_of = F.collect_list(F.when(F.col("k").isNotNull() & F.col("at").isNotNull(), F.struct("k", "v", "at")))  # one entry a property
+    each = per.groupBy("sym", "id").agg(F.max("new").alias("born"), F.max_by("kind", "new").alias("kind"), F.max("gone").alias("gone"), all_of.alias("all"))
+    live = each.where("born IS NOT NULL AND (gone IS NULL OR gone < born)")
+    own = F.transform(F.filter("all", lambda p: p["at"] >= F.col("born")), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+    out = live.select("sym", "id", "kind", F.col("born.time").alias("time"), F.when(F.size(own) > 0, F.map_from_entries(F.array_sort(own))).alias("props"))
     if keep_last is None:
         return out
     rank = F.row_number().over(Window.partitionBy("sym", "kind").orderBy(F.desc("time"), F.desc("id")))

@@ -132,18 +132,16 @@ def _full(bf: BarFrame, src: Src, n: int) -> tuple[BarFrame, Column, Column]:
     return bf, x, ready
 
 
-def _weighted(bf: BarFrame, x: Column, weights: list[float]) -> Column:
-    """Sum of weights[i] * x[i bars back] over one frame; a NULL inside makes it NULL."""
-    w = bf.window()
-    total = None
-    for i, c in enumerate(weights):
-        term = F.lit(float(c)) * (F.lag(x, i).over(w) if i else x)
-        total = term if total is None else total + term
-    return total
+def _weighted(bf: BarFrame, x: Column, weights: list[float]) -> tuple[BarFrame, Column]:
+    """Sum of weights[i] * x[i bars back] over one frame, whatever its length; NULL unless all bars are there."""
+    n = len(weights)
+    oldest_first = F.lit([float(c) for c in reversed(weights)])
+    bf, values = bf.bind(F.when(F.count(x).over(bf.last_rows(n)) == n, _window_array(bf, x, n)), "array<double>")
+    return bf, F.aggregate(F.zip_with(values, oldest_first, lambda v, c: v * c), F.lit(0.0), lambda s, v: s + v)
 
 
 def swma(bf: BarFrame, src: Src, out: str) -> BarFrame:
-    return bf.add(out, lambda f: (lambda g, x: (g, _weighted(g, x, [1, 2, 2, 1]) / 6.0))(*f.bind(src)))
+    return bf.add(out, lambda f: (lambda g, c: (g, c / 6.0))(*_weighted(*f.bind(src), [1, 2, 2, 1])))
 
 
 def wma(bf: BarFrame, src: Src, n: int, out: str) -> BarFrame:
@@ -153,12 +151,9 @@ def wma(bf: BarFrame, src: Src, n: int, out: str) -> BarFrame:
     def step(f):
         f, x = f.bind(src)
         f, filled = f.bind(F.last(x, ignorenulls=True).over(f.so_far()))
-        f, i = f.bind(f.index())
-        rows = f.last_rows(n)
-        # sum of (i - (now - n)) * x over the window: one frame, whatever n
-        moment, plain = F.sum(i * filled).over(rows), F.sum(filled).over(rows)
+        f, total = _bound(f, lambda g: _weighted(g, filled, list(range(n, 0, -1))))
         ready = x.isNotNull() & (F.count(x).over(f.so_far()) >= n)
-        return f, F.when(ready, (moment - (i - n) * plain) / (n * (n + 1) / 2))
+        return f, F.when(ready, total / (n * (n + 1) / 2))
 
     return bf.add(out, step)
 
@@ -179,7 +174,7 @@ def alma(bf: BarFrame, src: Src, n: int, out: str, offset: float = 0.85, sigma:
     peak, width = offset * (n - 1), n / sigma
     raw = [math.exp(-((i - peak) ** 2) / (2 * width * width)) for i in range(n)]
     weights = [w / sum(raw) for w in reversed(raw)]
-    return bf.add(out, lambda f: (lambda g, x: (g, _weighted(g, x, weights)))(*f.bind(src)))
+    return bf.add(out, lambda f: _weighted(*f.bind(src), weights))
 
 
 def linreg(bf: BarFrame, src: Src, n: int, out: str, offset: int = 0) -> BarFrame:

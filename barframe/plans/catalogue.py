@@ -452,9 +452,14 @@ _bars("map_functions", _maps, {"got": "high", "none": "-1.0", "b_n": "3::BIGINT"
 
 
 def _matrices(b: BarFrame) -> BarFrame:
-    m = coll.matrix_from_rows(F.array("open", "high"), F.array("low", "close"))
-    product = coll.matrix_mult(m, coll.transpose(m))
-    return b.with_columns(p00=coll.matrix_get(product, 0, 0), p01=coll.matrix_get(product, 0, 1), p11=coll.matrix_get(product, -1, -1), total=coll.matrix_sum(m), avg=coll.matrix_avg(coll.matrix_add(m, 1.0)), big=coll.matrix_max(m), col=coll.total(coll.matrix_col(m, 1)), row=coll.total(coll.matrix_row(m, 1)))
+    b = b.with_columns(m=coll.matrix_from_rows(F.array("open", "high"), F.array("low", "close")))
+    m = F.col("m")
+    b = b.with_columns(product=coll.matrix_mult(m, coll.transpose(m)))
+    cells = {f"p{i}{j}": coll.matrix_get(F.col("product"), *at) for i, j, at in ((0, 0, (0, 0)), (0, 1, (0, 1)), (1, 1, (-1, -1)))}
+    return b.with_columns(
+        **cells, total=coll.matrix_sum(m), avg=coll.matrix_avg(coll.matrix_add(m, 1.0)), big=coll.matrix_max(m),
+        col=coll.total(coll.matrix_col(m, 1)), row=coll.total(coll.matrix_row(m, 1)),
+    )
 
 
 _bars("matrix_functions", _matrices, {"p00": "open * open + high * high", "p01": "open * low + high * close", "p11": "low * low + close * close", "total": "open + high + low + close", "avg": "(open + high + low + close) / 4 + 1", "big": "greatest(open, high, low, close)", "col": "high + close", "row": "low + close"})
