@@ -250,8 +250,15 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _WHITE = _flags((0x00, 0x20), (0x7F, 0xC2))
 
 
+#: Pieces that an encoder remembers; further ones are encoded anew in each batch.
+REMEMBERED = 1 << 20
+
+
 class PieceEncoder:
-    """Byte-level BPE ids of texts: of each batch the distinct pieces are encoded once, and spread by index."""
+    """Byte-level BPE ids of texts: of each batch the distinct pieces are encoded once, and spread by index.
+
+    Pieces of earlier batches are remembered, by two hashes, up to REMEMBERED of them.
+    """
 
     def __init__(self, path: str):
         import os
@@ -266,6 +273,22 @@ class PieceEncoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
+        self.known = np.zeros((2, 0), np.uint64)  # sorted by the first hash
+        self.places, self.pool = np.zeros((2, 0), np.int64), np.zeros(0, f"<u{self.width}")  # (start, number) of each one's ids
+
+    def _recall(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each piece is remembered, its place)"""
+        if not self.known.shape[1]:
+            return np.zeros(len(one), bool), np.zeros(len(one), np.int64)
+        at = np.minimum(np.searchsorted(self.known[0], one), self.known.shape[1] - 1)
+        return (self.known[0, at] == one) & (self.known[1, at] == two), at
+
+    def _remember(self, keys: np.ndarray, places: np.ndarray, pool: np.ndarray) -> None:
+        if self.known.shape[1] + keys.shape[1] > REMEMBERED:
+            return
+        keys, places = np.concatenate([self.known, keys], 1), np.concatenate([self.places, places], 1)
+        _, order = np.unique(keys[0], return_index=True)  # of two pieces with one first hash the earlier stays
+        self.known, self.places, self.pool = keys[:, order], places[:, order], pool
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -292,18 +315,26 @@ class PieceEncoder:
         _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
         if (two != two[first][inverse]).any():  # two pieces share a hash
             return self._plain(texts(range(len(out))))
-        pieces = [raw[a:b].decode() for a, b in zip((starts[first] - offsets[0]).tolist(), (ends[first] - offsets[0]).tolist(), strict=True)]
+        one, two = one[first], two[first]
+        hit, place = self._recall(one, two)
+        fresh = np.flatnonzero(~hit)
+        cuts = zip((starts[first[fresh]] - offsets[0]).tolist(), (ends[first[fresh]] - offsets[0]).tolist(), strict=True)
+        pieces = [raw[a:b].decode() for a, b in cuts]
         # words with their space keep apart when they stand in a row, so they are encoded as one text
-        word = np.array([p[0] == " " and p[1:].isalpha() for p in pieces])
+        word = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
         made = [self._row([pieces[k] for k in group]) for group in np.array_split(np.flatnonzero(word), word.sum() // 4096 + 1)]
         rest = self._plain([pieces[k] for k in np.flatnonzero(~word)])
-        sizes = np.empty(len(pieces), np.int64)
-        sizes[word] = np.concatenate([n for _, n in made])
-        sizes[~word] = [len(m) for m in rest]
-        pool = np.concatenate([ids for ids, _ in made] + rest)
-        at = np.empty(len(pieces), np.int64)
+        number = np.empty(len(pieces), np.int64)
+        number[word] = np.concatenate([n for _, n in made])
+        number[~word] = [len(m) for m in rest]
+        begin = np.empty(len(pieces), np.int64)
         order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
-        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        begin[order] = len(self.pool) + np.cumsum(number[order]) - number[order]
+        pool = np.concatenate([self.pool, *(ids for ids, _ in made), *rest])
+        at, sizes = np.empty((2, len(one)), np.int64)
+        at[hit], sizes[hit] = self.places[:, place[hit]]
+        at[fresh], sizes[fresh] = begin, number
+        self._remember(np.stack([one[fresh], two[fresh]]), np.stack([begin, number]), pool)
         lengths = sizes[inverse]
         edges = np.concatenate([[0], np.cumsum(lengths)])
         ids = pool[np.arange(edges[-1]) - np.repeat(edges[:-1] - at[inverse], lengths)]

@@ -299,6 +299,20 @@ def test_token_tables_round_trip_and_lookup(spark, tmp_path):
         at += len(ids[i])
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 20])
+def test_remembered_pieces_change_nothing(monkeypatch, most):
+    tok = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(sstable, "REMEMBERED", most)
+    plain, own, rng = tok.Tokenizer.from_file(path), sstable.PieceEncoder(path), random.Random(11)
+    parts = [" the", " cat", "é", "\n", "  ", " 12", "ab", ".", " über", "😀", "'s", "\t", ",", " x"]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        got = own.encode(*tk.utf8(pa.array(texts)))
+        assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.known.shape[1] <= most
+
+
 def test_token_tables_hold_repeats_and_nulls(spark, odd, none, tmp_path):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     made = sstable.write_tables(odd, f"file://{tmp_path}/o", path, 2, 2)
