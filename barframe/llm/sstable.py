@@ -37,7 +37,7 @@ from . import textkernel as tk
 MAGIC = b"BFSSTAB1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index offset, size; Bloom offset, size; documents, tokens; width; magic
 #: Bytes of text whose pieces are encoded together.
-PIECE_BYTES = 1 << 24
+PIECE_BYTES = 1 << 23
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 17, 16, 10, 7
 MANIFEST = "shard int, uri string, n_docs long, n_tokens long, n_bytes long"
 
