@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .bitmap import may_be_in
 from .storage import whole_row
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -228,8 +229,10 @@ def redact(docs: DataFrame) -> DataFrame:
         spans = found.groupBy("text_key").agg(F.first(F.expr("array_sort(concat(spans, learnt))")).alias("spans"))
         spans = storage.materialize(docs.sparkSession, spans, "pii-spans")
         kept.append(spans)
-    rows = docs.select(whole_row(docs).alias("row"), F.sha2("text", 256).alias("key"))
-    joined = rows.join(spans, F.col("key") == F.col("text_key"), "left").select("row", "spans")
+    rows = may_be_in(docs.select(whole_row(docs).alias("doc"), F.sha2("text", 256).alias("key")), "key", spans.select("text_key"))
+    # most texts surely hold nothing, and stay where they are
+    sure = rows.where("NOT hit").select("row.doc.*")
+    joined = rows.where("hit").join(spans, F.col("row.key") == F.col("text_key"), "left").select("row.doc", "spans")
     kinds = [f"[{k.upper()}]" for k in KINDS]
     schema, names = docs.schema, [c.lower() for c in docs.columns]
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -254,7 +257,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[count] = pa.array(lengths, cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    return joined.mapInArrow(clean, schema)
+    return sure.union(joined.mapInArrow(clean, schema))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
