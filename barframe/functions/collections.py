@@ -166,6 +166,11 @@ def map_size(m: Column) -> Column:
 
 map_keys, map_values, map_from_entries = F.map_keys, F.map_values, F.map_from_entries
 
+def array_of_objects(size: int = 0, initial: str | None = None) -> Column:
+    """An array of drawings, by their identifiers: lines, labels or boxes."""
+    return F.array_repeat(F.lit(initial).cast("string"), size)
+
+
 # ---- matrices --------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import BarFrame, truthy
@@ -145,6 +145,11 @@ class Report:
         for name, df in self.tables.items():
             df.write.mode("overwrite").format(kind).save(f"{path.rstrip('/')}/{name}")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, names: Sequence[str], kind: str = "parquet") -> Report:
+        """What ``write`` wrote."""
+        return cls().add(**{n: spark.read.format(kind).load(f"{path.rstrip('/')}/{n}") for n in names})
+
     def to_json(self, name: str) -> DataFrame:
         return self.tables[name].select(F.to_json(F.struct("*")).alias("json"))
 

@@ -439,6 +439,28 @@ class ValueWhen:
         return self.hits[0] if len(self.hits) == self.hits.maxlen else None
 
 
+class Cell:
+    """A named value of a strategy and what it was at the close of earlier bars."""
+
+    def __init__(self, value: object = None, keep: int = 500):
+        self.value, self.past = value, deque(maxlen=keep)
+
+    def commit(self) -> None:
+        """The bar closes: its value becomes the first of the past."""
+        self.past.append(self.value)
+
+    def ago(self, k: int):
+        """The value now (0) or k closed bars back; None before the first."""
+        if k < 0:
+            raise IndexError("history reaches back zero or more bars")
+        return self.value if not k else self.past[-k] if k <= len(self.past) else None
+
+    def push(self, x):
+        self.value = x
+        self.commit()
+        return x
+
+
 # ---- running and anchored ----------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import collections as coll
 from ..functions import scalar as sc
 from ..functions import times
-from ..operators import align, output, recursive, strategy, ta
+from ..operators import align, context, output, recursive, strategy, ta
 from ..operators.frame import BarFrame, fixnan, nz, switch
 from ..sources.bars import from_ticks
 
@@ -560,3 +560,26 @@ def drawing_objects(spark, sf_dir):
     name, i = F.concat(F.lit("box"), F.floor(F.col("i") / 24).cast("string")), F.col("i")
     log = output.object_events(bf, {"op": "new", "kind": "box", "id": name, "when": i % 24 == 0, "props": {"top": F.col("high")}}, {"op": "set", "id": name, "when": i % 24 == 5, "props": {"top": F.col("high")}}, {"op": "delete", "id": name, "when": (i % 24 == 9) & (F.floor(i / 24) % 2 == 1)})
     return output.objects(log).select("sym", "id", "time", (F.round(F.col("props")["top"].cast("double"), 6) + 0.0).alias("top"))
+
+
+# ---- surroundings -----------------------------------------------------------------------------------------
+
+_SYMBOLS = {"view": "WEB:VIEW", "click": {"ticker": "CLICK", "mintick": 0.25}, "error": None}
+
+
+@register("symbol_facts", f"""WITH {BARS_SQL} SELECT sym, time, CASE sym WHEN 'view' THEN 'WEB:VIEW' WHEN 'click' THEN 'CLICK' ELSE '' END AS tickerid,
+    CASE sym WHEN 'view' THEN 'WEB' ELSE '' END AS prefix, CASE sym WHEN 'click' THEN 0.25 ELSE 1.0 END AS mintick FROM bars""")
+def symbol_facts(spark, sf_dir):
+    facts = ("tickerid", "prefix", "mintick")
+    return context.with_symbols(hourly(spark, sf_dir), context.symbols(spark, _SYMBOLS), *facts).df.select("sym", "time", *facts)
+
+
+@register("session_state", f"WITH {BARS_SQL} SELECT sym, time, true AS ismarket, i = 0 AS isfirstbar, i = count(*) OVER (PARTITION BY sym) - 1 AS islastbar FROM bars")
+def session_state(spark, sf_dir):
+    return context.session_state(hourly(spark, sf_dir)).df.select("sym", "time", "ismarket", "isfirstbar", "islastbar")
+
+
+@register("request_report", f"""WITH {_DAYS_SQL}, w AS (SELECT sym, count(*) AS n, min(time) + {WEEK - DAY} AS seen, max(time) + {WEEK} AS through FROM weeks GROUP BY sym)
+    SELECT d.sym, count(*) AS chart_bars, any_value(w.n) AS requested_bars, count(*) FILTER (d.time < w.seen) AS without, any_value(w.through) AS through FROM days d JOIN w ON w.sym = d.sym GROUP BY d.sym""")
+def request_report(spark, sf_dir):
+    return context.request_report(_orders(spark, sf_dir, "day"), _orders(spark, sf_dir, "week"), DAY, WEEK)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import copy
 import warnings
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +31,8 @@ class Session:
 
     def __init__(self, step: object, last: int | None = None):
         self.step, self.last = step, last
+        #: what previews of one bar keep for each other; a closed bar clears it
+        self.intrabar: dict = {}
 
     def late(self, time: int) -> bool:
         return self.last is not None and time <= self.last
@@ -41,9 +43,13 @@ class Session:
             raise ValueError(f"time {time} doesn't come after {self.last}")
         moved = copy.deepcopy(self.step)
         out = advance(moved)
-        self.step, self.last = moved, time
+        self.step, self.last, self.intrabar = moved, time, {}
         return out
 
+    def seed(self, bars: Iterable[tuple], until: int | None = None) -> list:
+        """Close bars of history, (time, inputs...) in order, up to time ``until``."""
+        return [self.close(t, lambda s, x=x: s.push(*x)) for t, *x in bars if until is None or t <= until]
+
     def preview(self, advance: Callable[[object], object]) -> object:
         return advance(copy.deepcopy(self.step))
 
