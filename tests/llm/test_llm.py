@@ -262,6 +262,17 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, stage):
     assert all(r[name] == f"{k}:{r.doc_id}" for r in rows for k, name in enumerate(CLASHES))
 
 
+@pytest.mark.parametrize("stage", [quality.quality_stage, neardup.near_dedup_stage, pii.pii_stage, mixing.mixing_stage, packing.packing_stage])
+def test_stages_on_empty_and_odd_tables(spark, odd, none, tmp_path, stage):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    got = stage(spark, odd, str(tmp_path)).collect()
+    if stage is quality.quality_stage:
+        assert got == []  # none has twenty words without repeats
+    elif stage is not packing.packing_stage:
+        assert {r.doc_id for r in got} >= {None, *range(10)}
+
+
 def test_min_max_slots_are_unbiased():
     rng = np.random.default_rng(3)
     a = tk.mix(rng.integers(0, 2**63, 400).astype(np.uint64))
