@@ -12,6 +12,7 @@ import math
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 
 from .frame import positive
 from .recursive import Value, true_range
@@ -575,6 +576,7 @@ class PivotLevels:
         return _levels(self.kind, use | {"n": p["n"]})
 
 
+@lru_cache
 def _formulas(kind: str) -> list[Callable | None]:
     # the fixed formulas of ta.LEVELS are expressions over single letters
     return [None if s is None else eval(f"lambda o, h, l, c, n, r, q, x, p: {s}") for s in LEVELS[kind]]  # noqa: S307

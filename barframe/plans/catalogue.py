@@ -104,9 +104,12 @@ register("bars_lineitem_day", """SELECT l_returnflag AS sym, CAST(epoch(date_tru
         FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY ALL""")(_ticks("lineitem", "l_returnflag", "l_shipdate", "l_extendedprice", ["l_orderkey", "l_linenumber"], "day", "l_quantity"))
 
 
-@register("sma_cross_signals", f"""WITH {BARS_SQL}, {_obs('close', 5, AVG, 'm')},
+@register(
+    "sma_cross_signals",
+    f"""WITH {BARS_SQL}, {_obs('close', 5, AVG, 'm')},
     p AS (SELECT *, lag(close) OVER (PARTITION BY sym, (close IS NOT NULL AND m IS NOT NULL) ORDER BY time) AS c0, lag(m) OVER (PARTITION BY sym, (close IS NOT NULL AND m IS NOT NULL) ORDER BY time) AS m0 FROM m_t)
-    SELECT sym, time, close, CASE WHEN close > m THEN 'buy' ELSE 'sell' END AS signal FROM p WHERE (c0 <= m0 AND close > m) OR (c0 >= m0 AND close < m)""")
+    SELECT sym, time, close, CASE WHEN close > m THEN 'buy' ELSE 'sell' END AS signal FROM p WHERE (c0 <= m0 AND close > m) OR (c0 >= m0 AND close < m)""",
+)
 def sma_cross_signals(spark, sf_dir):
     bf = ta.sma(hourly(spark, sf_dir), "close", 5, "m")
     bf = ta.crossunder(ta.crossover(bf, "close", "m", "up"), "close", "m", "down")
@@ -119,8 +122,16 @@ _bars("bar_state", lambda b: (lambda s: s.with_columns(b_index=F.col("bar_index"
 _bars("time_close", lambda b: b.time_closes().with_columns(b_close=F.col("time_close")), {"b_close": "coalesce(nxt, time + least_step)"},
       f"s AS (SELECT *, lead(time) OVER (PARTITION BY sym ORDER BY time) AS nxt FROM bars), s2 AS (SELECT *, min(nxt - time) OVER (PARTITION BY sym) AS least_step FROM s)", "s2")
 _bars("history_ref", lambda b: b.history("x", 3, "x3").history("close", 1, "c1"), {"x3": "lag(x, 3) OVER (PARTITION BY sym ORDER BY time)", "c1": "lag(close) OVER (PARTITION BY sym ORDER BY time)"})
-_bars("nz_fixnan", lambda b: fixnan(b, "x", "filled").with_columns(zero=nz(F.col("x")), minus=nz(F.col("x"), -1.0)), {"filled": f"last_value(x IGNORE NULLS) {_w()}", "zero": "coalesce(x, 0)", "minus": "coalesce(x, -1)"})
-_bars("when_switch", lambda b: b.with_columns(pick=switch((F.col("x") > F.col("open"), F.lit(1.0)), (F.col("x") < F.col("open"), F.lit(-1.0)), default=0.0)), {"pick": "CASE WHEN x > open THEN 1.0 WHEN x < open THEN -1.0 ELSE 0.0 END"})
+_bars(
+    "nz_fixnan",
+    lambda b: fixnan(b, "x", "filled").with_columns(zero=nz(F.col("x")), minus=nz(F.col("x"), -1.0)),
+    {"filled": f"last_value(x IGNORE NULLS) {_w()}", "zero": "coalesce(x, 0)", "minus": "coalesce(x, -1)"},
+)
+_bars(
+    "when_switch",
+    lambda b: b.with_columns(pick=switch((F.col("x") > F.col("open"), F.lit(1.0)), (F.col("x") < F.col("open"), F.lit(-1.0)), default=0.0)),
+    {"pick": "CASE WHEN x > open THEN 1.0 WHEN x < open THEN -1.0 ELSE 0.0 END"},
+)
 
 # ---- observation windows -------------------------------------------------------------------
 
@@ -174,42 +185,110 @@ def _alma_weights(n: int) -> list[float]:
 _bars("alma", lambda b: ta.alma(b, "close", 9, "v"), {"v": _dot("close", _alma_weights(9))})
 _bars("hma", lambda b: ta.hma(b, "close", 9, "v"), {"v": f"CASE WHEN i >= 10 THEN ({_dot('q', [3, 2, 1])}) / 6.0 END"},
       f"q AS (SELECT *, 2 * ({_dot('close', [4, 3, 2, 1])}) / 10.0 - ({_dot('close', [9, 8, 7, 6, 5, 4, 3, 2, 1])}) / 45.0 AS q FROM bars)", "q")
-_bars("linreg", lambda b: ta.linreg(ta.linreg(b, "x", 5, "gap"), "close", 8, "back", 2),
-      {"gap": f"CASE WHEN count(x) {_w(5)} = 5 THEN regr_intercept(x, i) {_w(5)} + regr_slope(x, i) {_w(5)} * i END", "back": f"CASE WHEN i >= 7 THEN regr_intercept(close, i) {_w(8)} + regr_slope(close, i) {_w(8)} * (i - 2) END"})
+_bars(
+    "linreg",
+    lambda b: ta.linreg(ta.linreg(b, "x", 5, "gap"), "close", 8, "back", 2),
+    {
+        "gap": f"CASE WHEN count(x) {_w(5)} = 5 THEN regr_intercept(x, i) {_w(5)} + regr_slope(x, i) {_w(5)} * i END",
+        "back": f"CASE WHEN i >= 7 THEN regr_intercept(close, i) {_w(8)} + regr_slope(close, i) {_w(8)} * (i - 2) END",
+    },
+)
 _bars("correlation", lambda b: ta.correlation(b, "close", "volume", 8, "v"),
       {"v": f"CASE WHEN i >= 7 THEN CASE WHEN var_pop(close) {_w(8)} = 0 OR max(volume) {_w(8)} = min(volume) {_w(8)} THEN 0 ELSE corr(close, volume) {_w(8)} END END"})
 _LIST = "l AS (SELECT *, list({x}) {w} AS ls, avg({x}) {w} AS mean, count({x}) {w} AS n FROM bars)"
 _bars("dev", lambda b: ta.dev(b, "x", 5, "v"), {"v": "CASE WHEN n = 5 THEN list_sum(list_transform(ls, lambda e: abs(e - mean))) / 5 END"}, _LIST.format(x="x", w=_w(5)), "l")
-_bars("cci", lambda b: ta.cci(b, "close", 7), {"cci": "CASE WHEN n = 7 THEN CASE WHEN max(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) = min(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) THEN 0 ELSE (close - mean) / (0.015 * list_sum(list_transform(ls, lambda e: abs(e - mean))) / 7) END END"}, _LIST.format(x="close", w=_w(7)), "l")
+_bars(
+    "cci",
+    lambda b: ta.cci(b, "close", 7),
+    {
+        "cci": "CASE WHEN n = 7 THEN CASE WHEN max(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) = min(close) OVER (PARTITION BY sym ORDER BY time ROWS 6 PRECEDING) THEN 0 ELSE (close - mean) / (0.015 * list_sum(list_transform(ls, lambda e: abs(e - mean))) / 7) END END",
+    },
+    _LIST.format(x="close", w=_w(7)),
+    "l",
+)
 _bars("percentile_nearest", lambda b: ta.percentile_nearest_rank(b, "x", 6, 40, "v"), {"v": "CASE WHEN n = 6 THEN list_sort(ls)[3] END"}, _LIST.format(x="x", w=_w(6)), "l")
-_bars("percentile_hazen", lambda b: ta.percentile_linear_interpolation(b, "x", 6, 40, "v"), {"v": "CASE WHEN n = 6 THEN list_sort(ls)[2] + 0.9 * (list_sort(ls)[3] - list_sort(ls)[2]) END"}, _LIST.format(x="x", w=_w(6)), "l")
+_bars(
+    "percentile_hazen",
+    lambda b: ta.percentile_linear_interpolation(b, "x", 6, 40, "v"),
+    {"v": "CASE WHEN n = 6 THEN list_sort(ls)[2] + 0.9 * (list_sort(ls)[3] - list_sort(ls)[2]) END"},
+    _LIST.format(x="x", w=_w(6)),
+    "l",
+)
 
 # ---- lags, transitions, anchors ----------------------------------------------------------------
 
-_bars("change_mom_roc", lambda b: ta.roc(ta.mom(ta.change(b, "x", 1), "close", 4, "mom"), "x", 2), {"change": "x - " + _LAG.format("x", 1), "mom": "close - " + _LAG.format("close", 4), "roc": f"100 * (x - {_LAG.format('x', 2)}) / nullif({_LAG.format('x', 2)}, 0)"})
+_bars(
+    "change_mom_roc",
+    lambda b: ta.roc(ta.mom(ta.change(b, "x", 1), "close", 4, "mom"), "x", 2),
+    {
+        "change": "x - " + _LAG.format("x", 1),
+        "mom": "close - " + _LAG.format("close", 4),
+        "roc": f"100 * (x - {_LAG.format('x', 2)}) / nullif({_LAG.format('x', 2)}, 0)",
+    },
+)
 _PAIR = "p AS (SELECT *, lag(x) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS x0, lag(open) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS o0 FROM bars)"
-_bars("crosses", lambda b: ta.cross(ta.crossunder(ta.crossover(b, "x", "open", "b_over"), "x", "open", "b_under"), "x", "open", "b_cross"),
-      {"b_over": "coalesce(x IS NOT NULL AND x0 <= o0 AND x > open, false)", "b_under": "coalesce(x IS NOT NULL AND x0 >= o0 AND x < open, false)", "b_cross": "coalesce(x IS NOT NULL AND ((x0 < o0 AND x > open) OR (x0 > o0 AND x < open)), false)"}, _PAIR, "p")
-_bars("rising_falling", lambda b: ta.falling(ta.rising(b, "x", 2, "b_up"), "x", 2, "b_down"),
-      {"b_up": f"coalesce(last_value(u IGNORE NULLS) {_w()}, false)", "b_down": f"coalesce(last_value(d IGNORE NULLS) {_w()}, false)"},
-      _PAIR + ", q AS (SELECT *, lag(x0) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS x1 FROM p), q2 AS (SELECT *, CASE WHEN x IS NOT NULL THEN coalesce(x > x0 AND x0 > x1, false) END AS u, CASE WHEN x IS NOT NULL THEN coalesce(x < x0 AND x0 < x1, false) END AS d FROM q)", "q2")
+_bars(
+    "crosses",
+    lambda b: ta.cross(ta.crossunder(ta.crossover(b, "x", "open", "b_over"), "x", "open", "b_under"), "x", "open", "b_cross"),
+    {
+        "b_over": "coalesce(x IS NOT NULL AND x0 <= o0 AND x > open, false)",
+        "b_under": "coalesce(x IS NOT NULL AND x0 >= o0 AND x < open, false)",
+        "b_cross": "coalesce(x IS NOT NULL AND ((x0 < o0 AND x > open) OR (x0 > o0 AND x < open)), false)",
+    },
+    _PAIR,
+    "p",
+)
+_bars(
+    "rising_falling",
+    lambda b: ta.falling(ta.rising(b, "x", 2, "b_up"), "x", 2, "b_down"),
+    {
+        "b_up": f"coalesce(last_value(u IGNORE NULLS) {_w()}, false)",
+        "b_down": f"coalesce(last_value(d IGNORE NULLS) {_w()}, false)",
+    },
+    _PAIR + ", q AS (SELECT *, lag(x0) OVER (PARTITION BY sym, (x IS NOT NULL) ORDER BY time) AS x1 FROM p), q2 AS (SELECT *, CASE WHEN x IS NOT NULL THEN coalesce(x > x0 AND x0 > x1, false) END AS u, CASE WHEN x IS NOT NULL THEN coalesce(x < x0 AND x0 < x1, false) END AS d FROM q)",
+    "q2",
+)
 _bars("barssince", lambda b: ta.barssince(b, F.col("x") > F.col("open"), "b_since"), {"b_since": f"i - last_value(CASE WHEN x > open THEN i END IGNORE NULLS) {_w()}"})
 _bars("valuewhen", lambda b: ta.valuewhen(b, F.col("close") > F.col("open"), "high", 1, "v"), {"v": f"last_value(hv IGNORE NULLS) {_w()}"},
       "c AS (SELECT *, close > open AS hit FROM bars), c2 AS (SELECT *, CASE WHEN hit THEN lag(high) OVER (PARTITION BY sym, hit ORDER BY time) END AS hv FROM c)", "c2")
 _PIV = _SEG + """, pv AS (SELECT *, max(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS lh, max(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS rh,
     min(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS ll, min(x) OVER (PARTITION BY sym, seg, (x IS NULL) ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS rl FROM g)"""
-_bars("pivots", lambda b: ta.pivotlow(ta.pivothigh(b, "x", 2, 1, "ph"), "x", 2, 1, "pl"),
-      {"ph": "lag(CASE WHEN i >= 2 AND coalesce(x >= lh, true) AND coalesce(x > rh, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)", "pl": "lag(CASE WHEN i >= 2 AND coalesce(x <= ll, true) AND coalesce(x < rl, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)"}, _PIV, "pv")
+_bars(
+    "pivots",
+    lambda b: ta.pivotlow(ta.pivothigh(b, "x", 2, 1, "ph"), "x", 2, 1, "pl"),
+    {
+        "ph": "lag(CASE WHEN i >= 2 AND coalesce(x >= lh, true) AND coalesce(x > rh, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)",
+        "pl": "lag(CASE WHEN i >= 2 AND coalesce(x <= ll, true) AND coalesce(x < rl, true) THEN x END) OVER (PARTITION BY sym ORDER BY time)",
+    },
+    _PIV,
+    "pv",
+)
 _bars("cum_obv", lambda b: ta.obv(ta.cum(b, "x", "cum")), {"cum": f"CASE WHEN x IS NOT NULL THEN sum(x) {_w()} END", "obv": f"CASE WHEN i > 0 THEN sum(f) {_w()} END"},
       "o AS (SELECT *, sign(close - lag(close) OVER (PARTITION BY sym ORDER BY time)) * volume AS f FROM bars)", "o")
-_bars("tr", lambda b: ta.tr(b), {"tr": "CASE WHEN c0 IS NULL THEN high - low ELSE greatest(high - low, abs(high - c0), abs(low - c0)) END"}, "t AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS c0 FROM bars)", "t")
+_bars(
+    "tr",
+    lambda b: ta.tr(b),
+    {"tr": "CASE WHEN c0 IS NULL THEN high - low ELSE greatest(high - low, abs(high - c0), abs(low - c0)) END"},
+    "t AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS c0 FROM bars)",
+    "t",
+)
 _DAY = f"""a AS (SELECT *, (time // 86400) IS DISTINCT FROM lag(time // 86400) OVER (PARTITION BY sym ORDER BY time) AS nd FROM bars),
     a2 AS (SELECT *, sum(CASE WHEN nd THEN 1 ELSE 0 END) {_w()} AS grp FROM a)"""
 _VW = {"p": "x * volume", "q": "CASE WHEN x IS NOT NULL THEN volume END", "r": "x * x * volume"}
-_bars("vwap_bands", lambda b: ta.vwap(b, "x", mult=2.0, out=("vwap", "vwap_up", "vwap_low")),
-      {"vwap": "m", "vwap_up": "m + 2 * sqrt(greatest(s2 - m * m, 0))", "vwap_low": "m - 2 * sqrt(greatest(s2 - m * m, 0))"},
-      _DAY + f", a3 AS (SELECT *, CASE WHEN x IS NOT NULL THEN sum(x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} END AS m, sum(x * x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} AS s2 FROM a2)", "a3")
-_bars("highest_lowest_since", lambda b: ta.lowest_since(ta.highest_since(b, ta_day(b), "hi"), ta_day(b), "lo"), {"hi": f"max(high) {_w(None, 'sym, grp')}", "lo": f"min(low) {_w(None, 'sym, grp')}"}, _DAY, "a2")
+_bars(
+    "vwap_bands",
+    lambda b: ta.vwap(b, "x", mult=2.0, out=("vwap", "vwap_up", "vwap_low")),
+    {"vwap": "m", "vwap_up": "m + 2 * sqrt(greatest(s2 - m * m, 0))", "vwap_low": "m - 2 * sqrt(greatest(s2 - m * m, 0))"},
+    _DAY + f", a3 AS (SELECT *, CASE WHEN x IS NOT NULL THEN sum(x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} END AS m, sum(x * x * volume) {_w(None, 'sym, grp')} / sum(CASE WHEN x IS NOT NULL THEN volume END) {_w(None, 'sym, grp')} AS s2 FROM a2)",
+    "a3",
+)
+_bars(
+    "highest_lowest_since",
+    lambda b: ta.lowest_since(ta.highest_since(b, ta_day(b), "hi"), ta_day(b), "lo"),
+    {"hi": f"max(high) {_w(None, 'sym, grp')}", "lo": f"min(low) {_w(None, 'sym, grp')}"},
+    _DAY,
+    "a2",
+)
 _bars("timeframe_change", lambda b: b.with_columns(b_day=ta_day(b)), {"b_day": "nd"}, _DAY, "a2")
 
 
@@ -224,7 +303,13 @@ _PERIOD = _DAY + f""", pp AS (SELECT sym, grp, first(open ORDER BY time) AS o, m
 for _kind, _levels in ta.LEVELS.items():
     _names = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
     _sql = {f"lv_{n}": (f"({e})" if k else e) for k, (n, e) in enumerate(zip(_names, _levels, strict=True)) if e}
-    _bars(f"pivot_levels_{_kind}", lambda b, kind=_kind, names=tuple(_sql): (lambda f: f.with_columns(**{n: F.get("lv", F.lit(_ORDER.index(n[3:]))) for n in names}))(ta.pivot_point_levels(b, kind, ta_day(b), "lv")), _sql, _PERIOD + f", pr AS (SELECT *, {_levels[0]} AS p FROM pq)", "pr")
+    _bars(
+        f"pivot_levels_{_kind}",
+        lambda b, kind=_kind, names=tuple(_sql): (lambda f: f.with_columns(**{n: F.get("lv", F.lit(_ORDER.index(n[3:]))) for n in names}))(ta.pivot_point_levels(b, kind, ta_day(b), "lv")),
+        _sql,
+        _PERIOD + f", pr AS (SELECT *, {_levels[0]} AS p FROM pq)",
+        "pr",
+    )
 _ORDER = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
 
 # ---- averages with memory ---------------------------------------------------------------------
@@ -247,12 +332,22 @@ def _chain(name: str, build: Callable[[BarFrame], BarFrame], columns: dict[str,
 
 _chain("ema", lambda b: recursive.ema(recursive.ema(b, "x", 5, "gap"), "close", 9, "full"), {"gap": "a", "full": "c"}, _avg("a", "x", 5, 2 / 6) + ", " + _avg("c", "close", 9, 2 / 10, "a_t"), "c_t")
 _chain("rma", lambda b: recursive.rma(b, "x", 6, "v"), {"v": "a"}, _avg("a", "x", 6, 1 / 6), "a_t")
-_chain("rsi", lambda b: recursive.rsi(b, "x", 7), {"rsi": "CASE WHEN dx IS NOT NULL AND i >= 7 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END"},
-       _DELTA + ", " + _avg("g", "CASE WHEN dx > 0 THEN dx WHEN dx <= 0 THEN 0 END", 7, 1 / 7, "d") + ", " + _avg("l", "CASE WHEN dx < 0 THEN -dx WHEN dx >= 0 THEN 0 END", 7, 1 / 7, "g_t"), "l_t")
+_chain(
+    "rsi",
+    lambda b: recursive.rsi(b, "x", 7),
+    {"rsi": "CASE WHEN dx IS NOT NULL AND i >= 7 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END"},
+    _DELTA + ", " + _avg("g", "CASE WHEN dx > 0 THEN dx WHEN dx <= 0 THEN 0 END", 7, 1 / 7, "d") + ", " + _avg("l", "CASE WHEN dx < 0 THEN -dx WHEN dx >= 0 THEN 0 END", 7, 1 / 7, "g_t"),
+    "l_t",
+)
 _chain("macd", lambda b: recursive.macd(b, "close", 5, 10, 4), {"macd": "f - s", "macd_signal": "m", "macd_hist": "f - s - m"},
        ", ".join((_avg("f", "close", 5, 2 / 6), _avg("s", "close", 10, 2 / 11, "f_t"), _avg("m", "f - s", 4, 2 / 5, "s_t"))), "m_t")
-_chain("tsi", lambda b: recursive.tsi(b, "close", 4, 7), {"tsi": "CASE WHEN q <> 0 THEN p / q END"},
-       "d AS (SELECT *, close - lag(close) OVER (PARTITION BY sym ORDER BY time) AS dc FROM bars), " + ", ".join((_avg("a", "dc", 7, 2 / 8, "d"), _avg("p", "a", 4, 2 / 5, "a_t"), _avg("c", "abs(dc)", 7, 2 / 8, "p_t"), _avg("q", "c", 4, 2 / 5, "c_t"))), "q_t")
+_chain(
+    "tsi",
+    lambda b: recursive.tsi(b, "close", 4, 7),
+    {"tsi": "CASE WHEN q <> 0 THEN p / q END"},
+    "d AS (SELECT *, close - lag(close) OVER (PARTITION BY sym ORDER BY time) AS dc FROM bars), " + ", ".join((_avg("a", "dc", 7, 2 / 8, "d"), _avg("p", "a", 4, 2 / 5, "a_t"), _avg("c", "abs(dc)", 7, 2 / 8, "p_t"), _avg("q", "c", 4, 2 / 5, "c_t"))),
+    "q_t",
+)
 _TR = "t AS (SELECT *, CASE WHEN lag(close) OVER (PARTITION BY sym ORDER BY time) IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER (PARTITION BY sym ORDER BY time)), abs(low - lag(close) OVER (PARTITION BY sym ORDER BY time))) END AS tr FROM bars)"
 _chain("atr", lambda b: recursive.atr(b, 7), {"atr": "a"}, _TR + ", " + _avg("a", "tr", 7, 1 / 7, "t", True), "a_t")
 _MOVES = """m AS (SELECT *, CASE WHEN i > 0 THEN tr END AS str, high - lag(high) OVER (PARTITION BY sym ORDER BY time) AS up, lag(low) OVER (PARTITION BY sym ORDER BY time) - low AS dn FROM t)"""
@@ -284,7 +379,9 @@ _chain("ema2_rma2_atr2", lambda b: recursive.atr2(recursive.rma2(recursive.ema2(
 # state machines, bar by bar in recursive SQL
 _BEFORE = "OVER (PARTITION BY sym ORDER BY time)"
 _chain(
-    "sar", recursive.sar, {"sar": "sar"},
+    "sar",
+    recursive.sar,
+    {"sar": "sar"},
     f"""b AS MATERIALIZED (SELECT *, lag(high) {_BEFORE} AS h1, lag(low) {_BEFORE} AS l1, lag(high, 2) {_BEFORE} AS h2, lag(low, 2) {_BEFORE} AS l2, lag(close) {_BEFORE} AS c1 FROM bars),
     r AS (SELECT sym, time, i, CAST(NULL AS DOUBLE) AS sar, 0.0::DOUBLE AS best, 0.02::DOUBLE AS speed, false AS up FROM b WHERE i = 0
       UNION ALL SELECT sym, time, i,
@@ -297,7 +394,9 @@ _chain(
     "r",
 )
 _chain(
-    "supertrend", lambda b: recursive.supertrend(b, 2.0, 7), {"supertrend": "line", "trend": "dir"},
+    "supertrend",
+    lambda b: recursive.supertrend(b, 2.0, 7),
+    {"supertrend": "line", "trend": "dir"},
     f"""{_TR}, {_avg('a', 'tr', 7, 1 / 7, 't', True)}, b AS MATERIALIZED (SELECT *, (high + low) / 2 - 2 * a AS rl, (high + low) / 2 + 2 * a AS ru, lag(close) {_BEFORE} AS c1, lag(a) {_BEFORE} AS a1 FROM a_t),
     r AS (SELECT sym, time, i, rl AS lower, ru AS upper, 0.0::DOUBLE AS line, 1.0::DOUBLE AS dir FROM b WHERE i = 0
       UNION ALL SELECT sym, time, i, lower, upper, CASE WHEN lower IS NOT NULL AND upper IS NOT NULL THEN CASE WHEN dir < 0 THEN lower ELSE upper END END, dir
@@ -359,8 +458,11 @@ for _gaps in (False, True):
         _security(_gaps, _look)
 
 
-@register("security_history_sma", f"""WITH {_DAYS_SQL}, h AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS p, CASE WHEN row_number() OVER (PARTITION BY sym ORDER BY time) >= 3 THEN avg(close) OVER (PARTITION BY sym ORDER BY time ROWS 2 PRECEDING) END AS m, time + {WEEK - DAY} AS seen FROM weeks)
-    SELECT d.sym, d.time, round(w.p, 6) + 0.0 AS req_p, round(w.m, 6) + 0.0 AS req_m FROM days d ASOF LEFT JOIN h w ON w.sym = d.sym AND d.time >= w.seen""")
+@register(
+    "security_history_sma",
+    f"""WITH {_DAYS_SQL}, h AS (SELECT *, lag(close) OVER (PARTITION BY sym ORDER BY time) AS p, CASE WHEN row_number() OVER (PARTITION BY sym ORDER BY time) >= 3 THEN avg(close) OVER (PARTITION BY sym ORDER BY time ROWS 2 PRECEDING) END AS m, time + {WEEK - DAY} AS seen FROM weeks)
+    SELECT d.sym, d.time, round(w.p, 6) + 0.0 AS req_p, round(w.m, 6) + 0.0 AS req_m FROM days d ASOF LEFT JOIN h w ON w.sym = d.sym AND d.time >= w.seen""",
+)
 def security_history_sma(spark, sf_dir):
     weeks = ta.sma(_orders(spark, sf_dir, "week").history("close", 1, "p"), "close", 3, "m")
     return rounded(align.security(_orders(spark, sf_dir, "day"), weeks, ["p", "m"], DAY, WEEK).df, "req_p", "req_m")
@@ -370,7 +472,10 @@ _OWN = """, wl AS (SELECT *, coalesce(lead(time) OVER (PARTITION BY sym ORDER BY
     own AS (SELECT w.sym, w.time, d.time AS t, d.open AS o, d.close AS c, d.volume AS v FROM wl w JOIN days d ON d.sym = w.sym AND d.time >= w.time AND d.time < w.e)"""
 
 
-@register("lower_tf_groups", f"WITH {_DAYS_SQL} {_OWN} SELECT w.sym, w.time, count(o.c) AS n, round(first(o.c ORDER BY o.t), 6) + 0.0 AS first_c, round(last(o.c ORDER BY o.t), 6) + 0.0 AS last_c, round(sum(o.c), 4) + 0.0 AS sum_c, round(min(o.c), 6) + 0.0 AS min_c, round(max(o.c), 6) + 0.0 AS max_c, round(avg(o.c), 4) + 0.0 AS avg_c FROM weeks w LEFT JOIN own o ON o.sym = w.sym AND o.time = w.time GROUP BY w.sym, w.time")
+@register(
+    "lower_tf_groups",
+    f"WITH {_DAYS_SQL} {_OWN} SELECT w.sym, w.time, count(o.c) AS n, round(first(o.c ORDER BY o.t), 6) + 0.0 AS first_c, round(last(o.c ORDER BY o.t), 6) + 0.0 AS last_c, round(sum(o.c), 4) + 0.0 AS sum_c, round(min(o.c), 6) + 0.0 AS min_c, round(max(o.c), 6) + 0.0 AS max_c, round(avg(o.c), 4) + 0.0 AS avg_c FROM weeks w LEFT JOIN own o ON o.sym = w.sym AND o.time = w.time GROUP BY w.sym, w.time",
+)
 def lower_tf_groups(spark, sf_dir):
     g = F.col("ltf_close")
     df = align.security_lower_tf(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), ["close"], WEEK).df
@@ -381,16 +486,22 @@ def lower_tf_groups(spark, sf_dir):
 _SIGN = """, ds AS (SELECT *, v * CASE WHEN c <> o THEN sign(c - o) ELSE coalesce(sign(c - pc), 0) END AS sv FROM (SELECT own.*, pv.pc FROM own JOIN (SELECT sym, time AS t, lag(close) OVER (PARTITION BY sym ORDER BY time) AS pc FROM days) pv ON pv.sym = own.sym AND pv.t = own.t))"""
 
 
-@register("up_down_volume", f"WITH {_DAYS_SQL} {_OWN} {_SIGN} SELECT w.sym, w.time, coalesce(sum(CASE WHEN sv > 0 THEN sv END), 0.0) + 0.0 AS up_volume, coalesce(sum(CASE WHEN sv < 0 THEN sv END), 0.0) + 0.0 AS down_volume, coalesce(sum(sv), 0.0) + 0.0 AS volume_delta FROM weeks w LEFT JOIN ds ON ds.sym = w.sym AND ds.time = w.time GROUP BY w.sym, w.time")
+@register(
+    "up_down_volume",
+    f"WITH {_DAYS_SQL} {_OWN} {_SIGN} SELECT w.sym, w.time, coalesce(sum(CASE WHEN sv > 0 THEN sv END), 0.0) + 0.0 AS up_volume, coalesce(sum(CASE WHEN sv < 0 THEN sv END), 0.0) + 0.0 AS down_volume, coalesce(sum(sv), 0.0) + 0.0 AS volume_delta FROM weeks w LEFT JOIN ds ON ds.sym = w.sym AND ds.time = w.time GROUP BY w.sym, w.time",
+)
 def up_down_volume(spark, sf_dir):
     return rounded(align.up_down_volume(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), WEEK).df, "up_volume", "down_volume", "volume_delta")
 
 
-@register("cumulative_volume_delta", f"""WITH {_DAYS_SQL} {_OWN} {_SIGN}, run AS (SELECT *, sum(sv) OVER (PARTITION BY sym, time ORDER BY t) AS s FROM ds),
+@register(
+    "cumulative_volume_delta",
+    f"""WITH {_DAYS_SQL} {_OWN} {_SIGN}, run AS (SELECT *, sum(sv) OVER (PARTITION BY sym, time ORDER BY t) AS s FROM ds),
     wk AS (SELECT w.sym, w.time, greatest(coalesce(max(s), 0.0), 0.0) AS h, least(coalesce(min(s), 0.0), 0.0) AS l, coalesce(last(s ORDER BY t), 0.0) AS s FROM weeks w LEFT JOIN run ON run.sym = w.sym AND run.time = w.time GROUP BY w.sym, w.time),
     g AS (SELECT *, sum(CASE WHEN time % 2419200 < 604800 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY time) AS grp FROM wk),
     b AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY sym, grp ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS b FROM g)
-    SELECT sym, time, b + 0.0 AS cvd_open, b + h AS cvd_high, b + l AS cvd_low, b + s AS cvd_close FROM b""")
+    SELECT sym, time, b + 0.0 AS cvd_open, b + h AS cvd_high, b + l AS cvd_low, b + s AS cvd_close FROM b""",
+)
 def cumulative_volume_delta(spark, sf_dir):
     got = align.volume_delta(_orders(spark, sf_dir, "week"), _orders(spark, sf_dir, "day"), WEEK, F.col("time") % (4 * WEEK) < WEEK)
     return rounded(got.df, "cvd_open", "cvd_high", "cvd_low", "cvd_close")
@@ -398,16 +509,34 @@ def cumulative_volume_delta(spark, sf_dir):
 
 # ---- scalar functions ------------------------------------------------------------------------------
 
-_bars("math_functions", lambda b: b.with_columns(
+_bars(
+    "math_functions",
+    lambda b: b.with_columns(
           lg=sc.m_log(F.col("close") - 5), sq=sc.m_sqrt(F.col("close") - 5), ce=sc.m_ceil(F.col("x")), fl=sc.m_floor(F.col("x")), tr=sc.m_trunc(F.col("x") - F.col("open")), mx=sc.m_max(F.col("x"), F.col("open")),
           mn=sc.m_min(F.col("x"), F.col("open")), av=sc.m_avg(F.col("high"), F.col("low"), F.col("close")), sg=sc.m_sign(F.col("close") - F.col("open")), tick=sc.round_to_mintick(F.col("close"), 0.25), ex=sc.m_exp(-F.col("volume")), pw=sc.m_pow(F.col("volume"), 2.0)),
-      {"lg": "CASE WHEN close > 5 THEN ln(close - 5) END", "sq": "CASE WHEN close >= 5 THEN sqrt(close - 5) END", "ce": "ceil(x)", "fl": "floor(x)", "tr": "trunc(x - open)", "mx": "CASE WHEN x IS NOT NULL THEN greatest(x, open) END",
-       "mn": "CASE WHEN x IS NOT NULL THEN least(x, open) END", "av": "(high + low + close) / 3", "sg": "sign(close - open)", "tick": "floor(close / 0.25 + 0.5) * 0.25", "ex": "exp(-volume)", "pw": "pow(volume, 2)"})
+    {
+        "lg": "CASE WHEN close > 5 THEN ln(close - 5) END",
+        "sq": "CASE WHEN close >= 5 THEN sqrt(close - 5) END",
+        "ce": "ceil(x)",
+        "fl": "floor(x)",
+        "tr": "trunc(x - open)",
+        "mx": "CASE WHEN x IS NOT NULL THEN greatest(x, open) END",
+        "mn": "CASE WHEN x IS NOT NULL THEN least(x, open) END",
+        "av": "(high + low + close) / 3",
+        "sg": "sign(close - open)",
+        "tick": "floor(close / 0.25 + 0.5) * 0.25",
+        "ex": "exp(-volume)",
+        "pw": "pow(volume, 2)",
+    },
+)
 
 
-@register("string_functions", """SELECT o_orderkey, length(p) AS n, substring(p, 3, 4) AS part, instr(p, '-') - 1 AS pos, contains(p, 'URG') AS has, starts_with(p, '1') AS pre, suffix(p, 'H') AS suf,
+@register(
+    "string_functions",
+    """SELECT o_orderkey, length(p) AS n, substring(p, 3, 4) AS part, instr(p, '-') - 1 AS pos, contains(p, 'URG') AS has, starts_with(p, '1') AS pre, suffix(p, 'H') AS suf,
     upper(p) AS up, lower(p) AS low, replace(p, '-', '+') AS repl, regexp_replace(p, '-', '/') AS once, trim(p) AS tr, repeat(o_orderstatus, 2) AS twice, len(string_split(p, '-')) AS parts,
-    CASE WHEN regexp_matches(p, '[A-Z]+') THEN regexp_extract(p, '[A-Z]+') END AS hit, concat(o_orderstatus, ':', p) AS form, TRY_CAST(substring(p, 1, 1) AS DOUBLE) AS num FROM (SELECT *, o_orderpriority AS p FROM orders)""")
+    CASE WHEN regexp_matches(p, '[A-Z]+') THEN regexp_extract(p, '[A-Z]+') END AS hit, concat(o_orderstatus, ':', p) AS form, TRY_CAST(substring(p, 1, 1) AS DOUBLE) AS num FROM (SELECT *, o_orderpriority AS p FROM orders)""",
+)
 def string_functions(spark, sf_dir):
     p = F.col("o_orderpriority")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -418,16 +547,50 @@ def string_functions(spark, sf_dir):
 
 
 _L = "(to_timestamp(time) AT TIME ZONE 'UTC')"
-_bars("time_parts", lambda b: b.with_columns(**{f"b_{n}": f(F.col("time")).cast("long") for n, f in (("y", times.year), ("mo", times.month), ("d", times.dayofmonth), ("w", times.dayofweek), ("h", times.hour), ("mi", times.minute), ("s", times.second))},
+_bars(
+    "time_parts",
+    lambda b: b.with_columns(**{f"b_{n}": f(F.col("time")).cast("long") for n, f in (("y", times.year), ("mo", times.month), ("d", times.dayofmonth), ("w", times.dayofweek), ("h", times.hour), ("mi", times.minute), ("s", times.second))},
                                              b_day=times.bar_open(F.col("time"), "1D"), b_week=times.bar_open(F.col("time"), "1W"), b_month=times.bar_open(F.col("time"), "1M"), b_4h=times.bar_open(F.col("time"), "240")),
-      {"b_y": f"year({_L})", "b_mo": f"month({_L})", "b_d": f"day({_L})", "b_w": f"dayofweek({_L}) + 1", "b_h": f"hour({_L})", "b_mi": f"minute({_L})", "b_s": f"CAST(second({_L}) AS BIGINT)", "b_day": "time // 86400 * 86400",
-       "b_week": "CAST(epoch(date_trunc('week', " + _L + ")) AS BIGINT)", "b_month": "CAST(epoch(date_trunc('month', " + _L + ")) AS BIGINT)", "b_4h": "time // 14400 * 14400"})
-_bars("session_filter", lambda b: b.with_columns(b_day=times.in_session(F.col("time"), "0930-1600:23456"), b_night=times.in_session(F.col("time"), "2200-0500:2345")),
-      {"b_day": f"(hour({_L}) * 60 BETWEEN 570 AND 959) AND dayofweek({_L}) BETWEEN 1 AND 5", "b_night": f"(hour({_L}) >= 22 AND dayofweek({_L}) + 1 IN (1, 2, 3, 4)) OR (hour({_L}) < 5 AND dayofweek({_L}) + 1 IN (2, 3, 4, 5))"})
-_bars("timeframe_change_week", lambda b: times.timeframe_change(b, "1W", "b_week"), {"b_week": f"coalesce(date_trunc('week', {_L}) <> lag(date_trunc('week', {_L})) OVER (PARTITION BY sym ORDER BY time), true)"})
-_bars("color_functions", lambda b: b.with_columns(b_mix=sc.from_gradient(F.col("close"), F.col("low"), F.col("high"), "#000000", "#ff8040"), b_up=sc.color_when(F.col("close") > F.col("open"), "#00ff00", "#ff0000"), b_red=sc.red(sc.rgb(F.lit(17), F.lit(34), F.lit(51)))),
-      {"b_mix": "'#' || printf('%02x%02x%02x', CAST(floor(255 * s) AS INT), CAST(floor(128 * s) AS INT), CAST(floor(64 * s) AS INT))", "b_up": "CASE WHEN close > open THEN '#00ff00' ELSE '#ff0000' END", "b_red": "17.0::DOUBLE"},
-      "c AS (SELECT *, greatest(0, least(1, (close - low) / (high - low + 1e-10))) AS s FROM bars)", "c")
+    {
+        "b_y": f"year({_L})",
+        "b_mo": f"month({_L})",
+        "b_d": f"day({_L})",
+        "b_w": f"dayofweek({_L}) + 1",
+        "b_h": f"hour({_L})",
+        "b_mi": f"minute({_L})",
+        "b_s": f"CAST(second({_L}) AS BIGINT)",
+        "b_day": "time // 86400 * 86400",
+        "b_week": "CAST(epoch(date_trunc('week', " + _L + ")) AS BIGINT)",
+        "b_month": "CAST(epoch(date_trunc('month', " + _L + ")) AS BIGINT)",
+        "b_4h": "time // 14400 * 14400",
+    },
+)
+_bars(
+    "session_filter",
+    lambda b: b.with_columns(b_day=times.in_session(F.col("time"), "0930-1600:23456"), b_night=times.in_session(F.col("time"), "2200-0500:2345")),
+    {
+        "b_day": f"(hour({_L}) * 60 BETWEEN 570 AND 959) AND dayofweek({_L}) BETWEEN 1 AND 5",
+        "b_night": f"(hour({_L}) >= 22 AND dayofweek({_L}) + 1 IN (1, 2, 3, 4)) OR (hour({_L}) < 5 AND dayofweek({_L}) + 1 IN (2, 3, 4, 5))",
+    },
+)
+_bars(
+    "timeframe_change_week",
+    lambda b: times.timeframe_change(b, "1W", "b_week"),
+    {
+        "b_week": f"coalesce(date_trunc('week', {_L}) <> lag(date_trunc('week', {_L})) OVER (PARTITION BY sym ORDER BY time), true)",
+    },
+)
+_bars(
+    "color_functions",
+    lambda b: b.with_columns(b_mix=sc.from_gradient(F.col("close"), F.col("low"), F.col("high"), "#000000", "#ff8040"), b_up=sc.color_when(F.col("close") > F.col("open"), "#00ff00", "#ff0000"), b_red=sc.red(sc.rgb(F.lit(17), F.lit(34), F.lit(51)))),
+    {
+        "b_mix": "'#' || printf('%02x%02x%02x', CAST(floor(255 * s) AS INT), CAST(floor(128 * s) AS INT), CAST(floor(64 * s) AS INT))",
+        "b_up": "CASE WHEN close > open THEN '#00ff00' ELSE '#ff0000' END",
+        "b_red": "17.0::DOUBLE",
+    },
+    "c AS (SELECT *, greatest(0, least(1, (close - low) / (high - low + 1e-10))) AS s FROM bars)",
+    "c",
+)
 _ARR = "l AS (SELECT *, list(close) OVER (PARTITION BY sym ORDER BY time ROWS 3 PRECEDING) AS a FROM bars)"
 
 
@@ -435,10 +598,29 @@ def _with_array(b: BarFrame) -> BarFrame:
     return b.with_columns(a=F.collect_list("close").over(b.last_rows(4)))
 
 
-_bars("array_functions", lambda b: (lambda g, a: g.with_columns(b_n=coll.size(a).cast("long"), f=coll.first(a), la=coll.last(a), su=coll.total(a), av=coll.avg(a), mi=coll.least(a), ma=coll.greatest(a), top=coll.first(coll.sort(a, descending=True)), b_at=coll.indexof(a, F.col("close")).cast("long"),
+_bars(
+    "array_functions",
+    lambda b: (lambda g, a: g.with_columns(b_n=coll.size(a).cast("long"), f=coll.first(a), la=coll.last(a), su=coll.total(a), av=coll.avg(a), mi=coll.least(a), ma=coll.greatest(a), top=coll.first(coll.sort(a, descending=True)), b_at=coll.indexof(a, F.col("close")).cast("long"),
                                                                    pushed=coll.last(coll.push(a, F.lit(1.0))), b_rest=coll.size(coll.shift(a)).cast("long"), b_has=coll.includes(a, F.col("open")), cut=coll.total(coll.cut(a, 0, 2)), b_order=F.array_join(coll.sort_indices(a), ",")))(_with_array(b), F.col("a")),
-      {"b_n": "len(a)", "f": "a[1]", "la": "a[-1]", "su": "list_sum(a)", "av": "list_avg(a)", "mi": "list_min(a)", "ma": "list_max(a)", "top": "list_reverse_sort(a)[1]", "b_at": "list_position(a, close) - 1", "pushed": "1.0", "b_rest": "len(a) - 1", "b_has": "list_contains(a, open)",
-       "cut": "list_sum(a[1:2])", "b_order": "array_to_string(list_transform(list_grade_up(a), lambda e: e - 1), ',')"}, _ARR, "l")
+    {
+        "b_n": "len(a)",
+        "f": "a[1]",
+        "la": "a[-1]",
+        "su": "list_sum(a)",
+        "av": "list_avg(a)",
+        "mi": "list_min(a)",
+        "ma": "list_max(a)",
+        "top": "list_reverse_sort(a)[1]",
+        "b_at": "list_position(a, close) - 1",
+        "pushed": "1.0",
+        "b_rest": "len(a) - 1",
+        "b_has": "list_contains(a, open)",
+        "cut": "list_sum(a[1:2])",
+        "b_order": "array_to_string(list_transform(list_grade_up(a), lambda e: e - 1), ',')",
+    },
+    _ARR,
+    "l",
+)
 
 
 def _maps(b: BarFrame) -> BarFrame:
@@ -462,7 +644,20 @@ def _matrices(b: BarFrame) -> BarFrame:
     )
 
 
-_bars("matrix_functions", _matrices, {"p00": "open * open + high * high", "p01": "open * low + high * close", "p11": "low * low + close * close", "total": "open + high + low + close", "avg": "(open + high + low + close) / 4 + 1", "big": "greatest(open, high, low, close)", "col": "high + close", "row": "low + close"})
+_bars(
+    "matrix_functions",
+    _matrices,
+    {
+        "p00": "open * open + high * high",
+        "p01": "open * low + high * close",
+        "p11": "low * low + close * close",
+        "total": "open + high + low + close",
+        "avg": "(open + high + low + close) / 4 + 1",
+        "big": "greatest(open, high, low, close)",
+        "col": "high + close",
+        "row": "low + close",
+    },
+)
 
 # ---- strategy ------------------------------------------------------------------------------------------
 
@@ -481,18 +676,27 @@ _CROSS = f"""{BARS_SQL}, {_obs('close', 5, AVG, 'm')},
     f AS (SELECT *, held - coalesce(lag(held) OVER (PARTITION BY sym ORDER BY time), 0) AS turn FROM h)"""
 
 
-@register("strategy_orders", f"WITH {_CROSS} SELECT sym, time, CASE WHEN turn = 1 THEN 'entry' ELSE 'close' END AS type, round(close, 6) + 0.0 AS price, CAST(held AS DOUBLE) AS position_after FROM f WHERE turn <> 0")
+@register(
+    "strategy_orders",
+    f"WITH {_CROSS} SELECT sym, time, CASE WHEN turn = 1 THEN 'entry' ELSE 'close' END AS type, round(close, 6) + 0.0 AS price, CAST(held AS DOUBLE) AS position_after FROM f WHERE turn <> 0",
+)
 def strategy_orders(spark, sf_dir):
     return strategy.orders(_cross_events(spark, sf_dir)).select("sym", "time", "type", (F.round("price", 6) + 0.0).alias("price"), "position_after")
 
 
-@register("strategy_trades", f"WITH {_CROSS}, t AS (SELECT *, lag(time) OVER (PARTITION BY sym ORDER BY time) AS entry_time, lag(close) OVER (PARTITION BY sym ORDER BY time) AS e FROM f WHERE turn <> 0) SELECT sym, entry_time, time AS exit_time, round(e, 6) + 0.0 AS entry_price, round(close, 6) + 0.0 AS exit_price, round(close - e, 5) + 0.0 AS profit FROM t WHERE turn = -1")
+@register(
+    "strategy_trades",
+    f"WITH {_CROSS}, t AS (SELECT *, lag(time) OVER (PARTITION BY sym ORDER BY time) AS entry_time, lag(close) OVER (PARTITION BY sym ORDER BY time) AS e FROM f WHERE turn <> 0) SELECT sym, entry_time, time AS exit_time, round(e, 6) + 0.0 AS entry_price, round(close, 6) + 0.0 AS exit_price, round(close - e, 5) + 0.0 AS profit FROM t WHERE turn = -1",
+)
 def strategy_trades(spark, sf_dir):
     t = strategy.trades(_cross_events(spark, sf_dir))
     return t.select("sym", "entry_time", "exit_time", (F.round("entry_price", 6) + 0.0).alias("entry_price"), (F.round("exit_price", 6) + 0.0).alias("exit_price"), (F.round("profit", 5) + 0.0).alias("profit"))
 
 
-@register("strategy_equity", f"WITH {_CROSS}, g AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY sym ORDER BY time), 0) * (close - lag(close) OVER (PARTITION BY sym ORDER BY time)) AS gain FROM f) SELECT sym, time, round(10000 + coalesce(sum(gain) OVER (PARTITION BY sym ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 4) + 0.0 AS equity, CAST(held AS DOUBLE) AS position_size FROM g")
+@register(
+    "strategy_equity",
+    f"WITH {_CROSS}, g AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY sym ORDER BY time), 0) * (close - lag(close) OVER (PARTITION BY sym ORDER BY time)) AS gain FROM f) SELECT sym, time, round(10000 + coalesce(sum(gain) OVER (PARTITION BY sym ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 4) + 0.0 AS equity, CAST(held AS DOUBLE) AS position_size FROM g",
+)
 def strategy_equity(spark, sf_dir):
     return strategy.equity(_cross_events(spark, sf_dir)).select("sym", "time", (F.round("equity", 4) + 0.0).alias("equity"), "position_size")
 
@@ -529,7 +733,10 @@ def strategy_summary(spark, sf_dir):
 # ---- outputs ----------------------------------------------------------------------------------------------
 
 
-@register("plot_series", f"WITH {BARS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time DESC) AS k FROM bars) SELECT sym, time, 'gap' AS name, 'line' AS kind, round(x, 6) + 0.0 AS value, CASE WHEN close > open THEN 'green' ELSE 'red' END AS color FROM r WHERE k <= 100")
+@register(
+    "plot_series",
+    f"WITH {BARS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY time DESC) AS k FROM bars) SELECT sym, time, 'gap' AS name, 'line' AS kind, round(x, 6) + 0.0 AS value, CASE WHEN close > open THEN 'green' ELSE 'red' END AS color FROM r WHERE k <= 100",
+)
 def plot_series(spark, sf_dir):
     bf = hourly(spark, sf_dir)
     df = output.plot(bf, "x", "gap", sc.color_when(F.col("close") > F.col("open"), "green", "red"), show_last=100)
@@ -541,7 +748,10 @@ def markers(spark, sf_dir):
     return output.markers(hourly(spark, sf_dir), F.col("x") > F.col("open"), "up", "triangleup", "belowbar", "U")
 
 
-@register("signals", f"WITH {BARS_SQL} SELECT sym, time, 'gap' AS name, '' AS message FROM bars WHERE x IS NULL UNION ALL SELECT sym, time, 'wide' AS name, '' AS message FROM bars WHERE high > 2 * low")
+@register(
+    "signals",
+    f"WITH {BARS_SQL} SELECT sym, time, 'gap' AS name, '' AS message FROM bars WHERE x IS NULL UNION ALL SELECT sym, time, 'wide' AS name, '' AS message FROM bars WHERE high > 2 * low",
+)
 def signals(spark, sf_dir):
     return output.alert_conditions(hourly(spark, sf_dir), gap=F.col("x").isNull(), wide=F.col("high") > 2 * F.col("low"))
 
@@ -579,7 +789,10 @@ def session_state(spark, sf_dir):
     return context.session_state(hourly(spark, sf_dir)).df.select("sym", "time", "ismarket", "isfirstbar", "islastbar")
 
 
-@register("request_report", f"""WITH {_DAYS_SQL}, w AS (SELECT sym, count(*) AS n, min(time) + {WEEK - DAY} AS seen, max(time) + {WEEK} AS through FROM weeks GROUP BY sym)
-    SELECT d.sym, count(*) AS chart_bars, any_value(w.n) AS requested_bars, count(*) FILTER (d.time < w.seen) AS without, any_value(w.through) AS through FROM days d JOIN w ON w.sym = d.sym GROUP BY d.sym""")
+@register(
+    "request_report",
+    f"""WITH {_DAYS_SQL}, w AS (SELECT sym, count(*) AS n, min(time) + {WEEK - DAY} AS seen, max(time) + {WEEK} AS through FROM weeks GROUP BY sym)
+    SELECT d.sym, count(*) AS chart_bars, any_value(w.n) AS requested_bars, count(*) FILTER (d.time < w.seen) AS without, any_value(w.through) AS through FROM days d JOIN w ON w.sym = d.sym GROUP BY d.sym""",
+)
 def request_report(spark, sf_dir):
     return context.request_report(_orders(spark, sf_dir, "day"), _orders(spark, sf_dir, "week"), DAY, WEEK)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def _folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints; in one local process, where none are set, a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(named or tempfile.mkdtemp(prefix='barframe-')).rstrip('/')}/replay-{uuid.uuid4().hex}"
 
