@@ -31,6 +31,7 @@ import heapq
 import math
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -173,10 +174,11 @@ def _run_chunk(rows: pa.Table) -> pa.Table:
 
 def schedule(spark: SparkSession, shares: Mapping[str, int], blocks: Mapping[str, int], chunk: int = CHUNK) -> DataFrame:
     """s, block, slot of every block."""
-    rows = pa.Table.from_pylist(list(plan(shares, blocks, chunk)), PLAN)  # sources rows for each chunk of a phase
+    # a row a source for each chunk of a phase: seven numbers each on the driver
+    rows = pa.concat_tables([PLAN.empty_table(), *(pa.Table.from_pylist(list(part), PLAN) for part in batched(plan(shares, blocks, chunk), CHUNK))])
     if not rows.num_rows:
         return spark.createDataFrame([], "s string, block long, slot long")
-    ordered = spark.createDataFrame(rows.append_column("at", pa.array(range(rows.num_rows))))
+    ordered = spark.createDataFrame(rows.append_column("at", pa.array(np.arange(rows.num_rows))))
     # an order of sources is a part of the schedule: ties of deadlines
     return ordered.groupBy("chunk").applyInArrow(lambda t: _run_chunk(t.sort_by("at")), "s string, block long, slot long")
 
