@@ -102,6 +102,38 @@ def test_pii_patterns_find_unseen_identifiers(spark, odd, none):
     assert pii.redact(odd).count() == odd.count() and pii.redact(none).count() == 0
 
 
+def test_learnt_spans_precision_and_recall_on_planted_contexts(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    leads = ("reach me at {}", "my account is {}", "please call {}", "signed in from {}")
+
+    def card():
+        digits = str(rng.randrange(4 * 10**14, 5 * 10**14))
+        return digits + next(d for d in "0123456789" if pii._luhn(digits + d))
+
+    known = (lambda: f"{word()}.{word()}@mail{rng.randrange(9)}.example.org", card, lambda: f"+1 (555) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", lambda: ".".join(str(rng.randrange(255)) for _ in range(4)))
+    hidden = (lambda: f"{word()}#{rng.randrange(10**6)}", lambda: f"acct-{rng.randrange(10**8)}", lambda: f"ext{rng.randrange(10**5)}", lambda: f"node{rng.randrange(10**4)}")
+    rows, wanted = [], {}
+    for i in range(600):
+        text = " ".join(word() for _ in range(20))
+        k = rng.randrange(4)
+        if i % 3 and i % 8:
+            text += " " + leads[k].format(known[k]()) + " " + word()
+        elif i % 3:
+            secret = hidden[k]()
+            text += " " + leads[k].format(secret) + " " + word()
+            wanted[i] = (text.index(secret), len(secret))
+        else:  # numbers in no such context
+            text += f" {word()} {word()} {rng.randrange(10**5, 10**7)} {word()}"
+        rows.append(text)
+    got = {r.doc_id: [(s.start, s.end - s.start) for s in r.learnt] for r in pii.personal_data(docs(spark, rows)).collect() if r.learnt}
+    found = {(i, x) for i, spans in got.items() for x in spans}
+    right = found & set(wanted.items())
+    # a pattern is trusted where four of five of its instances are known
+    assert len(wanted) == 50 and len(right) >= 0.95 * len(wanted) and len(right) >= 0.95 * len(found)
+    print("learnt spans:", len(right), "of", len(wanted), "found", len(found))
+
+
 def test_pii_work_is_linear_in_long_texts():
     begun = time.perf_counter()
     for text in ("1" * 1_000_000, "1." * 500_000, "a@b.c," * 100_000, "+1" + "(" * 1_000_000, "4111 " * 200_000, "@" * 500_000):
